@@ -12,11 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.sizing import session_key
 from vigil.session import ensure_checkpoint_dir
 
+_INDEXES: dict[tuple, DataFrame] = {}
+
 
 def dense_index(values: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
-    """(col, idx) for the distinct values of ``col``; idx follows ascending order."""
+    """(col, idx) for the distinct values of ``col``; idx follows ascending order.
+
+    The index of a given dimension plan is built once per application.
+    """
+    key = session_key(values, col, partitions)
+    if key in _INDEXES:
+        return _INDEXES[key]
     spark = values.sparkSession
     ensure_checkpoint_dir(spark)
     parts = partitions or max(1, spark.sparkContext.defaultParallelism)
@@ -26,5 +35,7 @@ def dense_index(values: DataFrame, col: str, partitions: int | None = None) -> D
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .select(col, (F.col("_offset") + F.col("_local")).cast("bigint").alias("idx")))
+    index = (local.join(F.broadcast(offsets), "_pid")
+             .select(col, (F.col("_offset") + F.col("_local")).cast("bigint").alias("idx")))
+    _INDEXES[key] = index
+    return index

@@ -21,8 +21,24 @@ def max_broadcast_rows(df: DataFrame) -> int:
     return int(value) if value else DEFAULT_MAX_BROADCAST_ROWS
 
 
+_DECISIONS: dict[tuple, bool] = {}
+
+
+def session_key(df: DataFrame, *parts) -> tuple:
+    """Cache key scoped to the running application and the frame's semantics."""
+    return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), *parts)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when the probe proves ``df`` has at most ``max_rows`` rows.
+
+    Use it for dimension-derived frames only: the probe is an action.  The
+    decision is remembered per application and plan, so repeated plans over
+    the same dimension do not re-probe.  Frames derived from the log table
+    are joined plainly and left to AQE's runtime (measured-size) conversion.
+    """
     bound = max_rows if max_rows is not None else max_broadcast_rows(df)
-    if df.limit(bound + 1).count() <= bound:
-        return F.broadcast(df)
-    return df
+    key = session_key(df, bound)
+    if key not in _DECISIONS:
+        _DECISIONS[key] = df.limit(bound + 1).count() <= bound
+    return F.broadcast(df) if _DECISIONS[key] else df

@@ -1,16 +1,25 @@
-"""Lazily built pipeline stages over the driver tables.
+"""Pipeline stages over the driver tables, with lineage cut at each boundary.
 
 ``Stages(spark, sf_dir)`` exposes every intermediate DataFrame of the
 pipeline (normalized -> detected -> graph logs -> edges/nodes -> clusters ->
-candidates -> command node).  Nothing runs until a query acts on one of
-them; the plans stay declarative so Catalyst prunes columns and pushes
-filters into the parquet scans.
+candidates -> command node).  Inside a stage the plan is declarative, so
+Catalyst prunes columns and pushes filters into the parquet scans.
+
+Stages read by several downstream branches are written as parquet tables
+under ``spark.checkpoint.dir`` (shared storage on a cluster) and read back.
+That keeps every downstream plan small -- a self-joined or subqueried stage
+is a leaf instead of a copy of the whole upstream tree -- and a lost
+executor only re-reads checkpoint files instead of recomputing the
+pipeline.  A checkpointed stage is reused by every later query of the same
+application over the same input directory.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +30,37 @@ from vigil.operators.detect import alerts as alert_projection
 from vigil.operators.detect import detect
 from vigil.operators.metrics import detection_metrics
 from vigil.operators.normalize import normalize
+from vigil.session import ensure_checkpoint_dir
 from vigil.sources.telemetry import telemetry
 
+_MATERIALIZED: dict[tuple, DataFrame] = {}
+
+
+def write_stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    The read-back frame is a plain parquet scan: a leaf for every downstream
+    plan, with column pruning and filter pushdown, that survives executor loss.
+    """
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/stages/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
 
 class Stages:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._materialize = materialize
+
+    def _cut(self, name: str, build) -> DataFrame:
+        if not self._materialize:
+            return build()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), name)
+        if key not in _MATERIALIZED:
+            _MATERIALIZED[key] = write_stage(self.spark, build(), name)
+        return _MATERIALIZED[key]
 
     @cached_property
     def telemetry(self):
@@ -44,7 +77,7 @@ class Stages:
 
     @cached_property
     def detected(self) -> DataFrame:
-        return detect(self.normalized)
+        return self._cut("detected", lambda: detect(self.normalized))
 
     @cached_property
     def alerts(self) -> DataFrame:
@@ -57,11 +90,11 @@ class Stages:
 
     @cached_property
     def graph_logs(self) -> DataFrame:
-        return grf.graph_ready_logs(self.detected, self.telemetry.registry)
+        return self._cut("graph_logs", lambda: grf.graph_ready_logs(self.detected, self.telemetry.registry))
 
     @cached_property
     def edges_full(self) -> DataFrame:
-        return grf.graph_edges(self.graph_logs)
+        return self._cut("edges", lambda: grf.graph_edges(self.graph_logs))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -69,15 +102,15 @@ class Stages:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return grf.graph_nodes(self.edges_full)
+        return self._cut("nodes", lambda: grf.graph_nodes(self.edges_full))
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return fpr.fingerprint_clusters(self.graph_logs)
+        return self._cut("clusters", lambda: fpr.fingerprint_clusters(self.graph_logs))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return att.candidates(self.nodes, self.edges, self.clusters)
+        return self._cut("candidates", lambda: att.candidates(self.nodes, self.edges, self.clusters))
 
     @cached_property
     def command(self) -> DataFrame:
