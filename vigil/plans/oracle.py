@@ -425,3 +425,107 @@ _LATEST = """, latest AS (SELECT * FROM detected
   QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC, seq ASC) = 1)"""
 for _k in ("latency_top10", "status_class_4xx"):
     ORACLE[_k] = ORACLE[_k].replace("\nWITH_LATEST", _LATEST)
+
+IMPORT = """
+ev AS (
+  SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events),
+rr AS (
+  SELECT s AS seq, CAST(s AS VARCHAR) AS sid, to_base64(encode('SN-' || CAST(s AS VARCHAR))) AS token,
+         CASE WHEN s % 11 = 0 THEN 'short' WHEN s % 7 = 3 THEN 'four' WHEN s % 7 = 5 THEN 'u04' ELSE 'common' END
+           AS layout,
+         CASE WHEN s_acctbal < 0 THEN 'True' ELSE 'False' END AS flag
+  FROM (SELECT s_suppkey AS s, s_acctbal FROM supplier)),
+r1 AS (
+  SELECT seq,
+         CASE layout WHEN 'four' THEN CAST(sid AS BIGINT) ELSE seq END AS num,
+         CASE layout WHEN 'short' THEN 'AEGIS-Node/2.0' WHEN 'common' THEN sid ELSE 'AEGIS-Node/2.0 (Linux)' END
+           AS agent,
+         CASE layout WHEN 'short' THEN '' WHEN 'common' THEN 'AEGIS-Node/2.0 (Linux) ' || token ELSE token END
+           AS uuid,
+         CASE layout WHEN 'short' THEN 'False' ELSE flag END AS infected
+  FROM rr),
+r2 AS (SELECT *, trim(agent || ' ' || uuid) AS combined,
+              ((uuid = '' OR contains(uuid, 'AEGIS-Node')) AND agent <> '') AS packed FROM r1),
+r3 AS (SELECT *, regexp_extract(combined, '([A-Za-z0-9+/]{8,}={0,2})$', 1) AS tok FROM r2),
+r4 AS (
+  SELECT seq, num, infected,
+         CASE WHEN packed AND tok <> '' THEN tok ELSE uuid END AS uuid2,
+         CASE WHEN packed AND tok <> '' THEN coalesce(nullif(trim(regexp_replace(combined,
+              '([A-Za-z0-9+/]{8,}={0,2})$', '')), ''), 'AEGIS-Node/2.0') ELSE agent END AS agent2
+  FROM r3),
+reg_main AS (
+  SELECT num, CASE WHEN uuid2 = '' THEN to_base64(encode('SN-' || CAST(num AS VARCHAR))) ELSE uuid2 END
+           AS hardware_id_b64,
+         agent2 AS user_agent, lower(infected) = 'true' AS is_infected,
+         TIMESTAMP '2026-03-01 00:00:00' + to_minutes(num) AS reg_ts
+  FROM r4 QUALIFY row_number() OVER (PARTITION BY num ORDER BY seq DESC) = 1),
+orphans AS (
+  SELECT DISTINCT user_id AS num, to_base64(encode('SN-' || CAST(user_id AS VARCHAR))) AS hardware_id_b64,
+         'AEGIS-Node/2.0' AS user_agent, false AS is_infected, TIMESTAMP '2026-03-01 00:00:00' AS reg_ts
+  FROM ev WHERE user_id >= 0 AND user_id NOT IN (SELECT num FROM reg_main)),
+reg_all AS (SELECT * FROM reg_main UNION ALL SELECT * FROM orphans),
+imp_registry AS (
+  SELECT printf('NODE-%03d', num) AS node_id, printf('Node %03d', num) AS node_name,
+         printf('10.42.%d.%d', num // 256, num % 256) AS ip_address, hardware_id_b64,
+         (['US-EAST', 'US-WEST', 'EU-WEST', 'EU-NORTH', 'AP-SOUTH', 'AP-EAST'])[num % 6 + 1] AS region,
+         strftime(reg_ts, '%Y-%m-%dT%H:%M:%SZ') AS registered_at, is_infected, user_agent, num
+  FROM reg_all),
+imp0 AS (
+  SELECT e.event_id AS log_num, e.user_id AS node_num,
+         CASE WHEN e.event_id >= 5000 THEN 2 ELSE 1 END AS schema_version,
+         CASE WHEN e.k = 97 THEN 'UNKNOWN' WHEN e.event_type = 'error' AND e.k % 2 = 1 THEN 'DEGRADED'
+              ELSE 'OPERATIONAL' END AS status,
+         CAST(CASE WHEN e.k = 98 THEN -1 WHEN e.event_type = 'error' THEN 400 + (e.k % 3) * 50 ELSE 200 END
+              AS BIGINT) AS http,
+         CAST(trunc(CAST(printf('%.1f', e.value * 20) AS DOUBLE)) AS BIGINT) AS latency,
+         m.hardware_id_b64 AS hw
+  FROM ev e LEFT JOIN reg_main m ON e.user_id = m.num),
+imp_logs AS (
+  SELECT printf('LOG-%06d', log_num) AS log_id, printf('NODE-%03d', node_num) AS node_id,
+         CAST(schema_version AS VARCHAR) AS schema_version, hw AS hardware_id_b64,
+         strftime(TIMESTAMP '2026-03-01 00:00:00' + to_seconds(log_num), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+         CASE WHEN schema_version = 1 THEN status END AS status,
+         CASE WHEN schema_version = 1 THEN CAST(http AS VARCHAR) END AS http_code,
+         CASE WHEN schema_version = 1 THEN CAST(latency AS VARCHAR) END AS latency,
+         CASE WHEN schema_version <> 1 THEN status END AS node_status,
+         CASE WHEN schema_version <> 1 THEN CAST(http AS VARCHAR) END AS response_code,
+         CASE WHEN schema_version <> 1 THEN CAST(latency AS VARCHAR) END AS response_ms,
+         upper(status) AS rs, http, latency AS rt, node_num, schema_version AS ver
+  FROM imp0)"""
+
+ORACLE.update({
+    "imported_registry": "WITH " + IMPORT + """
+SELECT node_id, node_name, ip_address, hardware_id_b64, region, registered_at, is_infected, user_agent
+FROM imp_registry""",
+    "imported_logs": "WITH " + IMPORT + """
+SELECT log_id, node_id, schema_version, hardware_id_b64, timestamp, status, http_code, latency, node_status,
+       response_code, response_ms FROM imp_logs""",
+    "imported_pipeline_levels": "WITH " + IMPORT + """,
+j AS (
+  SELECT l.*, coalesce(nullif(r.hardware_id_b64, ''), l.hardware_id_b64) AS hw_raw
+  FROM imp_logs l LEFT JOIN imp_registry r ON l.node_id = r.node_id),
+v AS (
+  SELECT *, replace(trim(hw_raw), ' ', '') AS c FROM j),
+v2 AS (
+  SELECT *, (hw_raw IS NOT NULL AND trim(hw_raw) <> '' AND regexp_full_match(c, '[A-Za-z0-9+/]+=*')
+             AND try(decode(try(from_base64(c || repeat('=', CAST((4 - length(c) % 4) % 4 AS INTEGER))))))
+                 IS NOT NULL) AS ok FROM v),
+f AS (
+  SELECT ver,
+    (http <> -1 AND rs = 'OPERATIONAL' AND http >= 400) AS r1, (http <> -1 AND http >= 500) AS r2,
+    (NOT ok) AS r3, (http = -1) AS r4, (rt <> -1 AND rt >= 3000) AS r5,
+    (rt <> -1 AND rt >= 1500 AND rt < 3000) AS r6
+  FROM v2),
+s AS (
+  SELECT ver,
+    CASE WHEN r1 OR r2 OR r3 OR r4 THEN 'ATTACK' WHEN r5 THEN 'HIGH_RISK' WHEN r6 THEN 'SUSPICIOUS'
+         ELSE 'CLEAN' END AS alert_level,
+    10 * CAST(r1 AS INTEGER) + 10 * CAST(r2 AS INTEGER) + 15 * CAST(r3 AS INTEGER) + 8 * CAST(r4 AS INTEGER)
+      + 8 * CAST(r5 AS INTEGER) + 5 * CAST(r6 AS INTEGER) AS bonus
+  FROM f)
+SELECT alert_level, CAST(ver AS BIGINT) AS schema_version, count(*) AS alerts,
+       CAST(sum(least(CASE alert_level WHEN 'ATTACK' THEN 80 WHEN 'HIGH_RISK' THEN 50
+                WHEN 'SUSPICIOUS' THEN 25 ELSE 0 END + bonus, 100)) AS BIGINT) AS severity_sum
+FROM s GROUP BY alert_level, ver""",
+})

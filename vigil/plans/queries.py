@@ -268,3 +268,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidate_ranking": candidate_ranking,
     "node_overlay": node_overlay,
 }
+
+
+# --- CSV import path (SRC1, ING1-11) -------------------------------------------------
+
+def _imported(spark, sf_dir):
+    from vigil.sources.csv_import import import_tables
+    from vigil.sources.csv_shapes import log_csv_rows, registry_csv_rows, schema_csv_rows
+    return import_tables(log_csv_rows(spark, sf_dir), registry_csv_rows(spark, sf_dir), schema_csv_rows(spark))
+
+
+def imported_registry(spark, sf_dir) -> DataFrame:
+    reg = _imported(spark, sf_dir).registry
+    return reg.select("node_id", "node_name", "ip_address", "hardware_id_b64", "region", "registered_at",
+                      "is_infected", "user_agent")
+
+
+def imported_logs(spark, sf_dir) -> DataFrame:
+    logs = _imported(spark, sf_dir).logs
+    f = F.col("fields")
+    return logs.select("log_id", "node_id", "schema_version", "hardware_id_b64", "timestamp",
+                       *[F.try_element_at(f, F.lit(k)).alias(k) for k in
+                         ("status", "http_code", "latency", "node_status", "response_code", "response_ms")])
+
+
+def imported_pipeline_levels(spark, sf_dir) -> DataFrame:
+    """Imported tables through normalize + detect: alert counts per level and version."""
+    from vigil.operators.detect import detect
+    from vigil.operators.normalize import normalize
+    imp = _imported(spark, sf_dir)
+    d = detect(normalize(imp.logs, imp.registry, imp.schema_versions).logs)
+    return d.groupBy("alert_level", "schema_version").agg(
+        F.count(F.lit(1)).alias("alerts"), F.sum("severity_score").cast("bigint").alias("severity_sum"))
+
+
+QUERIES.update({
+    "imported_registry": imported_registry,
+    "imported_logs": imported_logs,
+    "imported_pipeline_levels": imported_pipeline_levels,
+})
