@@ -42,3 +42,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     if key not in _DECISIONS:
         _DECISIONS[key] = df.limit(bound + 1).count() <= bound
     return F.broadcast(df) if _DECISIONS[key] else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the scan yields fewer partitions than the cluster has cores.
+
+    A large input already arrives in thousands of file splits and is left
+    alone (no shuffle); a small file with a single row group would otherwise
+    run the CPU-heavy normalization in one task.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -9,6 +9,7 @@ stages with column pruning, filter pushdown and partition pruning.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ class PipelineResult:
     root: str
     ran: bool
     stages: dict
+    timings: dict | None = None
 
 
 def run_pipeline(spark: SparkSession, logs: DataFrame, registry: DataFrame, schema_versions: DataFrame,
@@ -39,8 +41,12 @@ def run_pipeline(spark: SparkSession, logs: DataFrame, registry: DataFrame, sche
     if logs.isEmpty():
         return PipelineResult(out_root, False, {})
 
+    timings: dict[str, float] = {}
+
     def cut(name: str, df: DataFrame) -> DataFrame:
+        t0 = time.time()
         write_stage(df, out_root, name)
+        timings[name] = round(time.time() - t0, 3)
         return read_stage(spark, out_root, name)
 
     norm = normalize(logs, registry, schema_versions)
@@ -61,11 +67,12 @@ def run_pipeline(spark: SparkSession, logs: DataFrame, registry: DataFrame, sche
     counts = cut("node_fingerprint_counts", fpr.node_fingerprint_counts(graph_logs))
     cands = cut("attribution_candidates", att.candidates(nodes, edges, clusters))
     command = cut("command_node", att.command_node(nodes, cands))
-    return PipelineResult(out_root, True, {
+    stages_out = {
         "normalized_logs": normalized, "detected_logs": detected, "alerts": alerts, "metrics": metrics,
         "graph_logs": graph_logs, "graph_nodes": nodes, "graph_edges": edges, "fingerprints": clusters,
         "node_fingerprint_counts": counts, "attribution_candidates": cands, "command_node": command,
-    })
+    }
+    return PipelineResult(out_root, True, stages_out, timings)
 
 
 def alert_counts_by_level(spark: SparkSession, root: str) -> DataFrame:

@@ -307,3 +307,34 @@ QUERIES.update({
     "imported_logs": imported_logs,
     "imported_pipeline_levels": imported_pipeline_levels,
 })
+
+
+# --- Model channels (DET8, ATT6): no SQL oracle, rows-only check --------------------
+
+def anomaly_levels(spark, sf_dir) -> DataFrame:
+    """Isolation-forest scores feeding the ML detection channel; counts per level and ML rule."""
+    from vigil.operators.anomaly import fit_isolation_forest
+    from vigil.operators.detect import detect
+    st = _s(spark, sf_dir)
+    model = fit_isolation_forest(st.normalized, n_trees=50, seed=7)
+    d = detect(model.score(st.normalized))
+    ml_id = F.try_element_at(F.filter("rule_ids", lambda r: F.startswith(r, F.lit("ml_"))), F.lit(1))
+    return d.groupBy("alert_level", F.coalesce(ml_id, F.lit("none")).alias("ml_rule")).agg(
+        F.count(F.lit(1)).alias("alerts"), F.round(F.min("anomaly_score"), 4).alias("min_score"))
+
+
+def infection_scores(spark, sf_dir) -> DataFrame:
+    """Boosted-tree infection probability per node, blended into the attribution score."""
+    from vigil.operators.infection_model import fit_infection_model, infection_probability, training_frame
+    st = _s(spark, sf_dir)
+    model = fit_infection_model(training_frame(st.detected, st.telemetry.registry))
+    probs = infection_probability(model, st.detected)
+    cands = att.candidates(st.nodes, st.edges, st.clusters, ml_probability=probs)
+    return cands.select("node_id", F.round("ml_probability", 4).alias("ml_probability"), "score",
+                        F.array_join("reasons", SEP).alias("reasons"))
+
+
+QUERIES.update({
+    "anomaly_levels": anomaly_levels,
+    "infection_scores": infection_scores,
+})

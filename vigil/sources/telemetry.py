@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.graphfn import ISO_OUT_FORMAT
+from vigil.operators.sizing import spread
 
 V1_FIELDS = {"reported_status": "status", "http_status": "http_code", "response_time_ms": "latency"}
 V2_FIELDS = {"reported_status": "node_status", "http_status": "response_code", "response_time_ms": "response_ms"}
@@ -81,7 +82,7 @@ def schema_versions_table(spark: SparkSession) -> DataFrame:
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    ev = ev.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
+    ev = spread(ev.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k")))
     v1 = F.col("event_id") < V2_START
     status = F.when((F.col("event_type") == "error") & (F.col("k") % 2 == 1), "DEGRADED").otherwise("OPERATIONAL")
     http = (F.when(F.col("k") == NULL_HTTP_K, F.lit(None).cast("bigint"))
