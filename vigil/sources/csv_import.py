@@ -17,6 +17,7 @@ from vigil.functions.scalars import PY_FLOAT_RE, py_strip
 from vigil.operators.asof import asof_lookup
 from vigil.operators.indexing import dense_index
 from vigil.operators.sizing import broadcast_if_small
+from vigil.session import ensure_checkpoint_dir
 
 # Fixed values (must equal the reference for identical imports).
 REGIONS = ["US-EAST", "US-WEST", "EU-WEST", "EU-NORTH", "AP-SOUTH", "AP-EAST"]
@@ -197,6 +198,11 @@ def import_tables(log_rows: DataFrame, registry_rows: DataFrame, schema_rows: Da
     reg = repair_registry(registry_rows, name_format)
     logs = import_logs(log_rows, schema_starts(schema_rows), reg)
     full_reg = reg.unionByName(orphan_nodes(logs, reg, name_format))
+    # The completed registry depends on a pass over the logs (orphans) but is
+    # dimension-sized: checkpoint it so the downstream lookups and the size
+    # probe read the small materialized table instead of re-importing logs.
+    ensure_checkpoint_dir(full_reg.sparkSession)
+    full_reg = full_reg.checkpoint(eager=True)
     return Imported(logs.drop("node_num"), full_reg, version_table(schema_rows))
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.operators.sizing import spread
 from vigil.sources.telemetry import read_table
 
 AGENT_TEXT = "AEGIS-Node/2.0 (Linux)"
@@ -38,7 +39,7 @@ def registry_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    ev = ev.select("event_id", "user_id", "event_type", "value", k.alias("k"))
+    ev = spread(ev.select("event_id", "user_id", "event_type", "value", k.alias("k")))
     status = (F.when(F.col("k") == 97, F.lit(""))
               .when((F.col("event_type") == "error") & (F.col("k") % 2 == 1), F.lit("DEGRADED"))
               .otherwise(F.lit("OPERATIONAL")))
