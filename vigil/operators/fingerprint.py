@@ -10,7 +10,7 @@ table so consumers never need the per-cluster arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.graphfn import fingerprint_key, interval_bucket, is_common_user_agent
@@ -45,11 +45,11 @@ def fingerprint_clusters(graph_logs: DataFrame, min_frequency: int = DEFAULT_MIN
                          common_ua_cutoff_ratio: float = DEFAULT_COMMON_UA_CUTOFF) -> DataFrame:
     """Filtered clusters with confidence, ordered by (occurrences, confidence) desc, first seen."""
     keyed = keyed_logs(graph_logs)
-    # UA-sized table; the log total is its column sum (window over the UA
-    # table, not a second pass over the logs).
+    # Distributed count, broadcast as one scalar; graph logs are a written
+    # stage in the pipeline, so this is a metadata-level count of a leaf.
+    total = graph_logs.agg(F.count(F.lit(1))).scalar()
     ua_share = keyed.groupBy(F.col("_raw_ua").alias("user_agent")).agg(
         F.count(F.lit(1)).alias("_ua_count"))
-    ua_share = ua_share.withColumn("_total", F.sum("_ua_count").over(Window.partitionBy()))
     clusters = keyed.groupBy("fingerprint_key").agg(
         F.count(F.lit(1)).alias("occurrences"),
         F.sort_array(F.collect_set(F.nullif(F.col("source_node"), F.lit("")))).alias("nodes"),
@@ -59,7 +59,6 @@ def fingerprint_clusters(graph_logs: DataFrame, min_frequency: int = DEFAULT_MIN
     clusters = clusters.select("fingerprint_key", "occurrences", "nodes", "first_seq",
                                "_first.headers", "_first.user_agent", "_first.interval_bucket")
     clusters = clusters.join(ua_share, "user_agent", "left")
-    total = F.col("_total")
     share = F.when(total > 0, F.coalesce(F.col("_ua_count"), F.lit(0)) / total).otherwise(F.lit(0.0))
     clusters = clusters.filter(~(is_common_user_agent(F.col("user_agent")) & (share >= common_ua_cutoff_ratio)))
     dominant_ratio = F.lit(1.0)
