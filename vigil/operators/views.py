@@ -82,11 +82,16 @@ def search_page(found: DataFrame, page: int = 1, rows: int = SEARCH_PAGE_ROWS) -
     return found.orderBy(F.desc("severity_score"), F.asc("seq")).offset((pg - 1) * rows).limit(rows)
 
 
-def latest_per_node(alerts: DataFrame) -> DataFrame:
-    """Most recent alert per node; equal timestamps keep the earlier input row (VW6)."""
+def latest_per_node(alerts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Most recent alert per node; equal timestamps keep the earlier input row (VW6).
+
+    A partial ``max_by`` aggregate (a hot node is combined map-side).  Pass
+    ``columns`` to carry only what the view needs, so the scan stays pruned.
+    """
+    keep = columns or [c for c in alerts.columns if c != "node_id"]
+    keep = [c for c in dict.fromkeys(list(keep) + ["timestamp", "seq"]) if c != "node_id"]
     key = F.struct(F.col("timestamp"), (-F.col("seq")).alias("_neg_seq"))
-    return (alerts.groupBy("node_id").agg(F.max_by(F.struct(*[c for c in alerts.columns if c != "node_id"]),
-                                                   key).alias("_a"))
+    return (alerts.groupBy("node_id").agg(F.max_by(F.struct(*keep), key).alias("_a"))
             .select("node_id", "_a.*"))
 
 
@@ -97,7 +102,7 @@ def latency_band(rt: Column) -> Column:
 
 def latency_top(alerts: DataFrame, k: int = 10) -> DataFrame:
     """Top-k nodes by their latest latency (> 0), with colour bands (VW7)."""
-    latest = latest_per_node(alerts).filter(F.col("response_time_ms") > 0)
+    latest = latest_per_node(alerts, ["response_time_ms", "alert_level"]).filter(F.col("response_time_ms") > 0)
     order = [F.desc("response_time_ms"), F.desc("timestamp"), F.asc("seq")]
     top = latest.orderBy(*order).limit(k)
     return top.select("node_id", "response_time_ms", "alert_level",

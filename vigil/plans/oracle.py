@@ -319,6 +319,11 @@ QUALIFY row_number() OVER (ORDER BY severity_score DESC, timestamp DESC, seq ASC
 SELECT log_id, node_id, region, alert_level, severity_score, timestamp FROM detected
 WHERE contains(lower(node_id), 'node-01') OR contains(lower(node_name), 'node-01')
    OR contains(lower(region), 'node-01') OR contains(lower(log_id), 'node-01')"""),
+    "alert_search_page": _q("""
+SELECT log_id, node_id, region, alert_level, severity_score, timestamp FROM detected
+WHERE contains(lower(node_id), 'europe') OR contains(lower(node_name), 'europe')
+   OR contains(lower(region), 'europe') OR contains(lower(log_id), 'europe')
+QUALIFY row_number() OVER (ORDER BY severity_score DESC, seq ASC) BETWEEN 101 AND 150"""),
     "latest_alert_per_node": _q("""
 SELECT node_id, log_id, timestamp, alert_level, severity_score, response_time_ms FROM detected
 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY timestamp DESC, seq ASC) = 1"""),

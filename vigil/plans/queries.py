@@ -118,10 +118,15 @@ def alert_search(spark, sf_dir) -> DataFrame:
     return _alert_cols(vw.search_alerts(a, "NODE-01"))
 
 
+def alert_search_page(spark, sf_dir) -> DataFrame:
+    a = _s(spark, sf_dir).alerts
+    return _alert_cols(vw.search_page(vw.search_alerts(a, "europe"), page=3))
+
+
 def latest_alert_per_node(spark, sf_dir) -> DataFrame:
     a = _s(spark, sf_dir).alerts
-    return vw.latest_per_node(a).select("node_id", "log_id", "timestamp", "alert_level", "severity_score",
-                                        "response_time_ms")
+    cols = ["log_id", "timestamp", "alert_level", "severity_score", "response_time_ms"]
+    return vw.latest_per_node(a, cols).select("node_id", *cols)
 
 
 def latency_top10(spark, sf_dir) -> DataFrame:
@@ -129,7 +134,7 @@ def latency_top10(spark, sf_dir) -> DataFrame:
 
 
 def status_class_4xx(spark, sf_dir) -> DataFrame:
-    latest = vw.latest_per_node(_s(spark, sf_dir).alerts)
+    latest = vw.latest_per_node(_s(spark, sf_dir).alerts, ["severity_score"])
     return vw.status_class_filter(latest, "4XX").select("node_id", "severity_score", "status_code")
 
 
@@ -245,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_page": alert_page,
     "summary_critical": summary_critical,
     "alert_search": alert_search,
+    "alert_search_page": alert_search_page,
     "latest_alert_per_node": latest_alert_per_node,
     "latency_top10": latency_top10,
     "status_class_4xx": status_class_4xx,
