@@ -69,3 +69,27 @@ def test_version_table(spark):
     rows = {r.version: r for r in vt.collect()}
     assert rows["1"].deprecated and not rows["2"].deprecated
     assert rows["2"].active_since == "t=5000" and dict(rows["2"].field_map)["http_status"] == "response_code"
+
+
+def test_csv_files_end_to_end(spark, tmp_path):
+    from vigil.sources.csv_import import import_csv
+    (tmp_path / "logs.csv").write_text(
+        "log_id,node_id,json_status,http_response_code,response_time_ms\n"
+        "1,0,Operational,500,4200.5\n"
+        "5001,12,,200,90\n"
+        "7,0,\"Operational, degraded\",404,10,extra\n")
+    (tmp_path / "reg.csv").write_text(
+        "node_uuid,user_agent,is_infected\n"
+        "0,AEGIS-Node/2.0 (Linux) U04tOTI4MA==,False\n"
+        "1,AEGIS-Node/2.0 (Linux) U04tNjEyNA==,True\n")
+    (tmp_path / "schema.csv").write_text("version,time_start,active_column\n1,0,load_val\n2,5000,L_V1\n")
+    imp = import_csv(spark, str(tmp_path / "logs.csv"), str(tmp_path / "reg.csv"), str(tmp_path / "schema.csv"))
+    logs = {r.log_id: r for r in imp.logs.collect()}
+    assert dict(logs["LOG-000001"].fields) == {"status": "Operational", "http_code": "500", "latency": "4200"}
+    assert logs["LOG-005001"].schema_version == "2" and logs["LOG-005001"].hardware_id_b64 is None
+    assert dict(logs["LOG-000007"].fields)["status"] == "Operational, degraded"
+    reg = {r.node_id: r for r in imp.registry.collect()}
+    assert set(reg) == {"NODE-000", "NODE-001", "NODE-012"}
+    assert reg["NODE-001"].is_infected and reg["NODE-001"].hardware_id_b64 == "U04tNjEyNA=="
+    assert reg["NODE-012"].registered_at == "2026-03-01T00:00:00Z"
+    assert sorted(r.version for r in imp.schema_versions.collect()) == ["1", "2"]

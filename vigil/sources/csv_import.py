@@ -47,13 +47,34 @@ def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     follows file order).
     """
     lines = spark.read.text(path).withColumn("_mono", F.monotonically_increasing_id())
-    header = lines.orderBy("_mono").limit(1).select("value").scalar()
-    body = lines.filter(F.col("_mono") != lines.agg(F.min("_mono")).scalar())
+    first = lines.orderBy("_mono").limit(1).collect()  # the header line only
+    if not first:
+        return rows_schema_empty(spark)
+    header_mono = first[0]["_mono"]
+    body = lines.filter(F.col("_mono") != F.lit(header_mono))
     idx = dense_index(body.select("_mono"), "_mono")
     body = body.join(idx, "_mono").withColumnRenamed("idx", "seq")
-    names = F.split(header, ",")
-    vals = F.split(F.col("value"), ",")
-    return body.select("seq", vals.alias("values"), names.alias("_names"))
+    names = _split_csv(F.lit(first[0]["value"]))
+    return body.select("seq", _split_csv(F.col("value")).alias("values"), names.alias("_names"))
+
+
+# a comma outside double quotes (an even number of quotes follows it)
+_FIELD_SEP = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _split_csv(line) -> Column:
+    """Split one CSV line into fields; quoted fields lose their quotes and "" becomes "."""
+    parts = F.split(line, _FIELD_SEP)
+
+    def unquote(f: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_extract(f, r'^"(.*)"$', 1), '""', '"')
+        return F.when(f.rlike(r'^".*"$'), inner).otherwise(f)
+
+    return F.transform(parts, unquote)
+
+
+def rows_schema_empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "seq bigint, values array<string>, _names array<string>")
 
 
 def named(rows: DataFrame, columns: list[str]) -> DataFrame:
