@@ -50,8 +50,11 @@ def run_pipeline(spark: SparkSession, logs: DataFrame, registry: DataFrame, sche
         return read_stage(spark, out_root, name)
 
     norm = normalize(logs, registry, schema_versions)
-    normalized = cut("normalized_logs", norm.logs)
-    cut("integrity_summary", integrity_summary(norm.flagged))
+    # one normalization pass: every row is written with its skip flag, the
+    # canonical table and the integrity counts both read that stage
+    flagged = cut("normalized_flagged", norm.flagged)
+    normalized = cut("normalized_logs", flagged.filter(~F.col("_skip")).drop("_skip"))
+    cut("integrity_summary", integrity_summary(flagged))
     if normalized.isEmpty():
         return PipelineResult(out_root, False, {"normalized_logs": normalized})
     if anomaly_model is not None:
