@@ -133,3 +133,10 @@ def test_pipeline_properties(spark):
     assert levels == total
     assert st.edges.agg(F.sum("count")).collect()[0][0] == st.graph_logs.count() == total
     assert st.edges.filter(F.col("source") == F.col("target")).count() == 0
+
+
+def test_empty_registry_targets_self(spark):
+    logs = spark.createDataFrame([("L1", "A", "2024-01-01T00:00:00Z", "r", 1, 10, 0, 0, "CLEAN")], LOG_SCHEMA)
+    empty = spark.createDataFrame([], "node_id string, user_agent string, seq bigint")
+    r = grf.graph_ready_logs(logs, empty).collect()[0]
+    assert (r.target_node, r.user_agent) == ("A", "UNKNOWN-UA")

@@ -18,7 +18,7 @@ from vigil.functions.scalars import py_strip, safe_str
 from vigil.operators.indexing import dense_index
 from vigil.operators.intervals import previous_in_group
 from vigil.operators.rules import LEVEL_RANK
-from vigil.operators.sizing import broadcast_if_small
+from vigil.operators.sizing import broadcast_if_small, session_key
 
 UNKNOWN_UA = "UNKNOWN-UA"
 
@@ -37,15 +37,25 @@ def rank_level(col: Column) -> Column:
     return out
 
 
+_TARGETS: dict[tuple, DataFrame] = {}
+
+
 def target_index(registry: DataFrame) -> tuple[DataFrame, Column]:
-    """(idx, node_id, next_node_id) over sorted registry ids, and the id count as a scalar."""
+    """(idx, node_id, next_node_id, n) over sorted registry ids, and the id count as a scalar.
+
+    Dimension-sized and checkpointed once per application and registry plan.
+    """
     ids = registry.select(safe_str("node_id", None).alias("node_id")).filter(F.col("node_id").isNotNull())
-    idx = dense_index(ids, "node_id")
-    n = idx.agg(F.count(F.lit(1))).scalar()
-    nxt = idx.select(F.col("idx").alias("_nidx"), F.col("node_id").alias("next_node_id"))
-    table = (idx.withColumn("_nidx", F.when(n > 0, F.pmod(F.col("idx") + 1, n)))
-             .join(nxt, "_nidx").drop("_nidx"))
-    return table, n
+    key = session_key(ids, "targets")
+    if key not in _TARGETS:
+        idx = dense_index(ids, "node_id")
+        n = idx.agg(F.count(F.lit(1))).scalar()
+        nxt = idx.select(F.col("idx").alias("_nidx"), F.col("node_id").alias("next_node_id"))
+        table = (idx.withColumn("_nidx", F.when(n > 0, F.pmod(F.col("idx") + 1, n)))
+                 .join(nxt, "_nidx").drop("_nidx").withColumn("n", n))
+        _TARGETS[key] = table.checkpoint(eager=True)
+    table = _TARGETS[key]
+    return table.drop("n"), table.agg(F.coalesce(F.max("n"), F.lit(0).cast("bigint"))).scalar()
 
 
 def hash_slot(log_id: Column, n: Column) -> Column:

@@ -37,5 +37,7 @@ def dense_index(values: DataFrame, col: str, partitions: int | None = None) -> D
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     index = (local.join(F.broadcast(offsets), "_pid")
              .select(col, (F.col("_offset") + F.col("_local")).cast("bigint").alias("idx")))
+    # dimension-sized: materialize so every consumer reads a small leaf
+    index = index.checkpoint(eager=True)
     _INDEXES[key] = index
     return index
