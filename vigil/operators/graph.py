@@ -18,7 +18,7 @@ from vigil.functions.scalars import py_strip, safe_str
 from vigil.operators.indexing import dense_index
 from vigil.operators.intervals import previous_in_group
 from vigil.operators.rules import LEVEL_RANK
-from vigil.operators.sizing import broadcast_if_small, session_key
+from vigil.operators.sizing import broadcast_if_small, materialize_dimension, session_key
 
 UNKNOWN_UA = "UNKNOWN-UA"
 
@@ -86,7 +86,8 @@ def graph_ready_logs(logs: DataFrame, registry: DataFrame, alerts: DataFrame | N
     reg = (registry.select(safe_str("node_id", None).alias("source_node"),
                            F.col("user_agent").cast("string").alias("_reg_ua"), "seq")
            .filter(F.col("source_node").isNotNull()))
-    reg = (reg.groupBy("source_node").agg(F.max_by("_reg_ua", "seq").alias("_reg_ua")))
+    reg = materialize_dimension(reg.groupBy("source_node").agg(F.max_by("_reg_ua", "seq").alias("_reg_ua")),
+                                "registry_ua")
     base = base.join(broadcast_if_small(reg), "source_node", "left")
     log_ua = F.nullif(F.col("user_agent").cast("string"), F.lit("")) if "user_agent" in cols else F.lit(None)
     ua = py_strip(F.coalesce(log_ua, F.nullif(F.col("_reg_ua"), F.lit("")), F.lit(UNKNOWN_UA)))

@@ -18,7 +18,7 @@ from vigil.functions.hardware import with_hardware_check
 from vigil.functions.scalars import (
     is_py_infinity, normalize_timestamp, safe_int, safe_str, safe_str_upper,
 )
-from vigil.operators.sizing import broadcast_if_small
+from vigil.operators.sizing import broadcast_if_small, materialize_dimension
 
 DEFAULT_HTTP_STATUS = -1
 DEFAULT_RESPONSE_TIME = -1
@@ -80,17 +80,33 @@ def _extract(fields: Column, field_map: Column, canonical: str) -> Column:
 @dataclass(frozen=True)
 class Normalized:
     logs: DataFrame        # the canonical rows (NORMALIZED_COLUMNS)
-    flagged: DataFrame     # every input row with a boolean ``_skip``
+    flagged: DataFrame     # every input row (ids, raw fields) with a boolean ``_skip``
 
 
-def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFrame) -> Normalized:
-    """Raw logs -> canonical normalized logs (NRM3-9)."""
-    versions = schema_lookup(schema_versions)
+INTEGRITY_METRICS = ("total_rows", "valid_rows", "dropped_rows")
+
+
+def _integrity_aggs():
+    return [F.count(F.lit(1)).alias("total_rows"), F.count_if(~F.col("_skip")).alias("valid_rows"),
+            F.count_if(F.col("_skip")).alias("dropped_rows")]
+
+
+def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFrame,
+              observation=None) -> Normalized:
+    """Raw logs -> canonical normalized logs (NRM3-9).
+
+    Rows that cannot be normalized (blank ids, an infinite number) are
+    flagged right after field extraction and dropped before the registry
+    join and the Base64 stages, so those expensive projections run once per
+    kept row.  Pass a ``pyspark.sql.Observation`` to collect the integrity
+    counts (NRM10) in the same pass that produces the normalized rows.
+    """
+    versions = materialize_dimension(schema_lookup(schema_versions), "versions")
     v1_map = versions.filter(F.col("version") == FALLBACK_VERSION).select("field_map").scalar()
     versions = broadcast_if_small(versions.withColumn("_known", F.lit(True)))
-    reg = registry_lookup(registry).select(
+    reg = materialize_dimension(registry_lookup(registry).select(
         "node_id", F.col("node_name").alias("_r_name"), F.col("region").alias("_r_region"),
-        F.col("hardware_id_b64").alias("_r_hw"), F.lit(True).alias("_r_hit"))
+        F.col("hardware_id_b64").alias("_r_hw"), F.lit(True).alias("_r_hit")), "registry")
     reg = broadcast_if_small(reg)
 
     logs = raw_logs.select(
@@ -113,6 +129,14 @@ def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFra
         "*", known.alias("schema_known"),
         status_raw.alias("_status_raw"), http_raw.alias("_http_raw"), rt_raw.alias("_rt_raw"),
     )
+    skip = ((F.col("log_id") == "") | (F.col("node_id") == "")
+            | is_py_infinity("_ver_raw") | is_py_infinity("_http_raw") | is_py_infinity("_rt_raw"))
+    flagged = logs.withColumn("_skip", skip)
+    kept = flagged
+    if observation is not None:
+        # CollectMetrics also fences the filter below from being pushed under it
+        kept = kept.observe(observation, *_integrity_aggs())
+    logs = kept.filter(~F.col("_skip")).drop("_skip")
     logs = logs.join(reg, "node_id", "left")
     hit = F.coalesce(F.col("_r_hit"), F.lit(False))
     r_hw_present = F.col("_r_hw").isNotNull() & (F.col("_r_hw") != "")
@@ -130,11 +154,9 @@ def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFra
         F.when(~hit, F.format_string(WARN_NODE, F.col("node_id"))),
         F.when(~F.col("_hw.valid"), F.concat(F.lit(WARN_HARDWARE), F.col("_hw.reason"))),
     ))
-    skip = ((F.col("log_id") == "") | (F.col("node_id") == "")
-            | is_py_infinity("_ver_raw") | is_py_infinity("_http_raw") | is_py_infinity("_rt_raw"))
     hw_out = F.when(F.col("_hw_raw").isNull() | (F.col("_hw_raw") == ""), F.lit(None).cast("string")) \
         .otherwise(safe_str("_hw_raw", ""))
-    flagged = logs.select(
+    out = logs.select(
         "log_id", "node_id",
         F.when(hit, safe_str("_r_name", DEFAULT_NODE_NAME)).otherwise(F.lit(DEFAULT_NODE_NAME)).alias("node_name"),
         F.when(hit, safe_str("_r_region", DEFAULT_REGION)).otherwise(F.lit(DEFAULT_REGION)).alias("region"),
@@ -150,15 +172,10 @@ def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFra
         ts.alias("timestamp"),
         warnings.alias("parse_warnings"),
         "load_val", "L_V1", "seq",
-        skip.alias("_skip"),
     )
-    return Normalized(flagged.filter(~F.col("_skip")).drop("_skip"), flagged)
+    return Normalized(out, flagged)
 
 
 def integrity_summary(flagged: DataFrame) -> DataFrame:
     """total / valid / dropped rows, one pass (NRM10)."""
-    return flagged.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(~F.col("_skip")).alias("valid_rows"),
-        F.count_if(F.col("_skip")).alias("dropped_rows"),
-    )
+    return flagged.agg(*_integrity_aggs())

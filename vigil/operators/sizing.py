@@ -55,3 +55,22 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+_DIMENSIONS: dict[tuple, DataFrame] = {}
+
+
+def materialize_dimension(df: DataFrame, tag: str) -> DataFrame:
+    """Checkpoint a dimension-derived frame once per application and plan.
+
+    For small derived lookups (deduplicated registry, version table): later
+    plans read the checkpoint instead of re-running the dedupe aggregation,
+    and the size probe and broadcast read a leaf.  Reliable checkpoint into
+    ``spark.checkpoint.dir``; never for log-sized frames.
+    """
+    from vigil.session import ensure_checkpoint_dir
+    key = session_key(df, tag)
+    if key not in _DIMENSIONS:
+        ensure_checkpoint_dir(df.sparkSession)
+        _DIMENSIONS[key] = df.checkpoint(eager=True)
+    return _DIMENSIONS[key]

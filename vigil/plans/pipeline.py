@@ -12,7 +12,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import attribution as att
@@ -21,7 +21,7 @@ from vigil.operators import graph as grf
 from vigil.operators.detect import alerts as alert_projection
 from vigil.operators.detect import detect
 from vigil.operators.metrics import detection_metrics
-from vigil.operators.normalize import integrity_summary, normalize
+from vigil.operators.normalize import INTEGRITY_METRICS, normalize
 from vigil.operators.rules import Rule
 from vigil.sources.sinks import read_stage, write_stage
 
@@ -49,12 +49,14 @@ def run_pipeline(spark: SparkSession, logs: DataFrame, registry: DataFrame, sche
         timings[name] = round(time.time() - t0, 3)
         return read_stage(spark, out_root, name)
 
-    norm = normalize(logs, registry, schema_versions)
-    # one normalization pass: every row is written with its skip flag, the
-    # canonical table and the integrity counts both read that stage
-    flagged = cut("normalized_flagged", norm.flagged)
-    normalized = cut("normalized_logs", flagged.filter(~F.col("_skip")).drop("_skip"))
-    cut("integrity_summary", integrity_summary(flagged))
+    # one pass over the raw logs: the integrity counts are observed while the
+    # normalized rows are written
+    observed = Observation("integrity")
+    norm = normalize(logs, registry, schema_versions, observation=observed)
+    normalized = cut("normalized_logs", norm.logs)
+    counts = observed.get
+    cut("integrity_summary", spark.range(1).select(
+        *[F.lit(int(counts[k])).cast("bigint").alias(k) for k in INTEGRITY_METRICS]))
     if normalized.isEmpty():
         return PipelineResult(out_root, False, {"normalized_logs": normalized})
     if anomaly_model is not None:
