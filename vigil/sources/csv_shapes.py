@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators.sizing import spread
+from vigil.sources.csv_import import DEFAULT_AGENT
 from vigil.sources.telemetry import read_table
 
-AGENT_TEXT = "AEGIS-Node/2.0 (Linux)"
+AGENT_TEXT = f"{DEFAULT_AGENT} (Linux)"  # agent text as it appears in registry CSV rows
 
 
 def registry_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
