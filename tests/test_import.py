@@ -93,3 +93,11 @@ def test_csv_files_end_to_end(spark, tmp_path):
     assert reg["NODE-001"].is_infected and reg["NODE-001"].hardware_id_b64 == "U04tNjEyNA=="
     assert reg["NODE-012"].registered_at == "2026-03-01T00:00:00Z"
     assert sorted(r.version for r in imp.schema_versions.collect()) == ["1", "2"]
+
+
+def test_asof_refuses_large_boundary_table(spark):
+    import pytest
+    logs = spark.createDataFrame([(10,)], "n bigint")
+    big = _starts(spark, [(i, i * 10, i) for i in range(20)])
+    with pytest.raises(ValueError):
+        asof_lookup(logs, "n", big, "time_start", "version", "v", max_boundary_rows=5)

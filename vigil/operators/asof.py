@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.sizing import broadcast_if_small
+from vigil.operators.sizing import max_broadcast_rows
 
 
 def asof_lookup(df: DataFrame, key: str, boundaries: DataFrame, start: str, value: str, out: str,
-                default=1, order: str = "seq") -> DataFrame:
+                default=1, order: str = "seq", max_boundary_rows: int | None = None) -> DataFrame:
     b = boundaries.select(F.col(start).cast("bigint").alias("_start"), F.col(value).alias("_value"),
                           F.col(order).alias("_ord"))
     # equal starts: the later one (by seq) wins
@@ -28,7 +28,13 @@ def asof_lookup(df: DataFrame, key: str, boundaries: DataFrame, start: str, valu
     ranges = (b.withColumn("_next", F.lead("_start").over(w))
               .withColumn("_is_first", F.row_number().over(w) == 1))
     first_value = ranges.filter("_is_first").select("_value").scalar()
-    ranges = broadcast_if_small(ranges.select("_start", "_next", "_value"))
+    ranges = ranges.select("_start", "_next", "_value")
+    bound = max_boundary_rows if max_boundary_rows is not None else max_broadcast_rows(df)
+    if ranges.limit(bound + 1).count() > bound:
+        # a range join against a non-broadcast side would plan a nested-loop
+        # (cartesian) join over the big side; refuse instead of running it
+        raise ValueError(f"as-of boundary table exceeds {bound} rows; it must be a small dimension")
+    ranges = F.broadcast(ranges)
     k = F.col(key).cast("bigint")
     cond = (k >= F.col("_start")) & (F.col("_next").isNull() | (k < F.col("_next")))
     joined = df.join(ranges, cond, "left")
