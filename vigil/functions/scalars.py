@@ -78,3 +78,14 @@ def normalize_timestamp(col) -> Column:
     c = _c(col).cast("string")
     ok = (F.length(c) >= 10) & c.rlike(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
     return F.when(F.coalesce(ok, F.lit(False)), py_strip(c)).otherwise(F.lit("UNKNOWN"))
+
+
+def present_in_order(values, element_type: str = "string") -> Column:
+    """Array of the non-null ``values`` in argument order.
+
+    Same result as ``array_compact(array(...))`` but built from ``concat`` of
+    conditional one-element arrays: ``array_compact`` is a lambda filter
+    internally, which disables whole-stage codegen for its whole projection.
+    """
+    empty = F.array().cast(f"array<{element_type}>")
+    return F.concat(*[F.when(v.isNotNull(), F.array(v)).otherwise(empty) for v in values])

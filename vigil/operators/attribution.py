@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.scalars import present_in_order
+
 # Heuristic weights and blend ratios.
 W_OUT_DEGREE = 0.4
 W_FINGERPRINT_MATCHES = 0.35
@@ -87,7 +89,7 @@ def explain_reasons(has_model: bool = False) -> Column:
               .when(deg >= 25, F.format_string("High outgoing connections (%d) — significant target reach", deg))
               .when(deg >= 15, F.format_string("Significant connection count (%d targets)", deg))
               .when(deg >= 8, F.lit("Notable outgoing connection activity")))
-    reasons = F.array_compact(F.array(ml, centrality, fps, timing, volume))
+    reasons = present_in_order([ml, centrality, fps, timing, volume])
     return F.when(F.size(reasons) == 0, F.array(F.lit(FALLBACK_REASON))).otherwise(reasons)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.graphfn import ISO_OUT_FORMAT
-from vigil.functions.scalars import safe_float
+from vigil.functions.scalars import present_in_order, safe_float
 from vigil.operators.rules import PRIORITY_ORDER, SEVERITY_BASE, Rule, default_rules, ml_rules
 
 ALERT_COLUMNS = [
@@ -76,8 +76,9 @@ def detect(normalized: DataFrame, rules: list[Rule] | None = None, with_ml: bool
     """Score every normalized log; keeps the input columns and adds the alert columns.
 
     Rules become boolean columns, level/severity/confidence are CASE and
-    arithmetic over them, and reasons/rule ids are ``array_compact`` of the
-    fired entries in rule order (DET2: rule channel first, then ML).
+    arithmetic over them, and reasons/rule ids are the
+    fired entries in rule order (DET2: rule channel first, then ML), built
+    without lambdas so the projection stays in whole-stage codegen.
     ``with_ml`` defaults to "an ``anomaly_score`` column is present" -- the
     model-less branch (DET8 no-op) when it is absent.
     """
@@ -91,8 +92,8 @@ def detect(normalized: DataFrame, rules: list[Rule] | None = None, with_ml: bool
     valid_ids = (F.coalesce(F.trim(F.col("log_id")), F.lit("")) != "") & \
                 (F.coalesce(F.trim(F.col("node_id")), F.lit("")) != "")
     df = rule_flags(df.filter(valid_ids), rules)
-    reasons = F.array_compact(F.array(*[F.when(F.col(f"_r{i}"), r.reason()) for i, r in enumerate(rules)]))
-    rule_ids = F.array_compact(F.array(*[F.when(F.col(f"_r{i}"), F.lit(r.id)) for i, r in enumerate(rules)]))
+    reasons = present_in_order([F.when(F.col(f"_r{i}"), r.reason()) for i, r in enumerate(rules)])
+    rule_ids = present_in_order([F.when(F.col(f"_r{i}"), F.lit(r.id)) for i, r in enumerate(rules)])
     df = df.withColumn("alert_level", alert_level(rules))
     out = df.select(
         "*",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.hardware import with_hardware_check
 from vigil.functions.scalars import (
-    is_py_infinity, normalize_timestamp, safe_int, safe_str, safe_str_upper,
+    is_py_infinity, normalize_timestamp, present_in_order, safe_int, safe_str, safe_str_upper,
 )
 from vigil.operators.sizing import broadcast_if_small, materialize_dimension
 
@@ -146,14 +146,14 @@ def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFra
     http = safe_int("_http_raw", DEFAULT_HTTP_STATUS)
     rt = safe_int("_rt_raw", DEFAULT_RESPONSE_TIME)
     ts = normalize_timestamp("_ts_raw")
-    warnings = F.array_compact(F.array(
+    warnings = present_in_order([
         F.when(~F.col("schema_known"), F.format_string(WARN_SCHEMA, F.coalesce(F.col("_ver_raw"), F.lit("None")))),
         F.when(http == DEFAULT_HTTP_STATUS, F.lit(WARN_HTTP)),
         F.when(rt == DEFAULT_RESPONSE_TIME, F.lit(WARN_LATENCY)),
         F.when(ts == "UNKNOWN", F.lit(WARN_TIMESTAMP)),
         F.when(~hit, F.format_string(WARN_NODE, F.col("node_id"))),
         F.when(~F.col("_hw.valid"), F.concat(F.lit(WARN_HARDWARE), F.col("_hw.reason"))),
-    ))
+    ])
     hw_out = F.when(F.col("_hw_raw").isNull() | (F.col("_hw_raw") == ""), F.lit(None).cast("string")) \
         .otherwise(safe_str("_hw_raw", ""))
     out = logs.select(
