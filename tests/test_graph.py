@@ -140,3 +140,16 @@ def test_empty_registry_targets_self(spark):
     empty = spark.createDataFrame([], "node_id string, user_agent string, seq bigint")
     r = grf.graph_ready_logs(logs, empty).collect()[0]
     assert (r.target_node, r.user_agent) == ("A", "UNKNOWN-UA")
+
+
+def test_fingerprint_listing_matches_python_repr(spark):
+    import hashlib
+    from vigil.functions.graphfn import fingerprint_key, py_list_repr
+    cases = [[], ["a"], ["x-node:node-1", "x-region:eu"], ["it's"], ['say "hi"'], ["both ' and \""],
+             ["back\\slash"], ["tab\there", "nl\nx"], ["", "a"], ["''", "'"], ["a'b", "c", 'd"e']]
+    df = spark.createDataFrame([(c,) for c in cases], "h array<string>")
+    got = [(r.l, r.k) for r in df.select(py_list_repr("h").alias("l"),
+                                          fingerprint_key("h", F.lit("ua"), F.lit("zero")).alias("k")).collect()]
+    for c, (listing, key) in zip(cases, got):
+        assert listing == str(c), (c, listing)
+        assert key == hashlib.sha256((str(c) + "ua" + "zero").encode()).hexdigest()

@@ -49,30 +49,36 @@ def interval_bucket(col) -> Column:
             .when(c <= 30, "6_30s").when(c <= 120, "31_120s").otherwise("121s_plus"))
 
 
-def _py_repr(s: Column) -> Column:
-    """Python ``repr`` of a str for the common cases (quotes, backslash, \\n \\r \\t)."""
-    esc = F.regexp_replace(s, r"\\", r"\\\\")
-    esc = F.regexp_replace(F.regexp_replace(F.regexp_replace(esc, "\n", r"\\n"), "\r", r"\\r"), "\t", r"\\t")
-    use_double = F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"'))
-    single = F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'"))
-    double = F.concat(F.lit('"'), esc, F.lit('"'))
-    return F.when(use_double, double).otherwise(single)
+_SEP, _DQ = "\u0001", "\u0002"
 
 
-def fingerprint_key(headers, user_agent, bucket) -> Column:
-    """SHA-256 hex of ``str(headers) + user_agent + bucket`` (FPR2).
+def py_list_repr(headers) -> Column:
+    """``str(list_of_str)`` as Python prints it, without a lambda.
 
-    Fast path without a higher-order function when no element needs
-    escaping (no quote, backslash or control character), which is the
-    normal case; otherwise every element goes through Python's ``repr`` rules.
+    Elements are joined on a private separator and rewritten with a fixed
+    chain of regex passes (all native, codegen-friendly):
+    backslash / newline / CR / tab escapes; elements holding a single quote
+    but no double quote are marked for double quotes; single quotes in the
+    other elements are escaped; every element is wrapped in its quotes.
+    Exact for strings without other control characters.
     """
     h = _c(headers)
-    joined = F.array_join(h, "\u0001")
-    plain = F.when(F.size(h) == 0, F.lit("[]")).otherwise(
-        F.concat(F.lit("['"), F.array_join(h, "', '"), F.lit("']")))
-    escaped = F.concat(F.lit("["), F.array_join(F.transform(h, _py_repr), ", "), F.lit("]"))
-    listing = F.when(joined.rlike("[\\\\'\"\n\r\t]"), escaped).otherwise(plain)
-    return F.sha2(F.concat(listing, _c(user_agent), _c(bucket)), 256)
+    s = F.array_join(h, _SEP)
+    s = F.regexp_replace(s, r"\\", r"\\\\")
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "\n", r"\\n"), "\r", r"\\r"), "\t", r"\\t")
+    # element with ' and no " -> wrapped in the double-quote marker
+    s = F.regexp_replace(s, f"(?<=^|{_SEP})([^{_SEP}\"]*'[^{_SEP}\"]*)(?={_SEP}|$)", f"{_DQ}$1{_DQ}")
+    # remaining single quotes (outside marked elements) are escaped
+    s = F.regexp_replace(s, f"'(?=[^{_SEP}{_DQ}]*({_SEP}|$))", r"\\'")
+    # unmarked elements get single quotes
+    s = F.regexp_replace(s, f"(?<=^|{_SEP})(?!{_DQ})([^{_SEP}]*)", "'$1'")
+    s = F.regexp_replace(F.regexp_replace(s, _DQ, '"'), _SEP, ", ")
+    return F.when(F.size(h) == 0, F.lit("[]")).otherwise(F.concat(F.lit("["), s, F.lit("]")))
+
+
+def fingerprint_key(headers, user_agent, bucket) -> Column:
+    """SHA-256 hex of ``str(headers) + user_agent + bucket`` (FPR2)."""
+    return F.sha2(F.concat(py_list_repr(headers), _c(user_agent), _c(bucket)), 256)
 
 
 def is_common_user_agent(col, markers=COMMON_USER_AGENT_MARKERS) -> Column:
