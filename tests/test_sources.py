@@ -101,3 +101,19 @@ def test_isolation_forest_planted_outliers(spark):
     outlier = scored.filter("seq >= 5000").agg(F.max("anomaly_score")).collect()[0][0]
     normal = scored.filter("seq < 5000").agg(F.percentile_approx("anomaly_score", 0.5)).collect()[0][0]
     assert outlier < normal and outlier < -0.6
+
+
+def test_ndjson_layout(spark, tmp_path):
+    from vigil.sources.json_source import REQUIRED_LOG_KEYS, logs_from_records, read_json_records, validate_records
+    lines = [
+        json.dumps({"log_id": "A", "node_id": "N1", "schema_version": 2, "response_code": 503, "extra": "x"}),
+        json.dumps({"log_id": "B", "node_id": "N2"}),
+        "[1, 2]",
+        "{broken",
+    ]
+    (tmp_path / "logs.ndjson").write_text("\n".join(lines) + "\n")
+    recs = read_json_records(spark, str(tmp_path / "logs.ndjson"), layout="ndjson")
+    assert recs.count() == 4
+    logs = logs_from_records(validate_records(recs, REQUIRED_LOG_KEYS)).collect()
+    assert [r.log_id for r in logs] == ["A"]
+    assert dict(logs[0].fields) == {"response_code": "503", "extra": "x"}
