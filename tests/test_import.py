@@ -1,6 +1,5 @@
 """CSV import: as-of version, registry repair layouts, log shaping (FIXTURES §3)."""
 
-from pyspark.sql import functions as F
 
 from vigil.operators.asof import asof_lookup
 from vigil.sources.csv_import import import_logs, orphan_nodes, repair_registry, schema_starts, version_table
