@@ -44,6 +44,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable parts of SESSION_CONF to an existing session."""
     for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
+                "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.enabled",
                 "spark.sql.execution.arrow.pyspark.enabled"):
         spark.conf.set(key, SESSION_CONF[key])
     return spark
