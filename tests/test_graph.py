@@ -153,3 +153,22 @@ def test_fingerprint_listing_matches_python_repr(spark):
     for c, (listing, key) in zip(cases, got):
         assert listing == str(c), (c, listing)
         assert key == hashlib.sha256((str(c) + "ua" + "zero").encode()).hexdigest()
+
+
+def test_attribution_blend_and_ties(spark):
+    nodes = spark.createDataFrame([("NODE-037", 33, 0.066), ("NODE-271", 10, 0.05), ("NODE-177", 10, 0.05)],
+                                  "node_id string, out_degree bigint, centrality double")
+    edges = spark.createDataFrame([], "source string, target string, count bigint, interval bigint")
+    clusters = spark.createDataFrame([(30, ["NODE-037"]), (5, ["NODE-177", "NODE-271"])],
+                                     "occurrences bigint, nodes array<string>")
+    # a model that knows none of the nodes: score = 0.6 * 0 + 0.4 * heuristic
+    probs = spark.createDataFrame([("OTHER", 0.9)], "node_id string, ml_probability double")
+    c = att.candidates(nodes, edges, clusters, ml_probability=probs)
+    scores = {r.node_id: r.score for r in c.collect()}
+    assert scores["NODE-037"] == 9.4866
+    ranked = [r.node_id for r in att.ranked(c).orderBy("rank").collect()]
+    assert ranked == ["NODE-037", "NODE-177", "NODE-271"]  # equal scores: node id order
+    two = spark.createDataFrame([("A", 9.4866), ("B", 9.1662)], "node_id string, score double") \
+        .withColumn("out_degree", F.lit(1).cast("bigint")).withColumn("fingerprint_matches", F.lit(0).cast("bigint")) \
+        .withColumn("centrality", F.lit(0.0)).withColumn("reasons", F.array(F.lit("r")))
+    assert att.command_node(two, two).collect()[0].confidence_score == 0.99
