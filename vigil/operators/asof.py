@@ -5,14 +5,15 @@ Each input row gets the value of the boundary with the greatest
 empty boundary table yields ``default``.  Boundaries with equal starts keep
 the last one in (start, seq) order.
 
-Boundaries become half-open ranges ``[start, next_start)`` via ``lead``, and
+Boundaries become half-open ranges ``[start, next_start)`` (from one sorted
+array of the size-checked boundary table), and
 the lookup is a range join against that (size-checked, broadcast) range
 table -- one pass over the big side, no shuffle of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.sizing import max_broadcast_rows
@@ -24,17 +25,19 @@ def asof_lookup(df: DataFrame, key: str, boundaries: DataFrame, start: str, valu
                           F.col(order).alias("_ord"))
     # equal starts: the later one (by seq) wins
     b = b.groupBy("_start").agg(F.max_by("_value", "_ord").alias("_value"))
-    w = Window.orderBy("_start")  # boundary table: a handful of rows
-    ranges = (b.withColumn("_next", F.lead("_start").over(w))
-              .withColumn("_is_first", F.row_number().over(w) == 1))
-    first_value = ranges.filter("_is_first").select("_value").scalar()
-    ranges = ranges.select("_start", "_next", "_value")
     bound = max_boundary_rows if max_boundary_rows is not None else max_broadcast_rows(df)
-    if ranges.limit(bound + 1).count() > bound:
+    if b.limit(bound + 1).count() > bound:
         # a range join against a non-broadcast side would plan a nested-loop
         # (cartesian) join over the big side; refuse instead of running it
         raise ValueError(f"as-of boundary table exceeds {bound} rows; it must be a small dimension")
-    ranges = F.broadcast(ranges)
+    # the (size-checked) boundaries as one sorted array -> [start, next) ranges
+    arr = b.agg(F.sort_array(F.collect_list(F.struct("_start", "_value"))).alias("_a"))
+    ranges = arr.select("_a", F.posexplode("_a").alias("_i", "_e")).select(
+        F.col("_e._start").alias("_start"), F.col("_e._value").alias("_value"),
+        F.try_element_at(F.col("_a"), (F.col("_i") + 2).cast("int"))["_start"].alias("_next"),
+        (F.col("_i") == 0).alias("_is_first"))
+    first_value = ranges.filter("_is_first").select("_value").scalar()
+    ranges = F.broadcast(ranges.select("_start", "_next", "_value"))
     k = F.col(key).cast("bigint")
     cond = (k >= F.col("_start")) & (F.col("_next").isNull() | (k < F.col("_next")))
     joined = df.join(ranges, cond, "left")
