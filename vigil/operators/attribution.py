@@ -122,6 +122,7 @@ def candidates(nodes: DataFrame, edges: DataFrame, clusters: DataFrame,
 def ranked(cands: DataFrame, k: int = TOP_CANDIDATES) -> DataFrame:
     """Top-k by score desc, node id asc, with 1-based rank (ATT8)."""
     top = cands.orderBy(F.desc("score"), F.asc("node_id")).limit(k)
+    # numbering window over the k kept rows only
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("node_id"))))
 
 

@@ -48,7 +48,7 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "array") ->
                 .filter(F.col("_arr").isNotNull()))  # non-array documents -> no rows
         exploded = docs.select("_file", F.posexplode("_arr").alias("pos", "value"))
         # file rank (a table of file names) x 2^40 + position inside the array
-        files = docs.select("_file").distinct()
+        files = docs.select("_file").distinct()  # one row per input file
         files = files.withColumn("_frank", F.dense_rank().over(Window.orderBy("_file")).cast("bigint"))
         exploded = exploded.join(F.broadcast(files), "_file")
         seq = F.col("_frank") * F.lit(1 << 40) + F.col("pos")
