@@ -123,6 +123,11 @@ def source_data() -> Column:
 
 
 def alerts(detected: DataFrame) -> DataFrame:
-    """The alert projection with nested ``source_data`` (DET6)."""
+    """The alert projection with nested ``source_data`` (DET6).
+
+    ``response_time_ms`` is also kept as a flat column (a copy of
+    ``source_data.response_time_ms``) so latency views prune to one column.
+    """
     cols = [c for c in ALERT_COLUMNS if c != "source_data"]
-    return detected.select(*cols[:13], source_data().alias("source_data"), "parse_warnings", "seq")
+    return detected.select(*cols[:13], source_data().alias("source_data"), "parse_warnings", "seq",
+                           F.coalesce(F.col("response_time_ms"), F.lit(-1)).alias("response_time_ms"))

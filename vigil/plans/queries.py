@@ -25,12 +25,20 @@ SEP = " | "
 
 
 def _s(spark: SparkSession, sf_dir: str) -> Stages:
+    """Stages cut at boundaries: for plans that read a stage from several branches."""
     return Stages(spark, sf_dir)
 
 
+def _one_pass(spark: SparkSession, sf_dir: str) -> Stages:
+    """Uncut stages: for queries that consume the scored logs once (an aggregate
+    or a top-k), so the plan is a single scan -> normalize -> detect -> reduce,
+    with nothing log-sized written on the way."""
+    return Stages(spark, sf_dir, materialize=False)
+
+
 def alerts_by_region_level(spark, sf_dir) -> DataFrame:
     """Flagship: alert count and severity by region and level."""
-    d = _s(spark, sf_dir).detected
+    d = _one_pass(spark, sf_dir).detected
     return d.groupBy("region", "alert_level").agg(
         F.count(F.lit(1)).alias("alert_count"),
         F.round(F.avg("severity_score"), 4).alias("avg_severity"),
@@ -40,7 +48,7 @@ def alerts_by_region_level(spark, sf_dir) -> DataFrame:
 
 
 def normalized_logs(spark, sf_dir) -> DataFrame:
-    n = _s(spark, sf_dir).normalized
+    n = _one_pass(spark, sf_dir).normalized
     return n.select(
         "log_id", "node_id", "node_name", "region", "schema_version", "schema_known", "reported_status",
         "http_status", "response_time_ms", "hardware_id_b64", "hardware_id_valid", "hardware_id_decoded",
@@ -52,7 +60,7 @@ def integrity(spark, sf_dir) -> DataFrame:
 
 
 def alerts(spark, sf_dir) -> DataFrame:
-    a = _s(spark, sf_dir).alerts
+    a = _one_pass(spark, sf_dir).alerts
     return a.select(
         "log_id", "node_id", "node_name", "region", "timestamp", "alert_level", "severity_score",
         "confidence_score", "is_anomaly", "primary_reason", F.array_join("reasons", SEP).alias("reasons"),
@@ -67,13 +75,13 @@ def alerts(spark, sf_dir) -> DataFrame:
 
 
 def rule_hits(spark, sf_dir) -> DataFrame:
-    d = _s(spark, sf_dir).detected
+    d = _one_pass(spark, sf_dir).detected
     return (d.select("alert_level", F.explode("rule_ids").alias("rule_id"))
             .groupBy("rule_id", "alert_level").agg(F.count(F.lit(1)).alias("hits")))
 
 
 def detection_metrics(spark, sf_dir) -> DataFrame:
-    m = _s(spark, sf_dir).metrics
+    m = _one_pass(spark, sf_dir).metrics
     return m.select(
         *[c for c in m.columns if c not in ("nodes_under_attack", "schema_versions_seen")],
         F.array_join("nodes_under_attack", ",").alias("nodes_under_attack"),
@@ -82,14 +90,14 @@ def detection_metrics(spark, sf_dir) -> DataFrame:
 
 
 def metrics(spark, sf_dir) -> DataFrame:
-    st = _s(spark, sf_dir)
+    st = _one_pass(spark, sf_dir)
     total_nodes = st.telemetry.registry.agg(F.count(F.lit(1))).scalar()
     mv = metrics_view(st.metrics, total_nodes)
     return mv.drop("nodes_under_attack", "schema_versions_seen")
 
 
 def registry_count(spark, sf_dir) -> DataFrame:
-    return _s(spark, sf_dir).telemetry.registry.agg(F.count(F.lit(1)).alias("total_nodes"))
+    return _one_pass(spark, sf_dir).telemetry.registry.agg(F.count(F.lit(1)).alias("total_nodes"))
 
 
 def _alert_cols(df: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def _alert_cols(df: DataFrame) -> DataFrame:
 
 
 def alert_query(spark, sf_dir) -> DataFrame:
-    a = _s(spark, sf_dir).alerts
+    a = _one_pass(spark, sf_dir).alerts
     top = vw.alert_query(a, level="attack", limit=500)
     return top.select("rank", "log_id", "node_id", "region", "alert_level", "severity_score", "timestamp")
 
@@ -109,32 +117,32 @@ def alert_page(spark, sf_dir) -> DataFrame:
 
 
 def summary_critical(spark, sf_dir) -> DataFrame:
-    a = _s(spark, sf_dir).alerts
+    a = _one_pass(spark, sf_dir).alerts
     return vw.critical_alerts(a).select("rank", "log_id", "node_id", "alert_level", "severity_score", "timestamp")
 
 
 def alert_search(spark, sf_dir) -> DataFrame:
-    a = _s(spark, sf_dir).alerts
+    a = _one_pass(spark, sf_dir).alerts
     return _alert_cols(vw.search_alerts(a, "NODE-01"))
 
 
 def alert_search_page(spark, sf_dir) -> DataFrame:
-    a = _s(spark, sf_dir).alerts
+    a = _one_pass(spark, sf_dir).alerts
     return _alert_cols(vw.search_page(vw.search_alerts(a, "europe"), page=3))
 
 
 def latest_alert_per_node(spark, sf_dir) -> DataFrame:
-    a = _s(spark, sf_dir).alerts
+    a = _one_pass(spark, sf_dir).alerts
     cols = ["log_id", "timestamp", "alert_level", "severity_score", "response_time_ms"]
     return vw.latest_per_node(a, cols).select("node_id", *cols)
 
 
 def latency_top10(spark, sf_dir) -> DataFrame:
-    return vw.latency_top(_s(spark, sf_dir).alerts)
+    return vw.latency_top(_one_pass(spark, sf_dir).alerts)
 
 
 def status_class_4xx(spark, sf_dir) -> DataFrame:
-    latest = vw.latest_per_node(_s(spark, sf_dir).alerts, ["severity_score"])
+    latest = vw.latest_per_node(_one_pass(spark, sf_dir).alerts, ["severity_score"])
     return vw.status_class_filter(latest, "4XX").select("node_id", "severity_score", "status_code")
 
 
@@ -143,20 +151,20 @@ def level_distribution(spark, sf_dir) -> DataFrame:
 
 
 def ml_rule_split(spark, sf_dir) -> DataFrame:
-    return vw.ml_rule_split(_s(spark, sf_dir).metrics)
+    return vw.ml_rule_split(_one_pass(spark, sf_dir).metrics)
 
 
 def sanitized_alerts(spark, sf_dir) -> DataFrame:
-    return vw.sanitize_alerts(_s(spark, sf_dir).alerts).drop("seq")
+    return vw.sanitize_alerts(_one_pass(spark, sf_dir).alerts).drop("seq")
 
 
 def detection_quality(spark, sf_dir) -> DataFrame:
-    st = _s(spark, sf_dir)
+    st = _one_pass(spark, sf_dir)
     return vw.detection_quality(st.detected, st.telemetry.registry)
 
 
 def detection_scores(spark, sf_dir) -> DataFrame:
-    st = _s(spark, sf_dir)
+    st = _one_pass(spark, sf_dir)
     return vw.detection_scores(vw.detection_quality(st.detected, st.telemetry.registry))
 
 

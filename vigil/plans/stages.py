@@ -21,7 +21,6 @@ from functools import cached_property
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vigil.operators import attribution as att
 from vigil.operators import fingerprint as fpr
@@ -81,8 +80,7 @@ class Stages:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        return alert_projection(self.detected).withColumn(
-            "response_time_ms", F.col("source_data.response_time_ms"))
+        return alert_projection(self.detected)
 
     @cached_property
     def metrics(self) -> DataFrame:
