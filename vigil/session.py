@@ -19,6 +19,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # shuffle files go when the query that made them ends; stages are written tables, nothing reads them again
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -43,10 +45,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable parts of SESSION_CONF to an existing session."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-                "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.enabled",
-                "spark.sql.execution.arrow.pyspark.enabled"):
-        spark.conf.set(key, SESSION_CONF[key])
+    for key, value in SESSION_CONF.items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
     return spark
 
 
