@@ -68,16 +68,18 @@ def test_near_duplicates(spark, rows, docs, empty):
     assert kept.where("doc_id is null").count() == 2
 
 
-def test_near_duplicates_of_a_large_group(spark):
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(500)]
     base = [rng.choice(words) for _ in range(60)]
     rows = []
     for k in range(250):
         w = list(base)
-        for _ in range(rng.randint(0, 5)):
+        for _ in range(rng.randint(0, 9)):
             w[rng.randrange(60)] = rng.choice(words)
         rows.append((1000 - k, " ".join(w)))
+    whole = minmax_dedup.block_links
+    monkeypatch.setattr(minmax_dedup, "block_links", lambda *a: whole(*a, block=20))
     got = minmax_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
     assert sorted(map(tuple, got), key=str) == brute_near(rows, 2, 80)
 

@@ -8,11 +8,13 @@ With the default 24 bands of 4 values (48 permutations) a pair at similarity
 
 Documents with equal sets are one node (the smallest id stands for them), so
 copies are never paired.  Within a band candidates are not paired all with
-all: first every node is compared with the smallest node of its band, then
-with the smallest node of another component there, and only what still
-belongs to different components is paired in full.  Pairs inside one component
-need no check, as they change nothing.  All links are confirmed with the whole
-sets, so no link between components is lost to a cap.
+all: every node is compared with the smallest node of its band, then with one
+node of another component there, twice.  Pairs inside one component need no
+check, as they change nothing.  A node with so many shingles of its own that
+it cannot be similar to any other drops out.  What still differs in component
+within a band is compared whole, in blocks of bounded size spread over the
+tasks, and only links leave a block, one for a node and a component.  All
+links are confirmed with the whole sets; nothing is capped.
 
 Defined cases: a null text or a text without words has an empty set and is
 linked with nothing; fewer words than a shingle make one shingle; rows with
@@ -109,6 +111,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(near).where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def nodes_of(member: DataFrame) -> DataFrame:
+    return member.join(mixed_bands(member), "band").select("node").distinct()
+
+
+def mixed_bands(member: DataFrame) -> DataFrame:
+    """The bands whose nodes belong to several components, with their numbers of nodes."""
+    return (member.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"),
+                                       F.count(F.lit(1)).alias("size")).where("c1 <> c2").select("band", "size"))
+
+
+def hopeless(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Nodes that no other of ``nodes`` can be similar to: too many shingles that are theirs alone.
+
+    With u such shingles of n, intersections have at most n - u members and unions at least n.
+    """
+    own = sets.join(nodes, "node")
+    alone = (own.select("node", F.explode("s").alias("x")).groupBy("x")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+             .groupBy("node").agg(F.count(F.lit(1)).alias("u")))
+    n = F.size("s")
+    return own.join(alone, "node").where(100 * (n - F.col("u")) < percent * n).select("node")
+
+
+def block_links(now: DataFrame, sets: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """Links between components within each band of (band, node, component, size).
+
+    The nodes of a band are dealt to blocks of about ``block``; each pair of
+    blocks is one group, so a large band is many tasks of bounded size.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("long")
+    own = F.pmod(F.xxhash64("node", F.lit(11)), blocks)
+    dealt = (now.select("band", "node", "component", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+             .select("band", "node", "component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return links_between(pdf, percent)
+
+    return (dealt.join(sets, "node").groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct())
+
+
+def links_between(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For every node outside the largest component one link to each other component it is similar to."""
+    node, comp = pdf["node"].to_numpy(), pdf["component"].to_numpy()
+    values, counts = np.unique(comp, return_counts=True)
+    out: set[tuple[int, int]] = set()
+    if len(values) > 1:
+        size = np.fromiter(map(len, pdf["s"]), np.int64, len(pdf))
+        every, owner = np.concatenate(pdf["s"].to_list()), np.repeat(np.arange(len(pdf)), size)
+        order = np.argsort(every, kind="stable")
+        owner, (_, start, times) = owner[order], np.unique(every[order], return_index=True, return_counts=True)
+        rank = np.empty(len(every), np.int64)
+        rank[order] = np.repeat(np.arange(len(start)), times)
+        ends = np.cumsum(size)
+        for k in np.flatnonzero(comp != values[counts.argmax()]):
+            mine = rank[ends[k] - size[k]:ends[k]]
+            mine = mine[times[mine] > 1]
+            if not len(mine):
+                continue
+            common = np.bincount(np.concatenate([owner[start[r]:start[r] + times[r]] for r in mine]), minlength=len(pdf))
+            near = np.flatnonzero((100 * common >= percent * (size[k] + size - common)) & (comp != comp[k]))
+            if len(near):
+                _, first = np.unique(comp[near], return_index=True)
+                out |= {(min(node[k], node[y]), max(node[k], node[y])) for y in near[first]}
+    return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "minmax")
@@ -130,24 +198,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     label = components(links, scratch, "comp-0")
     for k in (1, 2, 3):
         now = member.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        mixed = now.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-        now = scratch.write(now.join(mixed, "band"), f"mixed-{k}")
+        if k == 3:
+            now = now.join(hopeless(nodes_of(now), sets, percent), "node", "left_anti")
+        now = scratch.write(now.join(mixed_bands(now), "band"), f"mixed-{k}")
         if k < 3:  # against one node of another component: linear in the members
             order = F.xxhash64("node", F.lit(k))
             centre = now.groupBy("band").agg(
                 F.min_by("node", order).alias("n1"), F.min_by("component", order).alias("m1"))
             pairs = (now.join(centre, "band").where("component <> m1")
                      .select(F.least("n1", "node").alias("a"), F.greatest("n1", "node").alias("b")))
-        else:      # what still differs: in full, so that no link is lost
-            x, y = now.select("band", F.col("node").alias("a"), F.col("component").alias("ca")), \
-                now.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "band").where("a < b and ca <> cb").select("a", "b")
-        pairs = scratch.write(pairs.distinct().join(checked, ["a", "b"], "left_anti"), f"pairs-{k}")
-        found = scratch.write(confirmed(pairs, sets, percent), f"links-{k}")
+            pairs = scratch.write(pairs.distinct().join(checked, ["a", "b"], "left_anti"), f"pairs-{k}")
+            checked = scratch.write(checked.union(pairs), f"checked-{k}")
+            found = scratch.write(confirmed(pairs, sets, percent), f"links-{k}")
+        else:
+            found = scratch.write(block_links(now, sets, percent), f"links-{k}")
         if not found.isEmpty():
             links = scratch.write(links.union(found), f"all-{k}")
             label = components(links, scratch, f"comp-{k}")
-        checked = scratch.write(checked.union(pairs), f"checked-{k}") if k < 3 else checked
     # ids of rows with one id are one document: their classes meet in that id
     ids = scratch.write(copies.join(label, "node", "left")
                         .select("doc_id", F.coalesce("component", "node").alias("component"))
