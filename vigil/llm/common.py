@@ -46,23 +46,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordIds(dict):
-    """word (bytes) -> 64-bit id, the same on every machine; a bounded cache of the hashes."""
+_GAP = np.zeros(256, bool)
+_GAP[list(b" \t\n\r\x0b\x0c")] = True
+_STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, bound: int = 1_000_000):
-        super().__init__()
-        self.bound = bound
-        import xxhash
-        self._hash = xxhash.xxh3_64_intdigest
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = self._hash(word)
-        return value
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _STEP and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        for k, step in enumerate((_STEP, pow(_STEP, -1, 2**64))):
+            p = np.full(size, step, np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of a UTF-8 text, in bytes."""
+    inside = ~_GAP[np.frombuffer(raw, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    return edge[0::2], edge[1::2]
+
+
+def word_ids(raw: bytes, spans: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A 64-bit id per word of a UTF-8 text, the same on every machine.
+
+    The bytes of a word are the coefficients of a polynomial modulo 2**64,
+    taken from running sums, so a text costs a few passes over its bytes.
+    """
+    start, end = spans or word_spans(raw)
+    if not len(start):
+        return np.empty(0, np.uint64)
+    up, down = powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    return mix64((total[end] - total[start]) * down[start])
 
 
 def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -70,16 +90,14 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     n = len(ids) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        mixed, h = mix64(ids), np.zeros(n, np.uint64)
-        for j in range(width):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[j:j + n]
-        return mix64(h)
+    up, down = powers(len(ids))
+    total = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(mix64(ids) * up, out=total[1:])
+    return mix64((total[width:] - total[:-width]) * down[:n])
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text as UTF-8 (``bytes.split`` splits at exactly the six bytes of WORD_GAP)."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def utf8(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
 def components(links: DataFrame, scratch: Scratch, tag: str, max_rounds: int = 60) -> DataFrame:

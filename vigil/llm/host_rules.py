@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, WordIds, window_hashes
+from vigil.llm.common import Scratch, utf8, window_hashes, word_ids
 
 SYMBOLS = b"#*$%&|<>"
 GAPS = b" \t\n\r\x0b\x0c"
@@ -45,17 +45,16 @@ def repeat_words(ids: np.ndarray, width: int = 5) -> int:
 
 
 def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ids = WordIds()
     for pdf in batches:
         rows = []
         for doc_id, source, text in zip(pdf["doc_id"], pdf["source"], pdf["text"]):
             text = text if isinstance(text, str) else ""
-            raw = text.encode("utf-8", "surrogatepass")
-            words = raw.split()
+            raw = utf8(text)
+            ids = word_ids(raw)
             lines = [x for x in raw.split(b"\n") if x.strip()]
-            rows.append((doc_id, source, len(words), len(text) - (len(raw) - len(raw.translate(None, GAPS))),
+            rows.append((doc_id, source, len(ids), len(text) - (len(raw) - len(raw.translate(None, GAPS))),
                          len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
-                         repeat_words(ids.of(words))))
+                         repeat_words(ids)))
         out = pd.DataFrame(rows, columns=["doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                                           "n_repeat_words"])
         out["doc_id"] = out["doc_id"].astype("Int64")

@@ -40,8 +40,8 @@ def trimmed(line: str) -> str:
     return f"btrim({line}, ' \\t\\r' || chr(11) || chr(12))"
 
 
-def edit_distance_within(a: str, b: str, edits: int) -> Column:
-    """Whether the arrays of characters ``a`` and ``b`` are within ``edits`` edits (``a`` not longer).
+def edit_distance_sql(a: str, b: str, edits: int) -> str:
+    """SQL for whether the arrays of characters ``a`` and ``b`` are within ``edits`` edits (``a`` not longer).
 
     Bit d of the word stands for row ``j - edits + d`` of column j; the word
     moves down a row with each character of ``b``.  The distance is followed
@@ -62,7 +62,13 @@ def edit_distance_within(a: str, b: str, edits: int) -> Column:
           'dist', z.s.dist + if(j > size({b}) - size({a})
                                and (shiftright(z.d0, cast({k} - (size({b}) - size({a})) as int)) & 1L) = 0L, 1L, 0L)))[0],
       s -> s.dist)"""
-    return F.expr(f"size({b}) - size({a}) between 0 and {k} and {step} <= {k}")
+    return f"size({b}) - size({a}) between 0 and {k} and {step} <= {k}"
+
+
+def lines_within(x: str, y: str, edits: int) -> Column:
+    """Whether two lines are within ``edits`` edits; the characters are split once, as a lambda's variable."""
+    return F.expr(
+        f"exists(array(named_struct('x', split({x}, ''), 'y', split({y}, ''))), p -> {edit_distance_sql('p.x', 'p.y', edits)})")
 
 
 def segment(length: str, i: int, parts: int) -> tuple[str, str]:
@@ -81,7 +87,7 @@ def index_keys(line: str, edits: int) -> str:
 
 
 def probe_keys(line: str, edits: int) -> str:
-    """SQL array: the same hash for every substring that may be a segment of another, not longer line.
+    """SQL array: the same hash for every substring that may be a segment of another, not longer line; null: none.
 
     A shift s puts s more characters before the segment.  At most i edits lie
     before segment i and edits - i after it, for some i.  The unshifted
@@ -95,7 +101,7 @@ def probe_keys(line: str, edits: int) -> str:
                 if abs(less - s) <= edits - i and (less or s):
                     out.append(f"if({start} + {s} between 1 and {n} - {size} + 1, xxhash64({n} - {less}, {i}, "
                                f"substring({line}, cast({start} + {s} as int), cast({size} as int))), null)")
-    return f"array_compact(array({', '.join(out)}))"
+    return f"array({', '.join(out)})"
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame, lines: DataFrame, scratch: Scratch, edits: int, hot: int, max_broadcast: int) -> DataFrame:
     """(a, b) of line hashes: links that connect all lines within ``edits`` edits."""
     index = lines.select(F.explode("ik").alias("k"), "lk")
-    probe = lines.select(F.explode("pk").alias("k"), "lk")
+    probe = lines.select(F.explode("pk").alias("k"), "lk").where("k is not null")
     flat = index.withColumn("probe", F.lit(0)).union(probe.withColumn("probe", F.lit(1)))
     shared = scratch.write(flat.groupBy("k").agg(F.min("lk").alias("lo"), F.max("lk").alias("hi"), F.min("probe").alias("p"))
                            .where("lo <> hi and p = 0").select("k"), "shared")
@@ -135,8 +141,7 @@ def line_links(docs: DataFrame, lines: DataFrame, scratch: Scratch, edits: int,
     both = both.select("a", "b", F.when(turn, F.col("w")).otherwise(F.col("v")).alias("x"),
                        F.when(turn, F.col("v")).otherwise(F.col("w")).alias("y"))
     both = both.where(f"length(y) - length(x) <= {edits}").where(cheap_filter(edits))
-    links = (both.select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-             .where(edit_distance_within("x", "y", edits)).select("a", "b"))
+    links = both.where(lines_within("x", "y", edits)).select("a", "b")
     return links.union(left_out_links(texts.join(hot_lines, "lk"))) if edits == 1 else links
 
 

@@ -32,15 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, WordIds, components, mix64, window_hashes, words_of
+from vigil.llm.common import Scratch, components, mix64, utf8, window_hashes, word_ids
 
 
-def shingle_set(text: str | None, width: int, ids: WordIds) -> np.ndarray:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text, its letters A-Z in lower case."""
-    words = [w.lower() for w in words_of(text)]  # bytes.lower changes A-Z alone
-    if not words:
+    w = word_ids(utf8(text).lower())  # bytes.lower changes A-Z alone
+    if not len(w):
         return np.empty(0, np.uint64)
-    w = ids.of(words)
     return np.unique(window_hashes(w, min(width, len(w))))
 
 
@@ -69,11 +68,10 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         a = rng.integers(0, 2**63, bands * rows // 2, np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 2**63, bands * rows // 2, np.uint64)
         salt = np.arange(1, bands + 1, dtype=np.uint64)
-        ids = WordIds()
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                s = shingle_set(text if isinstance(text, str) else "", width, ids)
+                s = shingle_set(text, width)
                 if not len(s):
                     out.append((doc_id, 0, None, None, None))
                     continue
@@ -91,11 +89,10 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """node (doc_id) and its whole set, for the nodes that need a check."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds()
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at:at + 500]
-                yield pd.DataFrame({"node": part["node"], "s": [shingle_set(t, width, ids).view(np.int64) for t in part["text"]]})
+                yield pd.DataFrame({"node": part["node"], "s": [shingle_set(t, width).view(np.int64) for t in part["text"]]})
 
     return docs.select("node", "text").mapInPandas(run, "node long, s array<long>")
 

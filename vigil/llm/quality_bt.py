@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, WordIds
+from vigil.llm.common import Scratch, utf8, word_ids, word_spans
 from vigil.llm.host_rules import repeat_words
 
 FEATURES = ("log_words", "distinct_words", "bigrams", "repeat5", "longest_run", "word_chars", "short_words", "symbols",
@@ -41,18 +41,18 @@ def _share(raw: bytes, chars: bytes) -> float:
     return (len(raw) - len(raw.translate(None, chars))) / max(1, len(raw))
 
 
-def text_features(text: str, ids: WordIds) -> list[float]:
+def text_features(text: str) -> list[float]:
     """The features of FEATURES; a text without words has zeros but for distinct shares of 1."""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n = len(words)
+    raw = utf8(text)
+    spans = word_spans(raw)
+    n = len(spans[0])
     if not n:
         return [0.0, 1.0, 1.0] + [0.0] * (len(FEATURES) - 3)
-    w = ids.of(words)
+    w = word_ids(raw, spans)
     pairs = w[:-1] * np.uint64(31) + w[1:]
     lines = [x for x in raw.split(b"\n") if x.strip()]
     change = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1], [True])))
-    lengths = np.fromiter(map(len, words), np.int64, n)
+    lengths = spans[1] - spans[0]
     return [float(np.log1p(n)), len(np.unique(w)) / n ** 0.75 if n > 20 else 1.0,
             len(np.unique(pairs)) / max(1, n - 1) if n > 1 else 1.0, repeat_words(w) / n,
             float(np.log1p(np.diff(change).max() - 1)), float(min(lengths.mean(), 30)), float((lengths <= 1).mean()),
@@ -62,9 +62,8 @@ def text_features(text: str, ids: WordIds) -> list[float]:
 
 
 def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ids = WordIds()
     for pdf in batches:
-        x = [text_features(t if isinstance(t, str) else "", ids) for t in pdf["text"]]
+        x = [text_features(t) for t in pdf["text"]]
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": x})
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, WordIds, window_hashes, words_of
+from vigil.llm.common import Scratch, utf8, window_hashes, word_ids
 
 PERIOD, COVER = 7, (0, 1, 3)
 LAST = 2**63 - 1  # stands for a null doc_id
@@ -73,15 +73,14 @@ def covered(ids: np.ndarray, width: int, gone: np.ndarray) -> np.ndarray:
 
 
 def hash_rows(docs: DataFrame, of: Callable, skip: np.ndarray | None = None) -> DataFrame:
-    """(h, doc): the distinct hashes ``of(ids, row)`` of every document, without those of ``skip``."""
+    """(h, doc): the distinct hashes ``of(row)`` of every document, without those of ``skip``."""
     skipped = None if skip is None else docs.sparkSession.sparkContext.broadcast(skip)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds()
         for pdf in batches:
             hs, ds, size = [], [], 0
             for k, row in enumerate(pdf.itertuples(index=False)):
-                h = np.unique(of(ids, row))
+                h = np.unique(of(row))
                 if skipped is not None and len(skipped.value):
                     h = h[~np.isin(h, skipped.value)]
                 hs.append(h)
@@ -102,22 +101,13 @@ def frequent(rows: DataFrame, max_hot: int) -> np.ndarray:
 
 
 def streamed(keep_first: bool) -> Callable:
-    """Over rows sorted by (h, doc): those of hashes in several documents, packed by document.
+    """Over rows sorted by (h, doc): those of hashes that several documents have.
 
     ``keep_first``: the rows of the smallest document too.
     """
-    def pack(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
-        raw, ends = h.tobytes(), np.append(start, len(doc)) * 8
-        return pa.RecordBatch.from_arrays([pa.array(doc[start], pa.int64()), pa.array(
-            [raw[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["doc", "hs"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_h = first = None        # the hash of the row before and its smallest document
         waiting = False              # whether that document's row has not been given out yet
-        out: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             h, doc = (np.asarray(batch.column(k)) for k in (0, 1))
             if not len(h):
@@ -127,37 +117,45 @@ def streamed(keep_first: bool) -> Callable:
             new = np.concatenate(([True], h[1:] != h[:-1]))
             start = np.flatnonzero(new)
             group = np.cumsum(new) - 1
-            lead = doc[start][group]
-            later = doc > lead
-            give = later.copy()
+            give = later = doc > doc[start][group]
             if keep_first:
                 many = np.zeros(len(start), bool)
                 many[group[later]] = True
+                give = later.copy()
                 give[start] = many
                 if last_h is not None and not waiting:
                     give[0] = False
-            if give.any():
-                out.append((h[give], doc[give]))
             carried = last_h is not None and start[-1] == 0
             waiting = not later[start[-1]:].any() and (waiting if carried else True)
             last_h, first = h[-1], doc[start[-1]]
-            if sum(len(a) for a, _ in out) > 1_000_000:
-                yield pack(*(np.concatenate(x) for x in zip(*out)))
-                out = []
-        if out:
-            yield pack(*(np.concatenate(x) for x in zip(*out)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[give], pa.int64()), pa.array(doc[give], pa.int64())], names=["h", "doc"])
 
     return run
 
 
-def join_packs(docs: DataFrame, packs: DataFrame, how: str) -> DataFrame:
-    """``docs`` with all packed hashes of their document."""
-    whole = packs.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("hs").alias("hs"))
-    return docs.join(whole, F.col("doc") == F.col("_doc"), how).drop("_doc")
-
-
-def unpack(parts) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), np.uint64) if parts is not None and len(parts) else np.empty(0, np.uint64)
+def packed(rows: DataFrame) -> DataFrame:
+    """(doc, hs): the hashes of each document in one binary; a document has as many as it has words at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_doc, parts = None, []
+        for batch in batches:
+            h, doc = (np.asarray(batch.column(k)) for k in (0, 1))
+            if not len(h):
+                continue
+            cut = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
+            docs, hs = [], []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if doc[a] != open_doc and parts:
+                    docs.append(open_doc)
+                    hs.append(b"".join(parts))
+                    parts = []
+                open_doc = doc[a]
+                parts.append(h[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.binary())], names=["doc", "hs"])
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([open_doc], pa.int64()), pa.array([b"".join(parts)], pa.binary())],
+                                             names=["doc", "hs"])
+
+    return rows.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, "doc long, hs binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, sample: int = 64, max_hot: int = 50_000) -> DataFrame:
@@ -174,38 +172,40 @@ def remove_repeats(docs: DataFrame, width: int = 13, sample: int = 64, max_hot:
     text = source.select("doc", "text").where("text is not null")
     sampled = F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0
 
-    def own_anchors(ids, row):
-        return anchors(ids.of(words_of(row.text)), width)[1]
+    def own_anchors(row):
+        return anchors(word_ids(utf8(row.text)), width)[1]
 
     hot = frequent(hash_rows(text.where(sampled), own_anchors), max_hot)
     shared = scratch.write(hash_rows(text, own_anchors, hot).repartition("h").sortWithinPartitions("h", "doc")
-                           .mapInArrow(streamed(True), "doc long, hs binary"), "anchors")
+                           .mapInArrow(streamed(True), "h long, doc long"), "anchors")
     hot_anchors = spark.sparkContext.broadcast(hot)
 
-    def own_windows(ids, row):
-        return open_windows(ids.of(words_of(row.text)), width, np.concatenate([unpack(row.hs), hot_anchors.value]))
+    def own_windows(row):
+        own = np.frombuffer(row.hs or b"", np.uint64)
+        return open_windows(word_ids(utf8(row.text)), width, np.concatenate([own, hot_anchors.value]))
 
-    windows = scratch.write(hash_rows(join_packs(text, shared, "left"), own_windows), "windows")
+    windows = scratch.write(hash_rows(text.join(packed(shared), "doc", "left"), own_windows), "windows")
     hot = frequent(windows.where(sampled), max_hot)
     known = F.broadcast(spark.createDataFrame([(int(h),) for h in hot.view(np.int64)], "h long"))
     least = windows.join(known, "h").groupBy("h").agg(F.min("doc").alias("doc")).orderBy("h").collect()
     lead = spark.sparkContext.broadcast((np.array([r.h for r in least], np.int64).view(np.uint64),
                                          np.array([r.doc for r in least], np.int64)))
     later = scratch.write(windows.join(known, "h", "left_anti").repartition("h").sortWithinPartitions("h", "doc")
-                          .mapInArrow(streamed(False), "doc long, hs binary"), "repeats")
+                          .mapInArrow(streamed(False), "h long, doc long"), "repeats")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds()
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                words = words_of(row.text)
+                raw = utf8(row.text)
+                words = raw.split()
                 h, doc = lead.value
-                gone = covered(ids.of(words), width, np.concatenate([unpack(row.hs), h[doc < row.doc]]))
-                kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
+                hs = np.concatenate([np.frombuffer(row.hs or b"", np.uint64), h[doc < row.doc]])
+                gone = covered(word_ids(raw), width, hs).tolist() if len(hs) else ()
+                kept = [w for w, g in zip(words, gone) if not g] if any(gone) else words
                 rows.append((None if row.doc == LAST else row.doc, len(words), len(words) - len(kept),
                              b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "text"]).astype({"doc_id": "Int64"})
 
-    return join_packs(source.select("doc", "text"), later, "left").mapInPandas(
+    return source.select("doc", "text").join(packed(later), "doc", "left").mapInPandas(
         cut, "doc_id long, n_words long, n_removed long, text string")
