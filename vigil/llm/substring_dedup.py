@@ -50,25 +50,35 @@ def anchors(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def open_windows(ids: np.ndarray, width: int, shared: np.ndarray) -> np.ndarray:
-    """Hashes of the windows that hold a shared anchor within their first PERIOD places."""
-    h = window_hashes(ids, width)
-    if not len(h) or not len(shared):
-        return h[:0]
+def places(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each hash its place in the sorted ``table``, or -1."""
+    if not len(table):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return np.where(table[at] == h, at, -1)
+
+
+def open_windows(ids: np.ndarray, width: int, shared: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that hold a shared or hot (sorted) anchor within their first PERIOD places."""
     at, own = anchors(ids, width)
+    if not len(own):
+        return own
+    found = (places(np.sort(shared), own) >= 0) | (places(hot, own) >= 0)
+    if not found.any():
+        return own[:0]
+    h = window_hashes(ids, width)
     mark = np.zeros(len(h) + PERIOD + 1, np.int64)
-    mark[at[np.isin(own, shared)] + 1] = 1
+    mark[at[found] + 1] = 1
     run = np.cumsum(mark)
     return h[run[PERIOD:PERIOD + len(h)] - run[:len(h)] > 0]
 
 
-def covered(ids: np.ndarray, width: int, gone: np.ndarray) -> np.ndarray:
-    """Which words lie under a window whose hash is in ``gone``."""
-    edge = np.zeros(len(ids) + 1, np.int64)
-    if len(gone):
-        hit = np.flatnonzero(np.isin(window_hashes(ids, width), gone))
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + width, -1)
+def covered(gone: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of n words lie under one of the windows ``gone`` marks."""
+    edge = np.zeros(n + 1, np.int64)
+    hit = np.flatnonzero(gone)
+    edge[hit] += 1
+    edge[hit + width] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -82,7 +92,7 @@ def hash_rows(docs: DataFrame, of: Callable, skip: np.ndarray | None = None) ->
             for k, row in enumerate(pdf.itertuples(index=False)):
                 h = np.unique(of(row))
                 if skipped is not None and len(skipped.value):
-                    h = h[~np.isin(h, skipped.value)]
+                    h = h[places(skipped.value, h) < 0]
                 hs.append(h)
                 ds.append(np.full(len(h), row.doc, np.int64))
                 size += len(h)
@@ -182,14 +192,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, sample: int = 64, max_hot:
 
     def own_windows(row):
         own = np.frombuffer(row.hs or b"", np.uint64)
-        return open_windows(word_ids(utf8(row.text)), width, np.concatenate([own, hot_anchors.value]))
+        return open_windows(word_ids(utf8(row.text)), width, own, hot_anchors.value)
 
     windows = scratch.write(hash_rows(text.join(packed(shared), "doc", "left"), own_windows), "windows")
     hot = frequent(windows.where(sampled), max_hot)
     known = F.broadcast(spark.createDataFrame([(int(h),) for h in hot.view(np.int64)], "h long"))
-    least = windows.join(known, "h").groupBy("h").agg(F.min("doc").alias("doc")).orderBy("h").collect()
-    lead = spark.sparkContext.broadcast((np.array([r.h for r in least], np.int64).view(np.uint64),
-                                         np.array([r.doc for r in least], np.int64)))
+    least = windows.join(known, "h").groupBy("h").agg(F.min("doc").alias("doc")).collect()
+    least = sorted((r.h % 2**64, r.doc) for r in least)
+    lead = spark.sparkContext.broadcast((np.array([h for h, _ in least], np.uint64), np.array([d for _, d in least], np.int64)))
     later = scratch.write(windows.join(known, "h", "left_anti").repartition("h").sortWithinPartitions("h", "doc")
                           .mapInArrow(streamed(False), "h long, doc long"), "repeats")
 
@@ -199,10 +209,15 @@ def remove_repeats(docs: DataFrame, width: int = 13, sample: int = 64, max_hot:
             for row in pdf.itertuples(index=False):
                 raw = utf8(row.text)
                 words = raw.split()
-                h, doc = lead.value
-                hs = np.concatenate([np.frombuffer(row.hs or b"", np.uint64), h[doc < row.doc]])
-                gone = covered(word_ids(raw), width, hs).tolist() if len(hs) else ()
-                kept = [w for w, g in zip(words, gone) if not g] if any(gone) else words
+                kept, own, (hot_h, hot_doc) = words, np.frombuffer(row.hs or b"", np.uint64), lead.value
+                if len(words) >= width and (len(own) or len(hot_h)):
+                    h = window_hashes(word_ids(raw), width)
+                    at = places(hot_h, h)
+                    gone = places(np.sort(own), h) >= 0
+                    if len(hot_h):
+                        gone |= (at >= 0) & (hot_doc[at] < row.doc)
+                    if gone.any():
+                        kept = [w for w, g in zip(words, covered(gone, len(words), width).tolist()) if not g]
                 rows.append((None if row.doc == LAST else row.doc, len(words), len(words) - len(kept),
                              b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "text"]).astype({"doc_id": "Int64"})
