@@ -99,7 +99,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
     heads = windows.select("start").distinct()
     small = heads.limit(max_broadcast + 1).count() <= max_broadcast  # 8 bytes each
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    at = (doc.select("doc_id", "text_hash", F.posexplode(starts(words(template_text(F.col("text"))))).alias("p", "s"))
+    # the words are a column of their own: inside the generator they would be made once per slice
+    at = (doc.select("doc_id", "text_hash", words(template_text(F.col("text"))).alias("tpl"))
+          .select("doc_id", "text_hash", F.posexplode(starts(F.col("tpl"))).alias("p", "s"))
           .select("doc_id", "text_hash", "p", start_hash("s").alias("start")))
     place = scratch.write(at.join(F.broadcast(heads) if small else heads, "start"), "places")
     cands = (place.join(windows, "start").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
