@@ -39,8 +39,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
-    model = model_bytes()
-    return sp_tokens.decode(sp_tokens.encode(docs, model), model)
+    return sp_tokens.encode(docs, model_bytes(), with_text=True).drop("same")
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("minhash_near_dedup", near_copies),

@@ -126,8 +126,11 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
-def build_tokenizer(raw: bytes):
-    """A ``tokenizers.Tokenizer`` that encodes and decodes as the model does."""
+def build_tokenizer(raw: bytes, prepared: bool = False):
+    """A ``tokenizers.Tokenizer`` that encodes and decodes as the model does.
+
+    ``prepared``: texts come through ``prepare``, if the model is plain enough for that.
+    """
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
     model = parse_model(raw)
     unknown = next((k for k, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
@@ -136,14 +139,15 @@ def build_tokenizer(raw: bytes):
     else:
         core = models.BPE({p: k for k, (p, _, _) in enumerate(model.pieces)}, merges_of(model),
                           unk_token=None if unknown is None else model.pieces[unknown][0], fuse_unk=True,
-                          byte_fallback=model.byte_fallback, cache_capacity=100_000)
+                          byte_fallback=model.byte_fallback, cache_capacity=3000)
     tok = Tokenizer(core)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
-    tok.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
+    if not (prepared and plain(model)):
+        tok.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     if not any(MARK in p.lstrip(MARK) for p, _, _ in model.pieces):
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(),
@@ -154,6 +158,17 @@ def build_tokenizer(raw: bytes):
     return tok
 
 
+def plain(model: Model) -> bool:
+    """Whether the normaliser is the marker alone, which two string operations do faster than the library."""
+    return not model.charsmap and not model.squeeze
+
+
+def prepare(text: str, model: Model) -> str:
+    if not text or not plain(model):
+        return text
+    return (MARK if model.dummy_prefix else "") + text.replace(" ", MARK)
+
+
 def _chunks(texts: list[str], chars: int) -> Iterator[list[str]]:
     """Runs of texts of about ``chars`` characters in all, so that one call's objects stay small."""
     at = size = 0
@@ -166,47 +181,59 @@ def _chunks(texts: list[str], chars: int) -> Iterator[list[str]]:
         yield texts[at:]
 
 
-def encode(docs: DataFrame, model: bytes, chunk_chars: int = 500_000, keep_text_hash: bool = False) -> DataFrame:
-    """doc_id and ``ids`` (array of int) per row of ``docs``; with ``keep_text_hash`` the xxhash64 of its text too."""
+def surfaces(model: Model) -> list[bytes]:
+    """The bytes that each id stands for."""
+    return [p.replace(MARK, " ").encode() if kind in (NORMAL, USER, UNUSED) else bytes([int(p[1:-1], 16)]) if kind == BYTE else
+            model.unknown_surface.encode() if kind == UNKNOWN else b"" for p, _, kind in model.pieces]
+
+
+def decode_ids(ids: list[int], surface: list[bytes], dummy_prefix: bool) -> str:
+    raw = b"".join([surface[k] for k in ids])
+    return (raw[1:] if dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, model: bytes, chunk_chars: int = 200_000, threads: int = 2, with_text: bool = False) -> DataFrame:
+    """doc_id and ``ids`` (array of int) per row of ``docs``.
+
+    ``with_text``: also ``text``, what the ids decode to, and ``same``, whether
+    that is the text of the row; made in the same Python worker, so that ids
+    need not pass through a second one.  ``threads`` of the library per task:
+    as many as a task's cores; each costs its own memory.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one model file, a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        tok = build_tokenizer(shared.value)
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
+        tok, parsed = build_tokenizer(shared.value, prepared=True), parse_model(shared.value)
+        surface = surfaces(parsed)
         for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            at = 0
+            doc_ids, texts, at = pdf["doc_id"].astype("Int64"), [t if isinstance(t, str) else "" for t in pdf["text"]], 0
             for part in _chunks(texts, chunk_chars):
-                ids = [np.asarray(e.ids, np.int32) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-                rest = pdf.iloc[at:at + len(part)].drop(columns="text")
-                yield rest.assign(ids=ids).astype({"doc_id": "Int64"})
+                ids = [e.ids for e in tok.encode_batch_fast([prepare(t, parsed) for t in part], add_special_tokens=False)]
+                out = pd.DataFrame({"doc_id": doc_ids.iloc[at:at + len(part)].array, "ids": [np.asarray(k, np.int32) for k in ids]})
+                if with_text:
+                    out["text"] = [decode_ids(k, surface, parsed.dummy_prefix) for k in ids]
+                    out["same"] = [a == b for a, b in zip(out["text"], part)]
+                yield out
                 at += len(part)
 
-    rows = docs.select(F.col("doc_id").cast("long"), *[F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")][:keep_text_hash],
-                       "text")
-    return rows.mapInPandas(run, "doc_id long, " + "text_hash long, " * keep_text_hash + "ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+        run, "doc_id long, ids array<int>" + ", text string, same boolean" * with_text)
 
 
 def decode(tokens: DataFrame, model: bytes) -> DataFrame:
-    """``tokens`` with the ``text`` of its ``ids`` added."""
+    """``doc_id``, ``ids`` and the ``text`` that they stand for."""
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsed = parse_model(shared.value)
-        surface = [p.replace(MARK, " ").encode() if kind in (NORMAL, USER, UNUSED) else
-                   bytes([int(p[1:-1], 16)]) if kind == BYTE else
-                   parsed.unknown_surface.encode() if kind == UNKNOWN else b"" for p, _, kind in parsed.pieces]
+        surface = surfaces(parsed)
         for pdf in batches:
-            texts = []
-            for ids in pdf["ids"]:
-                raw = b"".join([surface[k] for k in (ids.tolist() if ids is not None else ())])
-                texts.append((raw[1:] if parsed.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
-            out = pdf.assign(text=texts)
-            yield out.astype({c: "Int64" for c in whole})
+            texts = [decode_ids(ids.tolist() if ids is not None else [], surface, parsed.dummy_prefix) for ids in pdf["ids"]]
+            yield pdf.assign(text=texts).astype({"doc_id": "Int64"})
 
-    kept = tokens.drop("text")
-    whole = [c for c, kind in kept.dtypes if kind == "bigint"]
-    return kept.mapInPandas(run, ", ".join(f"`{c}` {kind}" for c, kind in kept.dtypes) + ", text string")
+    return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids array<int>, text string")
 
 
 def parity(docs: DataFrame, model: bytes) -> DataFrame:
@@ -215,12 +242,14 @@ def parity(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import sentencepiece
-        own, theirs = build_tokenizer(shared.value), sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        os.environ["RAYON_NUM_THREADS"] = "2"
+        own, model = build_tokenizer(shared.value, prepared=True), parse_model(shared.value)
+        theirs = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             same = 0
             for part in _chunks(texts, 200_000):
-                a = own.encode_batch_fast(part, add_special_tokens=False)
+                a = own.encode_batch_fast([prepare(t, model) for t in part], add_special_tokens=False)
                 same += sum(x.ids == y for x, y in zip(a, theirs.encode(part)))
             yield pd.DataFrame({"n_docs": [len(texts)], "n_equal": [same]})
 
