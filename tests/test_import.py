@@ -94,9 +94,23 @@ def test_csv_files_end_to_end(spark, tmp_path):
     assert sorted(r.version for r in imp.schema_versions.collect()) == ["1", "2"]
 
 
-def test_asof_refuses_large_boundary_table(spark):
-    import pytest
-    logs = spark.createDataFrame([(10,)], "n bigint")
-    big = _starts(spark, [(i, i * 10, i) for i in range(20)])
-    with pytest.raises(ValueError):
-        asof_lookup(logs, "n", big, "time_start", "version", "v", max_boundary_rows=5)
+def test_asof_with_as_many_boundaries_as_rows(spark):
+    logs = spark.createDataFrame([(n,) for n in range(-5, 400)] + [(None,)], "n bigint")
+    starts = [(i, i * 7 % 390, i) for i in range(390)]
+    out = asof_lookup(logs, "n", _starts(spark, starts), "time_start", "version", "v", block=16)
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    value = {s: v for v, s, _ in starts}
+    for r in out.collect():
+        at = 0 if r.n is None else max((s for s in value if s <= r.n), default=0)
+        assert r.v == value[at]
+
+
+def test_a_changed_registry_is_seen(spark, tmp_path):
+    from vigil.operators.normalize import registry_lookup
+    from vigil.operators.sizing import materialize_dimension
+    path = str(tmp_path / "registry")
+    for region in ("OLD", "NEW"):
+        spark.createDataFrame([("N1", region, 0)], "node_id string, region string, seq bigint").write.mode("overwrite").parquet(path)
+        got = materialize_dimension(registry_lookup(spark.read.parquet(path)), "registry").first()
+        assert got.region == region

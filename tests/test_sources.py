@@ -116,4 +116,5 @@ def test_ndjson_layout(spark, tmp_path):
     assert recs.count() == 4
     logs = logs_from_records(validate_records(recs, REQUIRED_LOG_KEYS)).collect()
     assert [r.log_id for r in logs] == ["A"]
-    assert dict(logs[0].fields) == {"response_code": "503", "extra": "x"}
+    # the whole record: a field map may name any key, reserved ones too
+    assert dict(logs[0].fields) == {"log_id": "A", "node_id": "N1", "schema_version": "2", "response_code": "503", "extra": "x"}

@@ -1,45 +1,44 @@
-"""As-of lookup against a small boundary table (ING2).
+"""As-of lookup of a boundary table (ING2).
 
 Each input row gets the value of the boundary with the greatest
 ``start <= key``; rows below every start get the first boundary's value; an
 empty boundary table yields ``default``.  Boundaries with equal starts keep
 the last one in (start, seq) order.
 
-Boundaries become half-open ranges ``[start, next_start)`` (from one sorted
-array of the size-checked boundary table), and
-the lookup is a range join against that (size-checked, broadcast) range
-table -- one pass over the big side, no shuffle of it.
+Keys are cut into blocks of ``block`` consecutive numbers.  Inside a block the
+rows and its boundaries are sorted together and the last boundary is carried
+forward; what holds at the start of a block comes from a summary with one row
+per block that has boundaries or rows.  Both sides may be large: nothing is
+broadcast by hand, gathered or compared pair by pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.sizing import max_broadcast_rows
+DEFAULT_BLOCK = 1 << 16
 
 
 def asof_lookup(df: DataFrame, key: str, boundaries: DataFrame, start: str, value: str, out: str,
-                default=1, order: str = "seq", max_boundary_rows: int | None = None) -> DataFrame:
-    b = boundaries.select(F.col(start).cast("bigint").alias("_start"), F.col(value).alias("_value"),
-                          F.col(order).alias("_ord"))
-    # equal starts: the later one (by seq) wins
-    b = b.groupBy("_start").agg(F.max_by("_value", "_ord").alias("_value"))
-    bound = max_boundary_rows if max_boundary_rows is not None else max_broadcast_rows(df)
-    if b.limit(bound + 1).count() > bound:
-        # a range join against a non-broadcast side would plan a nested-loop
-        # (cartesian) join over the big side; refuse instead of running it
-        raise ValueError(f"as-of boundary table exceeds {bound} rows; it must be a small dimension")
-    # the (size-checked) boundaries as one sorted array -> [start, next) ranges
-    arr = b.agg(F.sort_array(F.collect_list(F.struct("_start", "_value"))).alias("_a"))
-    ranges = arr.select("_a", F.posexplode("_a").alias("_i", "_e")).select(
-        F.col("_e._start").alias("_start"), F.col("_e._value").alias("_value"),
-        F.try_element_at(F.col("_a"), (F.col("_i") + 2).cast("int"))["_start"].alias("_next"),
-        (F.col("_i") == 0).alias("_is_first"))
-    first_value = ranges.filter("_is_first").select("_value").scalar()
-    ranges = F.broadcast(ranges.select("_start", "_next", "_value"))
-    k = F.col(key).cast("bigint")
-    cond = (k >= F.col("_start")) & (F.col("_next").isNull() | (k < F.col("_next")))
-    joined = df.join(ranges, cond, "left")
-    result = F.coalesce(F.col("_value"), first_value, F.lit(default))
-    return joined.withColumn(out, result).drop("_start", "_next", "_value")
+                default=1, order: str = "seq", block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``df`` with ``out``: the value of the boundary that holds at ``key`` (a null key: the first one's)."""
+    # equal starts: the later one (by order) wins
+    b = (boundaries.select(F.col(start).cast("bigint").alias("_k"), F.col(value).alias("_v"), F.col(order).alias("_o"))
+         .where(F.col("_k").isNotNull()).groupBy("_k").agg(F.max_by("_v", "_o").alias("_v")))
+    first = b.agg(F.min_by("_v", "_k")).scalar()
+    number = F.floor(F.col("_k") / F.lit(block)).cast("bigint")
+    b = b.withColumn("_b", number)
+    rows = df.withColumn("_k", F.col(key).cast("bigint")).withColumn("_b", number)
+    # one row per block: its last boundary, and what earlier blocks leave to it
+    ends = b.groupBy("_b").agg(F.max_by("_v", "_k").alias("_last"))
+    used = rows.select("_b").where("_b is not null").distinct()
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (used.join(ends, "_b", "full").withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
+             .select("_b", "_carry"))
+    both = rows.withColumn("_row", F.lit(1)).unionByName(b.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy("_b").orderBy("_k", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_held", F.last(F.when(F.col("_row") == 0, F.col("_v")), ignorenulls=True).over(inside))
+    result = F.coalesce("_held", "_carry", first, F.lit(default))
+    return (held.where("_row = 1").join(carry, "_b", "left").withColumn(out, result)
+            .drop("_k", "_b", "_v", "_row", "_held", "_carry"))

@@ -18,7 +18,7 @@ from vigil.functions.scalars import py_strip, safe_str
 from vigil.operators.indexing import dense_index
 from vigil.operators.intervals import previous_in_group
 from vigil.operators.rules import LEVEL_RANK
-from vigil.operators.sizing import broadcast_if_small, materialize_dimension, session_key
+from vigil.operators.sizing import materialize_dimension
 
 UNKNOWN_UA = "UNKNOWN-UA"
 
@@ -37,24 +37,17 @@ def rank_level(col: Column) -> Column:
     return out
 
 
-_TARGETS: dict[tuple, DataFrame] = {}
-
-
 def target_index(registry: DataFrame) -> tuple[DataFrame, Column]:
     """(idx, node_id, next_node_id, n) over sorted registry ids, and the id count as a scalar.
 
-    Dimension-sized and checkpointed once per application and registry plan.
+    Dimension-sized and written once for the plan that uses it.
     """
     ids = registry.select(safe_str("node_id", None).alias("node_id")).filter(F.col("node_id").isNotNull())
-    key = session_key(ids, "targets")
-    if key not in _TARGETS:
-        idx = dense_index(ids, "node_id")
-        n = idx.agg(F.count(F.lit(1))).scalar()
-        nxt = idx.select(F.col("idx").alias("_nidx"), F.col("node_id").alias("next_node_id"))
-        table = (idx.withColumn("_nidx", F.when(n > 0, F.pmod(F.col("idx") + 1, n)))
-                 .join(nxt, "_nidx").drop("_nidx").withColumn("n", n))
-        _TARGETS[key] = table.checkpoint(eager=True)
-    table = _TARGETS[key]
+    idx = dense_index(ids, "node_id")
+    n = idx.agg(F.count(F.lit(1))).scalar()
+    nxt = idx.select(F.col("idx").alias("_nidx"), F.col("node_id").alias("next_node_id"))
+    table = materialize_dimension(idx.withColumn("_nidx", F.when(n > 0, F.pmod(F.col("idx") + 1, n)))
+                                  .join(nxt, "_nidx").drop("_nidx").withColumn("n", n), "targets")
     return table.drop("n"), table.agg(F.coalesce(F.max("n"), F.lit(0).cast("bigint"))).scalar()
 
 
@@ -88,7 +81,7 @@ def graph_ready_logs(logs: DataFrame, registry: DataFrame, alerts: DataFrame | N
            .filter(F.col("source_node").isNotNull()))
     reg = materialize_dimension(reg.groupBy("source_node").agg(F.max_by("_reg_ua", "seq").alias("_reg_ua")),
                                 "registry_ua")
-    base = base.join(broadcast_if_small(reg), "source_node", "left")
+    base = base.join(reg, "source_node", "left")
     log_ua = F.nullif(F.col("user_agent").cast("string"), F.lit("")) if "user_agent" in cols else F.lit(None)
     ua = py_strip(F.coalesce(log_ua, F.nullif(F.col("_reg_ua"), F.lit("")), F.lit(UNKNOWN_UA)))
     ua = F.when(ua == "", F.lit(UNKNOWN_UA)).otherwise(ua)
@@ -102,7 +95,10 @@ def graph_ready_logs(logs: DataFrame, registry: DataFrame, alerts: DataFrame | N
     # < x-schema), so only explicit headers go through normalize_headers.
     headers = (F.when(F.col("headers").isNotNull(), normalize_headers(F.col("headers"))).otherwise(fallback)
                if "headers" in cols else fallback)
-    rt = F.coalesce(F.col("response_time_ms").cast("bigint"), F.lit(-1).cast("bigint"))
+    # text that is no integer counts as missing
+    rt = F.coalesce(F.col("response_time_ms").try_cast("bigint"), F.lit(-1).cast("bigint"))
+    if dict(logs.dtypes).get("response_time_ms") == "string":
+        rt = F.when(py_strip(F.col("response_time_ms")).rlike(r"^[+-]?[0-9]+$"), rt).otherwise(F.lit(-1).cast("bigint"))
 
     base = base.select(
         "log_id", "source_node", "seq", "_ts_iso", "_ts", ua.alias("user_agent"),
@@ -138,7 +134,7 @@ def graph_ready_logs(logs: DataFrame, registry: DataFrame, alerts: DataFrame | N
 
 def _with_targets(base: DataFrame, registry: DataFrame) -> DataFrame:
     table, n = target_index(registry)
-    table = broadcast_if_small(table.withColumnRenamed("node_id", "_t1"))
+    table = table.withColumnRenamed("node_id", "_t1")
     with_slot = base.withColumn("_slot", hash_slot(F.col("log_id"), n))
     joined = with_slot.join(table, with_slot["_slot"] == table["idx"], "left")
     derived = (F.when(~(n > 0), F.col("source_node"))

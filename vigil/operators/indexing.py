@@ -13,20 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.operators.sizing import session_key
 from vigil.session import ensure_checkpoint_dir
 
-_INDEXES: dict[tuple, DataFrame] = {}
-
-
 def dense_index(values: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
-    """(col, idx) for the distinct values of ``col``; idx follows ascending order.
-
-    The index of a given dimension plan is built once per application.
-    """
-    key = session_key(values, col, partitions)
-    if key in _INDEXES:
-        return _INDEXES[key]
+    """(col, idx) for the distinct values of ``col``; idx follows ascending order."""
     spark = values.sparkSession
     ensure_checkpoint_dir(spark)
     parts = partitions or max(1, spark.sparkContext.defaultParallelism)
@@ -45,6 +35,4 @@ def dense_index(values: DataFrame, col: str, partitions: int | None = None) -> D
     index = (local.join(F.broadcast(offsets), "_pid")
              .select(col, (F.col("_offset") + F.col("_local")).cast("bigint").alias("idx")))
     # dimension-sized: materialize so every consumer reads a small leaf
-    index = index.checkpoint(eager=True)
-    _INDEXES[key] = index
-    return index
+    return index.checkpoint(eager=True)

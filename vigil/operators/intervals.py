@@ -33,7 +33,9 @@ def previous_in_group(df: DataFrame, group: str, order: str, value: str, out: st
     """
     size = block if block is not None else block_rows(df)
     blk = "_blk"
-    with_blk = df.withColumn(blk, F.floor(F.col(order) / F.lit(size)).cast("bigint"))
+    # dealt by (group, block) explicitly: an input that is already partitioned by the group alone would
+    # satisfy the window and keep a hot group in one task
+    with_blk = df.withColumn(blk, F.floor(F.col(order) / F.lit(size)).cast("bigint")).repartition(group, blk)
     in_block = Window.partitionBy(group, blk).orderBy(order)
     lagged = with_blk.withColumn("_prev_in", F.lag(value).over(in_block))
     last_per_block = (with_blk.groupBy(group, blk)

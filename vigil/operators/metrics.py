@@ -18,15 +18,20 @@ def percentage(count: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(count / total * 100, 2)).otherwise(F.lit(0.0))
 
 
-def detection_metrics(detected: DataFrame) -> DataFrame:
-    """One-row metrics over the scored logs (AGG1-4)."""
+def detection_metrics(detected: DataFrame, processed: DataFrame | None = None) -> DataFrame:
+    """One-row metrics over the scored logs (AGG1-4).
+
+    ``processed``: the rows given to detection; those it left out (blank ids)
+    count as skipped.  Without it all scored rows are all rows.
+    """
+    total = processed.agg(F.count(F.lit(1))).scalar() if processed is not None else F.count(F.lit(1))
     lvl = F.col("alert_level")
     rt = F.col("response_time_ms")
     sv = F.col("schema_version")
     return detected.agg(
-        F.count(F.lit(1)).alias("total_logs_processed"),
+        total.alias("total_logs_processed"),
         F.count(F.lit(1)).alias("total_alerts"),
-        F.lit(0).cast("bigint").alias("skipped"),
+        (total - F.count(F.lit(1))).alias("skipped"),
         F.count_if(lvl == "ATTACK").alias("attack_count"),
         F.count_if(lvl == "HIGH_RISK").alias("high_risk_count"),
         F.count_if(lvl == "SUSPICIOUS").alias("suspicious_count"),

@@ -4,7 +4,7 @@ Input is the canonical raw-log frame (see ``sources.telemetry.RAW_LOG_SCHEMA``):
 physical fields travel in a ``fields`` map, so a version table decides at run
 time which physical name feeds each canonical column -- no field name is
 compiled into the plan.  Both lookups (registry, versions) are dimension
-joins, broadcast behind a size check.
+joins; Spark broadcasts them by their size in bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from vigil.functions.hardware import with_hardware_check
 from vigil.functions.scalars import (
     is_py_infinity, normalize_timestamp, present_in_order, safe_int, safe_str, safe_str_upper,
 )
-from vigil.operators.sizing import broadcast_if_small, materialize_dimension
+from vigil.operators.sizing import materialize_dimension
 
 DEFAULT_HTTP_STATUS = -1
 DEFAULT_RESPONSE_TIME = -1
@@ -61,11 +61,14 @@ def registry_lookup(registry: DataFrame) -> DataFrame:
 
 
 def schema_lookup(schema_versions: DataFrame) -> DataFrame:
-    """Integer versions with a field map, last duplicate wins (NRM2)."""
+    """Integer versions with a field map, last duplicate wins (NRM2).
+
+    A JSON number such as ``2.0`` is the version 2; text that is no integer is none.
+    """
     ver_text = safe_str(F.col("version").cast("string"), None)
     vers = (schema_versions
-            .withColumn("version", F.when(ver_text.rlike(r"^[+-]?[0-9](?:_?[0-9])*$"),
-                                          F.regexp_replace(ver_text, "_", "").try_cast("bigint")))
+            .withColumn("version", F.when(ver_text.rlike(r"^[+-]?[0-9](?:_?[0-9])*(?:\.0+)?$"),
+                                          F.regexp_replace(ver_text, r"_|\.0+$", "").try_cast("bigint")))
             .filter(F.col("version").isNotNull() & F.col("field_map").isNotNull())
             .select("version", "field_map", "seq"))
     return _last_per_key(vers, "version").select("version", "field_map")
@@ -101,13 +104,11 @@ def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFra
     kept row.  Pass a ``pyspark.sql.Observation`` to collect the integrity
     counts (NRM10) in the same pass that produces the normalized rows.
     """
-    versions = materialize_dimension(schema_lookup(schema_versions), "versions")
+    versions = materialize_dimension(schema_lookup(schema_versions).withColumn("_known", F.lit(True)), "versions")
     v1_map = versions.filter(F.col("version") == FALLBACK_VERSION).select("field_map").scalar()
-    versions = broadcast_if_small(versions.withColumn("_known", F.lit(True)))
     reg = materialize_dimension(registry_lookup(registry).select(
         "node_id", F.col("node_name").alias("_r_name"), F.col("region").alias("_r_region"),
         F.col("hardware_id_b64").alias("_r_hw"), F.lit(True).alias("_r_hit")), "registry")
-    reg = broadcast_if_small(reg)
 
     logs = raw_logs.select(
         "seq",

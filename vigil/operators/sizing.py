@@ -1,47 +1,18 @@
-"""Size-checked broadcast.
+"""Materialized dimensions and scan spreading.
 
-A dimension is broadcast only after a bounded probe proves it small:
-``limit(max_rows + 1).count()`` reads at most ``max_rows + 1`` rows, so the
-check itself never scans a large table.  Past the bound the plain frame is
-returned and Spark plans a shuffle (sort-merge) join, which AQE may still
-convert at runtime when the real size turns out small.
+No join is forced: Spark broadcasts a side whose size in bytes it knows to be
+below ``spark.sql.autoBroadcastJoinThreshold``, and AQE decides again on
+measured sizes.  A dimension that is materialized is a parquet table, so its
+size is known when the join is planned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-CONF_KEY = "vigil.broadcast.maxRows"
-
-
-def max_broadcast_rows(df: DataFrame) -> int:
-    value = df.sparkSession.conf.get(CONF_KEY, None)
-    return int(value) if value else DEFAULT_MAX_BROADCAST_ROWS
-
-
-_DECISIONS: dict[tuple, bool] = {}
-
+import uuid
 
-def session_key(df: DataFrame, *parts) -> tuple:
-    """Cache key scoped to the running application and the frame's semantics."""
-    return (df.sparkSession.sparkContext.applicationId, df.semanticHash(), *parts)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when the probe proves ``df`` has at most ``max_rows`` rows.
+from pyspark.sql import DataFrame
 
-    Use it for dimension-derived frames only: the probe is an action.  The
-    decision is remembered per application and plan, so repeated plans over
-    the same dimension do not re-probe.  Frames derived from the log table
-    are joined plainly and left to AQE's runtime (measured-size) conversion.
-    """
-    bound = max_rows if max_rows is not None else max_broadcast_rows(df)
-    key = session_key(df, bound)
-    if key not in _DECISIONS:
-        _DECISIONS[key] = df.limit(bound + 1).count() <= bound
-    return F.broadcast(df) if _DECISIONS[key] else df
+from vigil.session import ensure_checkpoint_dir
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -57,20 +28,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
-_DIMENSIONS: dict[tuple, DataFrame] = {}
-
-
 def materialize_dimension(df: DataFrame, tag: str) -> DataFrame:
-    """Checkpoint a dimension-derived frame once per application and plan.
+    """Write a dimension-derived frame under ``spark.checkpoint.dir`` and read it back.
 
-    For small derived lookups (deduplicated registry, version table): later
-    plans read the checkpoint instead of re-running the dedupe aggregation,
-    and the size probe and broadcast read a leaf.  Reliable checkpoint into
-    ``spark.checkpoint.dir``; never for log-sized frames.
+    For small derived lookups (deduplicated registry, version table): the plan
+    that uses them reads a leaf of known size.  Written anew on every call, so
+    a changed source is seen; never for log-sized frames.
     """
-    from vigil.session import ensure_checkpoint_dir
-    key = session_key(df, tag)
-    if key not in _DIMENSIONS:
-        ensure_checkpoint_dir(df.sparkSession)
-        _DIMENSIONS[key] = df.checkpoint(eager=True)
-    return _DIMENSIONS[key]
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dimensions/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -206,7 +206,7 @@ def node_overlay(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, comman
 
 def sanitize_alerts(alerts: DataFrame) -> DataFrame:
     """Read-side guards: unknown level -> CLEAN, scores clamped 0..100, latency floored at 0 (VW16)."""
-    lvl = F.upper(F.coalesce(F.col("alert_level"), F.lit("")))
+    lvl = F.coalesce(F.col("alert_level"), F.lit(""))
     return alerts.select(
         "log_id", "node_id",
         F.when(lvl.isin(*LEVELS), lvl).otherwise(F.lit("CLEAN")).alias("alert_level"),

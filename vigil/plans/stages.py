@@ -10,8 +10,8 @@ under ``spark.checkpoint.dir`` (shared storage on a cluster) and read back.
 That keeps every downstream plan small -- a self-joined or subqueried stage
 is a leaf instead of a copy of the whole upstream tree -- and a lost
 executor only re-reads checkpoint files instead of recomputing the
-pipeline.  A checkpointed stage is reused by every later query of the same
-application over the same input directory.
+pipeline.  A written stage belongs to its ``Stages`` object: another object
+reads its inputs anew.
 """
 
 from __future__ import annotations
@@ -32,9 +32,6 @@ from vigil.operators.normalize import normalize
 from vigil.session import ensure_checkpoint_dir
 from vigil.sources.telemetry import telemetry
 
-_MATERIALIZED: dict[tuple, DataFrame] = {}
-
-
 def write_stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -52,14 +49,14 @@ class Stages:
         self.spark = spark
         self.sf_dir = sf_dir
         self._materialize = materialize
+        self._written: dict[str, DataFrame] = {}
 
     def _cut(self, name: str, build) -> DataFrame:
         if not self._materialize:
             return build()
-        key = (self.spark.sparkContext.applicationId, self.sf_dir.rstrip("/"), name)
-        if key not in _MATERIALIZED:
-            _MATERIALIZED[key] = write_stage(self.spark, build(), name)
-        return _MATERIALIZED[key]
+        if name not in self._written:
+            self._written[name] = write_stage(self.spark, build(), name)
+        return self._written[name]
 
     @cached_property
     def telemetry(self):
@@ -84,7 +81,7 @@ class Stages:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return detection_metrics(self.detected)
+        return detection_metrics(self.detected, self.normalized)
 
     @cached_property
     def graph_logs(self) -> DataFrame:

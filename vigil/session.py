@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -48,14 +50,32 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SESSION_CONF.items():
         if key.startswith("spark.sql."):
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: Python workers import it."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or any(f.endswith("/vigil-package.zip") for f in sc.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="vigil-"), "vigil-package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("vigil", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is.  Only when it is unset on a local master (tests) do we pick a
+    scratch folder: executors of a cluster do not share one.
     """
     configured = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
                   or spark.conf.get("spark.checkpoint.dir", None))
@@ -65,6 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("VIGIL_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local

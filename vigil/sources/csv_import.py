@@ -16,7 +16,6 @@ from vigil.functions.graphfn import ISO_OUT_FORMAT
 from vigil.functions.scalars import PY_FLOAT_RE, py_strip
 from vigil.operators.asof import asof_lookup
 from vigil.operators.indexing import dense_index
-from vigil.operators.sizing import broadcast_if_small
 from vigil.session import ensure_checkpoint_dir
 
 # Fixed values (must equal the reference for identical imports).
@@ -162,7 +161,7 @@ def import_logs(rows: DataFrame, starts: DataFrame, registry: DataFrame) -> Data
         import_int(F.col("http_response_code"), -1).alias("http"),
         import_int(F.col("response_time_ms"), -1).alias("latency"))
     df = asof_lookup(df, "log_num", starts, "time_start", "version", "schema_version")
-    reg = broadcast_if_small(registry.select(F.col("num").alias("node_num"), F.col("hardware_id_b64").alias("_hw")))
+    reg = registry.select(F.col("num").alias("node_num"), F.col("hardware_id_b64").alias("_hw"))
     df = df.join(reg, "node_num", "left")
     v1 = F.col("schema_version") == 1
     values = [F.col("status"), F.col("http").cast("string"), F.col("latency").cast("string")]

@@ -75,12 +75,10 @@ def rejected_records(records: DataFrame, required: list[str]) -> DataFrame:
 def logs_from_records(records: DataFrame) -> DataFrame:
     """Canonical raw-log frame from validated log records."""
     r = F.col("record")
-    core = {"log_id", "node_id", "schema_version", "hardware_id_b64", "timestamp", "load_val", "L_V1"}
-    fields = F.map_filter(r, lambda k, v: ~k.isin(*core))
     return records.select(
         "seq", r["log_id"].alias("log_id"), r["node_id"].alias("node_id"),
         r["schema_version"].alias("schema_version"), r["hardware_id_b64"].alias("hardware_id_b64"),
-        r["timestamp"].alias("timestamp"), fields.alias("fields"),
+        r["timestamp"].alias("timestamp"), r.alias("fields"),
         r["load_val"].alias("load_val"), r["L_V1"].alias("L_V1"),
     ).select(*[F.col(f.name).cast(f.dataType) for f in RAW_LOG_SCHEMA.fields])
 
