@@ -70,4 +70,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_line_dedup, op2_quality_classifier, op3_pii, op4_minhash_near_dedup, op5_substring_dedup, op6_html_extraction,
     op7_sentencepiece, op8_benchmark_decontamination, op9_license_scan, op10_host_rules)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_substring_dedup": r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 12], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM docs WHERE len(w) >= 13)
+), firsts AS (SELECT h, min(doc_id) AS m FROM windows GROUP BY h
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM windows JOIN firsts USING (h) WHERE m < doc_id
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+""", "op10_host_rules": r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 4], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM docs WHERE len(w) >= 5)
+), twice AS (SELECT doc_id, h FROM windows GROUP BY doc_id, h HAVING count(*) > 1
+), hit AS (SELECT doc_id, count(DISTINCT i) AS n FROM (
+  SELECT doc_id, unnest(range(p, p + 5)) AS i FROM windows JOIN twice USING (doc_id, h)) GROUP BY doc_id
+), rules AS (
+  SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+           - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words
+  FROM docs LEFT JOIN hit USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars AS rule_failed FROM rules
+), hosts AS (
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE rule_failed) AS DOUBLE) AS failed FROM judged GROUP BY source
+), total AS (SELECT sum(n) AS n, count(*) AS k, least(greatest(sum(failed) / sum(n), 1e-4), 1 - 1e-4) AS m, sum(n * n) AS n2 FROM hosts
+), spread AS (
+  SELECT any_value(m) AS m, (sum(h.n * pow(h.failed / h.n - t.m, 2)) / any_value(t.n) - any_value(m * (1 - m) * (k - 1) / t.n))
+         / greatest(1 - any_value(n2 / t.n) / any_value(t.n), 1e-9) AS v FROM hosts h, total t
+), prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1e4) ELSE 1e4 END AS s FROM spread)
+SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND (h.failed + m * s) / (h.n + s) < 0.5 AS kept, round((h.failed + m * s) / (h.n + s), 6) AS host_rate
+FROM judged j JOIN hosts h ON j.source IS NOT DISTINCT FROM h.source, prior
+"""}
