@@ -114,3 +114,41 @@ def test_a_changed_registry_is_seen(spark, tmp_path):
         spark.createDataFrame([("N1", region, 0)], "node_id string, region string, seq bigint").write.mode("overwrite").parquet(path)
         got = materialize_dimension(registry_lookup(spark.read.parquet(path)), "registry").first()
         assert got.region == region
+
+
+def test_csv_rows_as_python_reads_them(spark, tmp_path):
+    import csv
+
+    from vigil.sources.csv_import import named, read_csv_rows
+    texts = {
+        "a.csv": 'log_id,node_id,note\n1,1,OPERATIONAL\n\n2,1,"OPER\nATIONAL"\n3,"x ""y"", z"\n,,\n4,5,6,extra,,more\n',
+        "b.csv": 'log_id,node_id,note\n"7",,""\n\n\n8\n',
+    }
+    expected = []
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        expected += [r for r in csv.reader(text.splitlines(keepends=True)) if r][1:]
+    rows = sorted(read_csv_rows(spark, str(tmp_path)).collect())
+    assert [r.seq for r in rows] == list(range(len(expected)))
+    for got, want in zip(rows, expected):
+        want = [v or None for v in want] + [None] * (len(got["values"]) - len(want))
+        assert got["values"] == want
+    notes = named(read_csv_rows(spark, str(tmp_path / "a.csv")), ["note", "absent"]).orderBy("seq").collect()
+    assert [r.note for r in notes] == ["OPERATIONAL", "OPER\nATIONAL", None, None, "6"]
+    assert all(r.absent is None for r in notes)
+
+
+def test_csv_empty_and_split_files(spark, tmp_path):
+    from vigil.sources.csv_import import read_csv_rows
+    (tmp_path / "empty.csv").write_text("")
+    assert read_csv_rows(spark, str(tmp_path / "empty.csv")).count() == 0
+    (tmp_path / "head.csv").write_text("a,b\n")
+    assert read_csv_rows(spark, str(tmp_path / "head.csv")).count() == 0
+    (tmp_path / "long.csv").write_text("a,b\n" + "".join(f"{i},{'x' * (i % 37)}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = sorted(read_csv_rows(spark, str(tmp_path / "long.csv"), multi_line=False).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.seq, r["values"][0]) for r in rows] == [(i, str(i)) for i in range(5000)]

@@ -7,6 +7,7 @@ depend on input order.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from vigil.functions.graphfn import ISO_OUT_FORMAT
 from vigil.functions.scalars import PY_FLOAT_RE, py_strip
 from vigil.operators.asof import asof_lookup
-from vigil.operators.indexing import dense_index
 from vigil.session import ensure_checkpoint_dir
 
 # Fixed values (must equal the reference for identical imports).
@@ -38,38 +38,57 @@ def import_int(col: Column, default) -> Column:
     return F.coalesce(value, d.cast("bigint"))
 
 
-def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header -> string columns + ``values`` (every field, extras included) + ``seq`` (SRC1).
+def read_csv_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV files with a header each -> ``seq``, ``values`` (every field, extras included), ``_names`` (SRC1).
 
-    Ragged rows keep their extra fields in ``values``.  ``seq`` is the 0-based
-    row ordinal (dense index over a monotonically increasing id, which
-    follows file order).
+    Quoted fields may hold commas, doubled quotes and line breaks; blank lines
+    are no rows; rows may have fewer or more fields than the header.  An empty
+    field and a missing one are both null.  ``seq`` is the 0-based row ordinal
+    over all files in path order.  ``multi_line=False`` lets Spark split large
+    files, for inputs without line breaks inside quotes.
+
+    The parsed rows are written once under ``spark.checkpoint.dir``; a row's
+    ordinal is its place in its scan split plus the rows of the splits before,
+    so only one record per split (rows, first id) is gathered.
     """
-    lines = spark.read.text(path).withColumn("_mono", F.monotonically_increasing_id())
-    first = lines.orderBy("_mono").limit(1).collect()  # the header line only
-    if not first:
+    width = _widest(spark, path, multi_line)
+    cols = [f"c{i}" for i in range(width)]
+    wide = _csv(spark, path, ", ".join(f"{c} string" for c in cols), multi_line)
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    (wide.select(F.array(*cols).alias("values"), F.col("_metadata.file_path").alias("file"),
+                 F.col("_metadata.file_block_start").alias("split"))
+     .withColumn("at", F.monotonically_increasing_id()).write.parquet(target))
+    rows = spark.read.schema("values array<string>, file string, split bigint, at bigint").parquet(target)
+    splits = sorted(rows.groupBy("file", "split").agg(F.min("at"), F.count(F.lit(1))).collect())
+    heads = {}
+    for file, _, first, _ in splits:
+        heads.setdefault(file, first)
+    if not splits:
         return rows_schema_empty(spark)
-    header_mono = first[0]["_mono"]
-    body = lines.filter(F.col("_mono") != F.lit(header_mono))
-    idx = dense_index(body.select("_mono"), "_mono")
-    body = body.join(idx, "_mono").withColumnRenamed("idx", "seq")
-    names = _split_csv(F.lit(first[0]["value"]))
-    return body.select("seq", _split_csv(F.col("value")).alias("values"), names.alias("_names"))
-
-
-# a comma outside double quotes (an even number of quotes follows it)
-_FIELD_SEP = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
-def _split_csv(line) -> Column:
-    """Split one CSV line into fields; quoted fields lose their quotes and "" becomes "."""
-    parts = F.split(line, _FIELD_SEP)
-
-    def unquote(f: Column) -> Column:
-        inner = F.regexp_replace(F.regexp_extract(f, r'^"(.*)"$', 1), '""', '"')
-        return F.when(f.rlike(r'^".*"$'), inner).otherwise(f)
-
-    return F.transform(parts, unquote)
+    head_rows = spark.createDataFrame([(at,) for at in heads.values()], "at bigint")
+    names = {r.file: r["values"] for r in rows.join(head_rows, "at").collect()}
+    table, before = [], 0
+    for file, split, first, n in splits:
+        header = heads[file] == first
+        table.append((file, split, first, before - header, header, names[file]))
+        before += n - header
+    places = spark.createDataFrame(
+        table, "file string, split bigint, first bigint, before bigint, header boolean, _names array<string>")
+    return (rows.join(places, ["file", "split"]).where(~F.col("header") | (F.col("at") > F.col("first")))
+            .select((F.col("before") + F.col("at") - F.col("first")).alias("seq"), "values", "_names"))
+
+
+def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
+    return (spark.read.schema(schema).options(header=False, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE",
+                                              columnNameOfCorruptRecord="_raw", columnPruning=False, maxColumns=1_000_000)
+            .csv(path))
+
+
+def _widest(spark: SparkSession, path: str, multi_line: bool) -> int:
+    """An upper bound of the fields of a row: a row of several fields does not fit one column, so its text is at hand."""
+    one = _csv(spark, path, "c0 string, _raw string", multi_line)
+    commas = F.length("_raw") - F.length(F.replace(F.col("_raw"), F.lit(",")))
+    return (one.agg(F.max(F.coalesce(commas, F.length("c0") * 0)).alias("n")).first()["n"] or 0) + 1
 
 
 def rows_schema_empty(spark: SparkSession) -> DataFrame:
