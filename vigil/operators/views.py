@@ -50,6 +50,14 @@ def last_generated(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.max("ingestion_time").alias("last_generated"))
 
 
+def alert_envelope(alerts: DataFrame, level: str | None = None, region: str | None = None,
+                   node_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """One row beside the listed alerts: how many are listed, the limit in force, the latest ingestion time (VW1)."""
+    k = DEFAULT_LIMIT if limit is None else _clamp(limit, 1, MAX_LIMIT)
+    listed = filter_alerts(alerts, level, region, node_id).limit(k).agg(F.count(F.lit(1)).alias("total"))
+    return listed.select("total", F.lit(k).alias("limit"), last_generated(alerts).scalar().alias("last_generated"))
+
+
 def alert_page(alerts: DataFrame, level: str | None = None, region: str | None = None,
                node_id: str | None = None, page: int = 1, limit: int = 50) -> DataFrame:
     """Page of alerts ordered by severity desc (stable), with the pre-paging total (VW2)."""
@@ -67,6 +75,17 @@ def critical_alerts(alerts: DataFrame, k: int = 5) -> DataFrame:
     return alert_query(alerts.filter(F.col("alert_level").isin("ATTACK", "HIGH_RISK")), limit=k)
 
 
+def summary(metrics_row: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row: the figures of the metrics view, the top critical alerts (at most five) with their count, attacked nodes (VW3)."""
+    top = F.sort_array(F.collect_list(F.struct("rank", "log_id", "node_id", "alert_level", "severity_score", "timestamp")))
+    critical = critical_alerts(alerts).agg(top.alias("critical_alerts"))
+    return metrics_row.select(
+        "total_logs", "total_alerts", "attack_count", "high_risk_count", "suspicious_count", "clean_count",
+        "ml_detection_count", "attack_percentage", "threat_percentage", "total_nodes",
+        critical.scalar().alias("critical_alerts"), "nodes_under_attack",
+    ).withColumn("critical_count", F.size("critical_alerts").cast("bigint"))
+
+
 def search_alerts(alerts: DataFrame, query: str) -> DataFrame:
     """Case-insensitive substring search over node id/name, region, log id (VW5)."""
     q = query.lower()

@@ -315,6 +315,33 @@ SELECT row_number() OVER (ORDER BY severity_score DESC, timestamp DESC, seq ASC)
        log_id, node_id, alert_level, severity_score, timestamp
 FROM detected WHERE alert_level IN ('ATTACK', 'HIGH_RISK')
 QUALIFY row_number() OVER (ORDER BY severity_score DESC, timestamp DESC, seq ASC) <= 5"""),
+    "alert_envelope": _q("""
+SELECT least(count(*) FILTER (WHERE alert_level = 'HIGH_RISK'), 500) AS total, 500 AS limit, count(*) > 0 AS generated
+FROM detected"""),
+    "summary_view": _q("""
+, top AS (
+  SELECT log_id, row_number() OVER (ORDER BY severity_score DESC, timestamp DESC, seq ASC) AS rank FROM detected
+  WHERE alert_level IN ('ATTACK', 'HIGH_RISK') QUALIFY rank <= 5)
+SELECT count(*) AS total_logs, count(*) AS total_alerts,
+       count(*) FILTER (WHERE alert_level = 'ATTACK') AS attack_count,
+       count(*) FILTER (WHERE alert_level = 'HIGH_RISK') AS high_risk_count,
+       count(*) FILTER (WHERE alert_level = 'SUSPICIOUS') AS suspicious_count,
+       count(*) FILTER (WHERE alert_level = 'CLEAN') AS clean_count, CAST(0 AS BIGINT) AS ml_detection_count,
+       round(count(*) FILTER (WHERE alert_level = 'ATTACK') / count(*) * 100, 2) AS attack_percentage,
+       round(count(*) FILTER (WHERE alert_level <> 'CLEAN') / count(*) * 100, 2) AS threat_percentage,
+       (SELECT count(*) FROM reg) AS total_nodes, (SELECT count(*) FROM top) AS critical_count,
+       (SELECT coalesce(string_agg(log_id, ',' ORDER BY rank), '') FROM top) AS critical_log_ids,
+       (SELECT coalesce(string_agg(node_id, ',' ORDER BY node_id), '')
+        FROM (SELECT DISTINCT node_id FROM detected WHERE alert_level = 'ATTACK')) AS nodes_under_attack
+FROM detected"""),
+    "attacked_nodes": _q("SELECT DISTINCT node_id FROM detected WHERE alert_level = 'ATTACK'"),
+    "graph_logs_explicit": _q("""
+SELECT log_id, source_node, CASE WHEN seq % 5 = 0 THEN 'NODE-EXT' ELSE target_node END AS target_node,
+       CASE WHEN seq % 3 = 0 THEN 'accept:a,x-n:' || lower(source_node) || ',x-trace:b' ELSE headers END AS headers,
+       CASE WHEN seq % 4 = 0 THEN 'Mozilla/5.0 probe' ELSE user_agent END AS user_agent, interval,
+       CASE WHEN seq % 2 = 0 THEN severity_score ELSE 0.0 END AS severity_score,
+       CASE WHEN seq % 2 = 0 THEN alert_level ELSE 'CLEAN' END AS alert_level
+FROM graph_logs""", BASE + GRAPH),
     "alert_search": _q("""
 SELECT log_id, node_id, region, alert_level, severity_score, timestamp FROM detected
 WHERE contains(lower(node_id), 'node-01') OR contains(lower(node_name), 'node-01')
@@ -500,6 +527,28 @@ imp_logs AS (
   FROM imp0)"""
 
 ORACLE.update({
+    "csv_registry_rows": """
+WITH s AS (SELECT s_suppkey AS s, CAST(s_suppkey AS VARCHAR) AS sid, to_base64(encode('SN-' || CAST(s_suppkey AS VARCHAR))) AS token,
+                  CASE WHEN s_acctbal < 0 THEN 'True' ELSE 'False' END AS flag,
+                  row_number() OVER (ORDER BY s_suppkey) - 1 AS seq FROM supplier)
+SELECT seq, CASE WHEN s % 11 = 0 THEN concat_ws(' | ', sid, 'AEGIS-Node/2.0 (Linux)')
+                 WHEN s % 7 = 3 THEN concat_ws(' | ', sid, 'AEGIS-Node/2.0 (Linux)', token, flag)
+                 WHEN s % 7 = 5 THEN concat_ws(' | ', token, 'AEGIS-Node/2.0 (Linux)', flag)
+                 ELSE concat_ws(' | ', sid, 'AEGIS-Node/2.0 (Linux) ' || token, flag) END
+            || CASE WHEN s % 13 = 4 THEN ' | rack "A",' || chr(10) || 'row 2' ELSE '' END
+            || CASE WHEN s % 6 = 1 THEN ' | extra' ELSE '' END AS fields
+FROM s""",
+    "csv_log_rows": """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, row_number() OVER (ORDER BY event_id) - 1 AS seq
+           FROM events),
+t AS (SELECT *, CASE WHEN k = 97 THEN '' WHEN event_type = 'error' AND k % 2 = 1 THEN 'DEGRADED' ELSE 'OPERATIONAL' END AS st
+      FROM e)
+SELECT seq, CAST(event_id AS VARCHAR) AS log_id, CAST(user_id AS VARCHAR) AS node_id,
+       nullif(st || CASE WHEN event_id % 9 = 0 THEN ', "late"' || chr(10) || 'report' ELSE '' END, '') AS json_status,
+       CASE WHEN k = 98 THEN NULL WHEN event_type = 'error' THEN CAST(400 + (k % 3) * 50 AS VARCHAR) ELSE '200' END
+         AS http_response_code,
+       CASE WHEN event_id % 14 <> 0 THEN string_split(printf('%.1f', value * 20), '.')[1] END AS response_time_ms
+FROM t""",
     "imported_registry": "WITH " + IMPORT + """
 SELECT node_id, node_name, ip_address, hardware_id_b64, region, registered_at, is_infected, user_agent
 FROM imp_registry""",

@@ -121,6 +121,44 @@ def summary_critical(spark, sf_dir) -> DataFrame:
     return vw.critical_alerts(a).select("rank", "log_id", "node_id", "alert_level", "severity_score", "timestamp")
 
 
+def alert_envelope(spark, sf_dir) -> DataFrame:
+    a = _s(spark, sf_dir).alerts
+    e = vw.alert_envelope(a, level="high_risk", limit=900)
+    return e.select("total", "limit", F.col("last_generated").isNotNull().alias("generated"))
+
+
+def summary_view(spark, sf_dir) -> DataFrame:
+    st = _s(spark, sf_dir)
+    total_nodes = st.telemetry.registry.agg(F.count(F.lit(1))).scalar()
+    out = vw.summary(metrics_view(st.metrics, total_nodes), st.alerts)
+    return out.select(*[c for c in out.columns if c not in ("critical_alerts", "nodes_under_attack")],
+                      F.array_join(F.transform("critical_alerts", lambda x: x["log_id"]), ",").alias("critical_log_ids"),
+                      F.array_join("nodes_under_attack", ",").alias("nodes_under_attack"))
+
+
+def attacked_nodes(spark, sf_dir) -> DataFrame:
+    from vigil.operators.metrics import attacked_nodes as table
+    return table(_one_pass(spark, sf_dir).detected)
+
+
+def graph_logs_explicit(spark, sf_dir) -> DataFrame:
+    """Logs with headers, agents and targets of their own, and alerts joined by log id.
+
+    By log number: those divisible by 3 have headers, by 4 an agent, by 5 a target; alerts exist for the even ones.
+    """
+    st = _s(spark, sf_dir)
+    s = F.col("seq")
+    odd = F.array(F.lit(" X-Trace:B "), F.lit(""), F.lit("Accept:A"), F.concat(F.lit("x-n:"), F.col("node_id")))
+    logs = (st.detected.drop("severity_score", "alert_level")
+            .withColumn("headers", F.when(s % 3 == 0, odd))
+            .withColumn("user_agent", F.when(s % 4 == 0, F.lit(" Mozilla/5.0 probe ")))
+            .withColumn("target_node", F.when(s % 5 == 0, F.lit(" NODE-EXT ")).when(s % 5 == 1, F.lit("  "))))
+    found = st.detected.where(s % 2 == 0).select("log_id", "severity_score", "alert_level", "seq")
+    g = grf.graph_ready_logs(logs, st.telemetry.registry, alerts=found)
+    return g.select("log_id", "source_node", "target_node", F.array_join("headers", ",").alias("headers"), "user_agent",
+                    "interval", "severity_score", "alert_level")
+
+
 def alert_search(spark, sf_dir) -> DataFrame:
     a = _one_pass(spark, sf_dir).alerts
     return _alert_cols(vw.search_alerts(a, "NODE-01"))
@@ -257,6 +295,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_query": alert_query,
     "alert_page": alert_page,
     "summary_critical": summary_critical,
+    "alert_envelope": alert_envelope,
+    "summary_view": summary_view,
+    "attacked_nodes": attacked_nodes,
+    "graph_logs_explicit": graph_logs_explicit,
     "alert_search": alert_search,
     "alert_search_page": alert_search_page,
     "latest_alert_per_node": latest_alert_per_node,
@@ -316,7 +358,25 @@ def imported_pipeline_levels(spark, sf_dir) -> DataFrame:
         F.count(F.lit(1)).alias("alerts"), F.sum("severity_score").cast("bigint").alias("severity_sum"))
 
 
+def csv_registry_rows(spark, sf_dir) -> DataFrame:
+    """The registry written as CSV text and parsed back: ordinal and fields of every row."""
+    from vigil.sources.csv_import import read_csv_rows
+    from vigil.sources.csv_shapes import registry_csv_file
+    rows = read_csv_rows(spark, registry_csv_file(spark, sf_dir))
+    return rows.select("seq", F.array_join("values", SEP).alias("fields"))
+
+
+def csv_log_rows(spark, sf_dir) -> DataFrame:
+    """The logs written as CSV text and parsed back by header names."""
+    from vigil.sources.csv_import import named, read_csv_rows
+    from vigil.sources.csv_shapes import log_csv_file
+    cols = ["log_id", "node_id", "json_status", "http_response_code", "response_time_ms"]
+    return named(read_csv_rows(spark, log_csv_file(spark, sf_dir)), cols).select("seq", *cols)
+
+
 QUERIES.update({
+    "csv_registry_rows": csv_registry_rows,
+    "csv_log_rows": csv_log_rows,
     "imported_registry": imported_registry,
     "imported_logs": imported_logs,
     "imported_pipeline_levels": imported_pipeline_levels,

@@ -10,14 +10,21 @@ operators run over data that grows with the tables:
 * log rows from ``events``: blank status when k = 97, blank code when k = 98,
   fractional latency text;
 * the two-row schema boundary table (version 2 from log 5000).
+
+``registry_csv_file`` and ``log_csv_file`` write the first two as CSV text
+(quoted fields with commas, quotes and line breaks, blank lines, rows of
+uneven width, one file with a header per block of rows), to be parsed back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators.sizing import spread
+from vigil.session import ensure_checkpoint_dir
 from vigil.sources.csv_import import DEFAULT_AGENT
 from vigil.sources.telemetry import read_table
 
@@ -56,3 +63,42 @@ def log_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_csv_rows(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('1', '0', 'load_val', CAST(0 AS BIGINT)), "
                      "('2', '5000', 'L_V1', CAST(1 AS BIGINT)) AS t(version, time_start, active_column, seq)")
+
+
+def quoted(field: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def write_csv_text(lines: DataFrame, header: str, block_rows: int) -> str:
+    """Write (seq, line) as text files in the order of ``seq``, one per block of rows; return the folder."""
+    path = f"{ensure_checkpoint_dir(lines.sparkSession).rstrip('/')}/csv-text/{uuid.uuid4().hex}"
+    part = F.lpad(F.floor(F.col("seq") / block_rows).cast("string"), 12, "0")
+    body = lines.select(part.alias("part"), "seq", F.col("line").alias("value"))
+    heads = body.select("part").distinct().select("part", F.lit(None).cast("bigint").alias("seq"), F.lit(header).alias("value"))
+    (body.unionByName(heads).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("seq"))
+     .select("part", "value").write.partitionBy("part").text(path))
+    return path
+
+
+def registry_csv_file(spark: SparkSession, sf_dir: str, block_rows: int = 1000) -> str:
+    """Registry rows as CSV: every fourth row quoted, every tenth followed by a blank line, every sixth with extra fields."""
+    rows = registry_csv_rows(spark, sf_dir)
+    s = F.col("seq")
+    note = F.when(s % 13 == 4, F.array(F.lit('rack "A",\nrow 2'))).otherwise(F.array().cast("array<string>"))
+    extra = F.when(s % 6 == 1, F.array(F.lit(""), F.lit("extra"))).otherwise(F.array().cast("array<string>"))
+    fields = F.transform(F.concat("values", note, extra), lambda f: F.when(
+        (s % 4 == 0) | f.contains(",") | f.contains('"') | f.contains("\n"), quoted(f)).otherwise(f))
+    line = F.concat(F.array_join(fields, ","), F.when(s % 10 == 9, F.lit("\n")).otherwise(F.lit("")))
+    return write_csv_text(rows.select("seq", line.alias("line")), "node_uuid,user_agent,is_infected", block_rows)
+
+
+def log_csv_file(spark: SparkSession, sf_dir: str, block_rows: int = 50_000) -> str:
+    """Log rows as CSV: the status of log numbers divisible by 9 has a quoted line break, those by 14 lack the latency."""
+    rows = log_csv_rows(spark, sf_dir)
+    s = F.col("seq")
+    status = F.when(s % 9 == 0, quoted(F.concat("json_status", F.lit(', "late"\nreport')))).otherwise(F.col("json_status"))
+    latency = F.when(s % 14 == 0, F.lit("")).otherwise(F.concat(F.lit(","), F.split_part("response_time_ms", F.lit("."), F.lit(1))))
+    line = F.concat("log_id", F.lit(","), "node_id", F.lit(","), status, F.lit(","), "http_response_code", latency,
+                    F.when(s % 50 == 7, F.lit("\n\n")).otherwise(F.lit("")))
+    return write_csv_text(rows.select("seq", line.alias("line")),
+                          "log_id,node_id,json_status,http_response_code,response_time_ms", block_rows)
