@@ -54,6 +54,22 @@ def _graph_logs(spark, rows):
                                        "interval bigint, seq bigint")
 
 
+def _clusters(spark, rows):
+    usage = fpr.fingerprint_usage(_graph_logs(spark, rows))
+    clusters = fpr.fingerprint_clusters(usage)
+    return fpr.with_nodes(clusters, fpr.cluster_members(clusters, usage)).collect()
+
+
+def _members(spark, rows):
+    return spark.createDataFrame([(n, node) for n, nodes in rows for node in nodes], "occurrences bigint, node_id string")
+
+
+def test_members_count_once_whatever_their_agents(spark):
+    rows = [("P", ["k"], "bot", 7, 0), ("P", ["k"], " bot ", 7, 1), ("Q", ["k"], "bot", 7, 2), ("", ["k"], "bot", 7, 3)]
+    c = _clusters(spark, rows)[0]
+    assert (c.occurrences, c.node_count, list(c.nodes), c.first_seq) == (4, 2, ["P", "Q"], 0)
+
+
 def test_fingerprint_filters_and_confidence(spark):
     rows = []
     seq = 0
@@ -64,7 +80,7 @@ def test_fingerprint_filters_and_confidence(spark):
     rows.append(("C", ["h"], "single", 0, seq)); seq += 1   # count 1 -> dropped
     for i in range(80):
         rows.append((f"N{i}", ["x", f"{i}"], "filler", 3, seq)); seq += 1
-    clusters = {r.user_agent: r for r in fpr.fingerprint_clusters(_graph_logs(spark, rows)).collect()}
+    clusters = {r.user_agent: r for r in _clusters(spark, rows)}
     assert "Mozilla/5.0" not in clusters and "single" not in clusters
     assert clusters["rare-agent"].occurrences == 9
     assert clusters["rare-agent"].confidence == 0.99
@@ -76,7 +92,7 @@ def test_common_ua_below_cutoff_kept_and_multinode(spark):
     rows = rows[:9]
     rows += [("P", ["k"], "bot", 7, 200), ("Q", ["k"], "bot", 7, 201)]
     rows += [(f"Z{i}", [f"z{i}"], f"u{i}", 0, 300 + i) for i in range(89)]
-    clusters = {r.user_agent: r for r in fpr.fingerprint_clusters(_graph_logs(spark, rows)).collect()}
+    clusters = {r.user_agent: r for r in _clusters(spark, rows)}
     assert clusters["Mozilla/5.0"].occurrences == 9
     bot = clusters["bot"]
     assert list(bot.nodes) == ["P", "Q"] and bot.confidence == 0.81 and bot.interval_bucket == "6_30s"
@@ -84,7 +100,7 @@ def test_common_ua_below_cutoff_kept_and_multinode(spark):
 
 def test_cluster_confidence_two(spark):
     rows = [("A", ["h"], "ua", 0, 0), ("A", ["h"], "ua", 0, 1)]
-    c = fpr.fingerprint_clusters(_graph_logs(spark, rows)).collect()[0]
+    c = _clusters(spark, rows)[0]
     assert c.confidence == 0.73
 
 
@@ -106,7 +122,7 @@ def test_edge_mean_and_counts(spark):
 def test_attribution_score_and_confidence(spark):
     nodes = spark.createDataFrame([("X", 33, 0.066), ("Y", 30, 0.066)], "node_id string, out_degree bigint, centrality double")
     edges = spark.createDataFrame([], "source string, target string, count bigint, interval bigint")
-    clusters = spark.createDataFrame([(30, ["X"]), (25, ["Y"])], "occurrences bigint, nodes array<string>")
+    clusters = _members(spark, [(30, ["X"]), (25, ["Y"])])
     c = {r.node_id: r for r in att.candidates(nodes, edges, clusters).collect()}
     assert c["X"].score == 23.7165
     cmd = att.command_node(nodes, att.candidates(nodes, edges, clusters)).collect()[0]
@@ -117,7 +133,7 @@ def test_attribution_score_and_confidence(spark):
 def test_attribution_empty_outcomes(spark):
     nodes = spark.createDataFrame([], "node_id string, out_degree bigint, centrality double")
     edges = spark.createDataFrame([], "source string, target string, count bigint, interval bigint")
-    clusters = spark.createDataFrame([], "occurrences bigint, nodes array<string>")
+    clusters = _members(spark, [])
     r = att.command_node(nodes, att.candidates(nodes, edges, clusters)).collect()[0]
     assert r.command_node is None and r.confidence_score == 0.0 and list(r.reasons) == ["No graph data available"]
     weak = spark.createDataFrame([("W", 0, 0.0)], "node_id string, out_degree bigint, centrality double")
@@ -159,8 +175,7 @@ def test_attribution_blend_and_ties(spark):
     nodes = spark.createDataFrame([("NODE-037", 33, 0.066), ("NODE-271", 10, 0.05), ("NODE-177", 10, 0.05)],
                                   "node_id string, out_degree bigint, centrality double")
     edges = spark.createDataFrame([], "source string, target string, count bigint, interval bigint")
-    clusters = spark.createDataFrame([(30, ["NODE-037"]), (5, ["NODE-177", "NODE-271"])],
-                                     "occurrences bigint, nodes array<string>")
+    clusters = _members(spark, [(30, ["NODE-037"]), (5, ["NODE-177", "NODE-271"])])
     # a model that knows none of the nodes: score = 0.6 * 0 + 0.4 * heuristic
     probs = spark.createDataFrame([("OTHER", 0.9)], "node_id string, ml_probability double")
     c = att.candidates(nodes, edges, clusters, ml_probability=probs)

@@ -118,3 +118,14 @@ def test_ndjson_layout(spark, tmp_path):
     assert [r.log_id for r in logs] == ["A"]
     # the whole record: a field map may name any key, reserved ones too
     assert dict(logs[0].fields) == {"log_id": "A", "node_id": "N1", "schema_version": "2", "response_code": "503", "extra": "x"}
+
+
+def test_every_tree_is_full_and_layout_does_not_matter(spark):
+    from vigil.operators.anomaly import fit_isolation_forest
+    rows = [(i, float(i * 37 % 500), float(i * i % 911), None, None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "seq bigint, http_status double, response_time_ms double, load_val string, L_V1 string")
+    one = fit_isolation_forest(df.coalesce(1), n_trees=40, seed=3).trees
+    assert set(one[one["node"] == 0]["size"]) == {256} and one["tree"].nunique() == 40
+    other = fit_isolation_forest(df.repartition(7, "response_time_ms"), n_trees=40, seed=3).trees
+    key = ["tree", "node"]
+    assert one.sort_values(key).reset_index(drop=True).equals(other.sort_values(key).reset_index(drop=True))

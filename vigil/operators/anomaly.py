@@ -7,9 +7,10 @@ to depth ceil(log2(sample_size)); the score of a row is
 anomalous), the convention the detection thresholds use.
 
 Distribution:
-* subsampling: one Bernoulli ``sample`` pass (bounded to ~4x the rows the
-  trees need), each sampled row dealt to one tree by hash, and a per-tree
-  hash ranking keeps ``sample_size`` rows -- the per-tree groups are bounded;
+* subsampling: a pool of about ``oversample * sample_size * n_trees`` rows
+  (all, if there are fewer) by a hash of ``seq``; every tree draws from the
+  whole pool on its own, by a hash of ``seq`` and tree, and keeps its
+  ``sample_size`` lowest -- bounded groups, the same for any file layout;
 * growing: ``groupBy(tree).applyInPandas`` -- one small group per tree;
 * scoring: the fitted trees (a few thousand numbers) are broadcast and an
   Arrow ``pandas_udf`` scores each batch; no row leaves its partition.
@@ -120,6 +121,11 @@ class IsolationForestModel:
         return df.withColumn("anomaly_score", iforest_score(*feats))
 
 
+def _drawn(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` of its range."""
+    return hashed < F.lit(int(-2**63 + share * 2**64)) if share < 1 else F.lit(True)
+
+
 def fit_isolation_forest(df: DataFrame, n_trees: int = 100, sample_size: int = 256, seed: int = 42,
                          oversample: float = 4.0) -> IsolationForestModel:
     """Fit on the model features of ``df`` (normalized logs)."""
@@ -129,13 +135,11 @@ def fit_isolation_forest(df: DataFrame, n_trees: int = 100, sample_size: int = 2
         return IsolationForestModel(pd.DataFrame(columns=[
             "tree", "node", "feature", "threshold", "left", "right", "size", "depth"]), sample_size)
     psi = min(sample_size, total)
-    # A bounded Bernoulli pool (~oversample * psi rows per tree, independent of
-    # the table size); each pooled row is dealt to one tree by hash, and every
-    # tree keeps its psi lowest-hash rows -- disjoint subsamples, bounded groups.
-    fraction = min(1.0, oversample * psi * n_trees / total)
-    pool = feats.sample(fraction=fraction, seed=seed)
-    dealt = pool.withColumn("tree", F.pmod(F.xxhash64(F.col("seq"), F.lit(seed)), F.lit(n_trees)))
-    dealt = dealt.withColumn("_h", F.xxhash64(F.col("seq"), F.col("tree"), F.lit(seed + 1)))
+    wanted = int(oversample * psi * n_trees)
+    pool = feats.where(_drawn(F.xxhash64("seq", F.lit(seed)), wanted / total))
+    key = F.xxhash64("seq", "tree", F.lit(seed + 1))
+    dealt = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)).cast("array<bigint>")))
+             .withColumn("_h", key).where(_drawn(F.col("_h"), oversample * psi / min(total, wanted))))
     ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "seq")))
     chosen = ranked.filter(F.col("_r") <= psi).select("tree", *FEATURES)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))

@@ -28,10 +28,9 @@ NO_SIGNAL = "No strong command node signal found"
 FALLBACK_REASON = "Elevated network activity relative to baseline"
 
 
-def fingerprint_matches(clusters: DataFrame) -> DataFrame:
+def fingerprint_matches(members: DataFrame) -> DataFrame:
     """node -> sum of occurrences of the clusters containing it (ATT1)."""
-    return (clusters.select("occurrences", F.explode("nodes").alias("node_id"))
-            .groupBy("node_id").agg(F.sum("occurrences").cast("bigint").alias("fingerprint_matches")))
+    return (members.groupBy("node_id").agg(F.sum("occurrences").cast("bigint").alias("fingerprint_matches")))
 
 
 def outgoing_stats(edges: DataFrame) -> DataFrame:
@@ -93,11 +92,11 @@ def explain_reasons(has_model: bool = False) -> Column:
     return F.when(F.size(reasons) == 0, F.array(F.lit(FALLBACK_REASON))).otherwise(reasons)
 
 
-def candidates(nodes: DataFrame, edges: DataFrame, clusters: DataFrame,
+def candidates(nodes: DataFrame, edges: DataFrame, members: DataFrame,
                ml_probability: DataFrame | None = None) -> DataFrame:
     """Scored candidate nodes after the weak-signal filter (ATT3, ATT4, ATT7)."""
     df = (nodes.select("node_id", "out_degree", "centrality")
-          .join(fingerprint_matches(clusters), "node_id", "left")
+          .join(fingerprint_matches(members), "node_id", "left")
           .join(outgoing_stats(edges), "node_id", "left")
           .withColumn("fingerprint_matches", F.coalesce(F.col("fingerprint_matches"), F.lit(0)).cast("bigint"))
           .withColumn("n_intervals", F.coalesce(F.col("n_intervals"), F.lit(0))))

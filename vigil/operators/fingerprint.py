@@ -2,10 +2,10 @@
 
 The cluster key hashes (headers, user agent, interval bucket), so user agent
 and bucket are constant inside a cluster and their "mode" is simply the
-cluster's value.  One partial aggregate over the graph logs builds every
-cluster; the global user-agent share is a UA-sized table joined back behind
-a size check.  Member nodes are also offered as a (fingerprint_key, node)
-table so consumers never need the per-cluster arrays.
+cluster's value.  One hash aggregate over the graph logs, per (cluster, raw
+agent, node) with a count and the first row, is all that reads them: totals,
+agent shares, clusters and members roll up from it.  Members are a
+(cluster, node) table; an array of them exists only in ``with_nodes``.
 """
 
 from __future__ import annotations
@@ -41,33 +41,35 @@ def keyed_logs(graph_logs: DataFrame, renormalize: bool = False) -> DataFrame:
                                                            F.col("interval_bucket")))
 
 
-def fingerprint_clusters(graph_logs: DataFrame, min_frequency: int = DEFAULT_MIN_FREQUENCY,
+CLUSTER = ["fingerprint_key", "headers", "user_agent", "interval_bucket"]
+
+
+def fingerprint_usage(graph_logs: DataFrame) -> DataFrame:
+    """Logs and first row per cluster, raw agent and node: the one pass over the graph logs."""
+    return keyed_logs(graph_logs).groupBy(*CLUSTER, "_raw_ua", "source_node").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+def fingerprint_clusters(usage: DataFrame, min_frequency: int = DEFAULT_MIN_FREQUENCY,
                          common_ua_cutoff_ratio: float = DEFAULT_COMMON_UA_CUTOFF) -> DataFrame:
-    """Filtered clusters with confidence, ordered by (occurrences, confidence) desc, first seen."""
-    keyed = keyed_logs(graph_logs)
-    # Distributed count, broadcast as one scalar; graph logs are a written
-    # stage in the pipeline, so this is a metadata-level count of a leaf.
-    total = graph_logs.agg(F.count(F.lit(1))).scalar()
-    ua_share = keyed.groupBy(F.col("_raw_ua").alias("user_agent")).agg(
-        F.count(F.lit(1)).alias("_ua_count"))
-    clusters = keyed.groupBy("fingerprint_key").agg(
-        F.count(F.lit(1)).alias("occurrences"),
-        F.sort_array(F.collect_set(F.nullif(F.col("source_node"), F.lit("")))).alias("nodes"),
-        F.min_by(F.struct("headers", "user_agent", "interval_bucket"), F.col("seq")).alias("_first"),
-        F.min("seq").alias("first_seq"),
-    ).filter(F.col("occurrences") >= max(1, min_frequency))
-    clusters = clusters.select("fingerprint_key", "occurrences", "nodes", "first_seq",
-                               "_first.headers", "_first.user_agent", "_first.interval_bucket")
+    """Filtered clusters of a usage table, with confidence and number of nodes (``ordered_clusters`` gives the order)."""
+    total = usage.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    ua_share = usage.groupBy(F.col("_raw_ua").alias("user_agent")).agg(F.sum("n").alias("_ua_count"))
+    # a node counts once, whatever its raw agents: per node first, then per cluster
+    clusters = (usage.groupBy(*CLUSTER, "source_node").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+                .groupBy(*CLUSTER).agg(F.sum("n").alias("occurrences"), F.min("first_seq").alias("first_seq"),
+                                       F.count_if(F.col("source_node") != "").alias("node_count"))
+                .filter(F.col("occurrences") >= max(1, min_frequency)))
     clusters = clusters.join(ua_share, "user_agent", "left")
     share = F.when(total > 0, F.coalesce(F.col("_ua_count"), F.lit(0)) / total).otherwise(F.lit(0.0))
     clusters = clusters.filter(~(is_common_user_agent(F.col("user_agent")) & (share >= common_ua_cutoff_ratio)))
     dominant_ratio = F.lit(1.0)
     confidence = F.least(F.lit(0.99), F.round(
-        F.lit(0.45) + F.lit(0.05) * F.col("occurrences") + F.lit(0.08) * F.size("nodes")
+        F.lit(0.45) + F.lit(0.05) * F.col("occurrences") + F.lit(0.08) * F.col("node_count")
         + F.lit(0.1) * dominant_ratio, 2))
     return clusters.select(
         F.concat(F.lit("fp_"), F.substring("fingerprint_key", 1, 12)).alias("fingerprint_id"),
-        "fingerprint_key", "occurrences", "nodes", "headers", "user_agent", "interval_bucket",
+        "fingerprint_key", "occurrences", "node_count", "headers", "user_agent", "interval_bucket",
         confidence.alias("confidence"), "first_seq",
     )
 
@@ -77,9 +79,18 @@ def ordered_clusters(clusters: DataFrame) -> DataFrame:
     return clusters.orderBy(F.desc("occurrences"), F.desc("confidence"), F.asc("first_seq"))
 
 
-def cluster_members(clusters: DataFrame) -> DataFrame:
-    """(fingerprint_key, node_id, occurrences) -- table form of ``nodes``."""
-    return clusters.select("fingerprint_key", "occurrences", F.explode("nodes").alias("node_id"))
+def cluster_members(clusters: DataFrame, usage: DataFrame) -> DataFrame:
+    """A row per cluster and member node, with the cluster's figures."""
+    nodes = usage.filter(F.col("source_node") != "").select("fingerprint_key", F.col("source_node").alias("node_id")).distinct()
+    return nodes.join(clusters.select("fingerprint_key", "fingerprint_id", "occurrences", "confidence", "first_seq"),
+                      "fingerprint_key")
+
+
+def with_nodes(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """Clusters with the sorted array of their nodes, for presentation."""
+    nodes = members.groupBy("fingerprint_key").agg(F.sort_array(F.collect_list("node_id")).alias("nodes"))
+    return clusters.join(nodes, "fingerprint_key", "left").withColumn(
+        "nodes", F.coalesce("nodes", F.array().cast("array<string>")))
 
 
 def node_fingerprint_counts(graph_logs: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def degree_histogram(nodes: DataFrame) -> DataFrame:
 def top_clusters(clusters: DataFrame, k: int = 10) -> DataFrame:
     """Largest clusters by member count (VW12); ties in publication order."""
     order = [F.desc("size"), F.desc("occurrences"), F.desc("confidence"), F.asc("first_seq")]
-    c = clusters.withColumn("size", F.size("nodes"))
+    c = clusters.withColumn("size", F.col("node_count"))
     return c.orderBy(*order).limit(k).select(
         "fingerprint_id", "size", "confidence", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
@@ -205,19 +205,17 @@ def candidate_ranking(ranked: DataFrame) -> DataFrame:
         F.when(F.col("rank").between(2, 4), F.lit(100) - pct_top.cast("bigint")).alias("gap_to_top"))
 
 
-def node_overlay(nodes: DataFrame, edges: DataFrame, clusters: DataFrame, command: DataFrame) -> DataFrame:
+def node_overlay(nodes: DataFrame, edges: DataFrame, members: DataFrame, command: DataFrame) -> DataFrame:
     """Per node: first cluster (publication order), outgoing requests, command flag (VW15)."""
     w_order = F.struct(F.col("occurrences"), F.col("confidence"), (-F.col("first_seq")).alias("_s"))
-    first_fp = (clusters.select("fingerprint_id", "occurrences", "confidence", "first_seq",
-                                F.explode("nodes").alias("node_id"))
-                .groupBy("node_id").agg(F.max_by("fingerprint_id", w_order).alias("fingerprint_id")))
+    first_fp = members.groupBy("node_id").agg(F.max_by("fingerprint_id", w_order).alias("fingerprint_id"))
     outgoing = edges.groupBy(F.col("source").alias("node_id")).agg(
         F.sum("count").cast("bigint").alias("outgoing_requests"))
     cmd = command.select(F.col("command_node").alias("node_id"), F.lit(True).alias("is_command_node")) \
         .filter(F.col("node_id").isNotNull())
     return (nodes.select("node_id", "out_degree", "severity_score", "node_type")
             .join(first_fp, "node_id", "left").join(outgoing, "node_id", "left")
-            .join(F.broadcast(cmd), "node_id", "left")
+            .join(cmd, "node_id", "left")
             .select("node_id", "out_degree", "severity_score", "node_type", "fingerprint_id",
                     F.coalesce("outgoing_requests", F.lit(0)).cast("bigint").alias("outgoing_requests"),
                     F.coalesce("is_command_node", F.lit(False)).alias("is_command_node")))

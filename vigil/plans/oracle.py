@@ -412,6 +412,9 @@ FROM nodes GROUP BY 1""", BASE + GRAPH),
     "fingerprints": _q("""
 SELECT fingerprint_id, fingerprint_key, occurrences, nodes, headers, user_agent, interval_bucket, confidence
 FROM clusters""", BASE + GRAPH + FINGERPRINT),
+    "cluster_members": _q("""
+SELECT c.fingerprint_id, m.node_id, c.occurrences, c.confidence
+FROM members m JOIN clusters c ON m.fp_key = c.fingerprint_key""", BASE + GRAPH + FINGERPRINT),
     "node_fingerprint_counts": _q("""
 SELECT source_node AS node_id, count(*) AS log_count FROM graph_logs GROUP BY source_node""", BASE + GRAPH),
     "top_clusters": _q("""

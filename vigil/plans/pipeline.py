@@ -63,18 +63,21 @@ def run_pipeline(spark: SparkSession, logs: DataFrame, registry: DataFrame, sche
         normalized = anomaly_model.score(normalized)
     detected = cut("detected_logs", detect(normalized, rules))
     alerts = cut("alerts", alert_projection(detected))
-    metrics = cut("metrics", detection_metrics(detected))
+    metrics = cut("metrics", detection_metrics(detected, normalized))
     graph_logs = cut("graph_logs", grf.graph_ready_logs(detected, registry))
     edges_full = cut("graph_edges_full", grf.graph_edges(graph_logs))
     nodes = cut("graph_nodes", grf.graph_nodes(edges_full))
     edges = cut("graph_edges", grf.public_edges(edges_full))
-    clusters = cut("fingerprints", fpr.fingerprint_clusters(graph_logs))
+    usage = cut("fingerprint_usage", fpr.fingerprint_usage(graph_logs))
+    clusters = cut("fingerprints", fpr.fingerprint_clusters(usage))
+    members = cut("fingerprint_members", fpr.cluster_members(clusters, usage))
     counts = cut("node_fingerprint_counts", fpr.node_fingerprint_counts(graph_logs))
-    cands = cut("attribution_candidates", att.candidates(nodes, edges, clusters))
+    cands = cut("attribution_candidates", att.candidates(nodes, edges, members))
     command = cut("command_node", att.command_node(nodes, cands))
     stages_out = {
         "normalized_logs": normalized, "detected_logs": detected, "alerts": alerts, "metrics": metrics,
         "graph_logs": graph_logs, "graph_nodes": nodes, "graph_edges": edges, "fingerprints": clusters,
+        "fingerprint_members": members,
         "node_fingerprint_counts": counts, "attribution_candidates": cands, "command_node": command,
     }
     return PipelineResult(out_root, True, stages_out, timings)

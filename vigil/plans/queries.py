@@ -138,7 +138,7 @@ def summary_view(spark, sf_dir) -> DataFrame:
 
 def attacked_nodes(spark, sf_dir) -> DataFrame:
     from vigil.operators.metrics import attacked_nodes as table
-    return table(_one_pass(spark, sf_dir).detected)
+    return table(_s(spark, sf_dir).detected)
 
 
 def graph_logs_explicit(spark, sf_dir) -> DataFrame:
@@ -238,11 +238,16 @@ def degree_histogram(spark, sf_dir) -> DataFrame:
 
 
 def fingerprints(spark, sf_dir) -> DataFrame:
-    c = _s(spark, sf_dir).clusters
+    st = _s(spark, sf_dir)
+    c = fpr.with_nodes(st.clusters, st.members)
     return c.select("fingerprint_id", "fingerprint_key", "occurrences", F.array_join("nodes", ",").alias("nodes"),
                     F.array_join("headers", ",").alias("headers"), "user_agent", "interval_bucket", "confidence")
 
 
+def cluster_members(spark, sf_dir) -> DataFrame:
+    return _s(spark, sf_dir).members.select("fingerprint_id", "node_id", "occurrences", "confidence")
+
+
 def node_fingerprint_counts(spark, sf_dir) -> DataFrame:
     return fpr.node_fingerprint_counts(_s(spark, sf_dir).graph_logs)
 
@@ -280,7 +285,7 @@ def candidate_ranking(spark, sf_dir) -> DataFrame:
 
 def node_overlay(spark, sf_dir) -> DataFrame:
     st = _s(spark, sf_dir)
-    return vw.node_overlay(st.nodes, st.edges, st.clusters, st.command)
+    return vw.node_overlay(st.nodes, st.edges, st.members, st.command)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -316,6 +321,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_summary": graph_summary,
     "degree_histogram": degree_histogram,
     "fingerprints": fingerprints,
+    "cluster_members": cluster_members,
     "node_fingerprint_counts": node_fingerprint_counts,
     "top_clusters": top_clusters,
     "cluster_confidence_tiers": cluster_confidence_tiers,
@@ -403,7 +409,7 @@ def infection_scores(spark, sf_dir) -> DataFrame:
     st = _s(spark, sf_dir)
     model = fit_infection_model(training_frame(st.detected, st.telemetry.registry))
     probs = infection_probability(model, st.detected)
-    cands = att.candidates(st.nodes, st.edges, st.clusters, ml_probability=probs)
+    cands = att.candidates(st.nodes, st.edges, st.members, ml_probability=probs)
     return cands.select("node_id", F.round("ml_probability", 4).alias("ml_probability"), "score",
                         F.array_join("reasons", SEP).alias("reasons"))
 

@@ -99,13 +99,21 @@ class Stages:
     def nodes(self) -> DataFrame:
         return self._cut("nodes", lambda: grf.graph_nodes(self.edges_full))
 
+    @cached_property
+    def usage(self) -> DataFrame:
+        return self._cut("usage", lambda: fpr.fingerprint_usage(self.graph_logs))
+
     @cached_property
     def clusters(self) -> DataFrame:
-        return self._cut("clusters", lambda: fpr.fingerprint_clusters(self.graph_logs))
+        return self._cut("clusters", lambda: fpr.fingerprint_clusters(self.usage))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self._cut("members", lambda: fpr.cluster_members(self.clusters, self.usage))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return self._cut("candidates", lambda: att.candidates(self.nodes, self.edges, self.clusters))
+        return self._cut("candidates", lambda: att.candidates(self.nodes, self.edges, self.members))
 
     @cached_property
     def command(self) -> DataFrame:
