@@ -35,7 +35,12 @@ def materialize_dimension(df: DataFrame, tag: str) -> DataFrame:
     that uses them reads a leaf of known size.  Written anew on every call, so
     a changed source is seen; never for log-sized frames.
     """
+    return written_table(df, f"dimensions/{tag}")
+
+
+def written_table(df: DataFrame, tag: str) -> DataFrame:
+    """Write a frame of any size under ``spark.checkpoint.dir`` and read it back: computed once, a leaf for later plans."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dimensions/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -70,6 +70,18 @@ def alert_page(alerts: DataFrame, level: str | None = None, region: str | None =
     return rows.select("*", F.lit(pg).alias("page"), F.lit(lim).alias("limit"), total.alias("total"))
 
 
+def alerts_after(alerts: DataFrame, after: tuple[int, int] | None = None, limit: int = 50) -> DataFrame:
+    """The page behind a cursor ``(severity_score, seq)``, the last row of the page before (VW2).
+
+    The same order as ``alert_page``; the rows held never exceed one page, however deep it lies.
+    """
+    lim = _clamp(limit, 1, PAGE_MAX_LIMIT)
+    if after is not None:
+        sev, seq = after
+        alerts = alerts.filter((F.col("severity_score") < sev) | ((F.col("severity_score") == sev) & (F.col("seq") > seq)))
+    return alerts.orderBy(F.desc("severity_score"), F.asc("seq")).limit(lim)
+
+
 def critical_alerts(alerts: DataFrame, k: int = 5) -> DataFrame:
     """Top ATTACK/HIGH_RISK alerts for the summary (VW3)."""
     return alert_query(alerts.filter(F.col("alert_level").isin("ATTACK", "HIGH_RISK")), limit=k)

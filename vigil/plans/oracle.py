@@ -315,6 +315,10 @@ SELECT row_number() OVER (ORDER BY severity_score DESC, timestamp DESC, seq ASC)
        log_id, node_id, alert_level, severity_score, timestamp
 FROM detected WHERE alert_level IN ('ATTACK', 'HIGH_RISK')
 QUALIFY row_number() OVER (ORDER BY severity_score DESC, timestamp DESC, seq ASC) <= 5"""),
+    "alert_page_cursor": _q("""
+SELECT log_id, node_id, region, alert_level, severity_score, timestamp FROM detected
+WHERE severity_score < 90 OR (severity_score = 90 AND seq > 1000)
+QUALIFY row_number() OVER (ORDER BY severity_score DESC, seq ASC) <= 100"""),
     "alert_envelope": _q("""
 SELECT least(count(*) FILTER (WHERE alert_level = 'HIGH_RISK'), 500) AS total, 500 AS limit, count(*) > 0 AS generated
 FROM detected"""),

@@ -116,6 +116,11 @@ def alert_page(spark, sf_dir) -> DataFrame:
     return page.select("log_id", "node_id", "region", "alert_level", "severity_score", "page", "limit", "total")
 
 
+def alert_page_cursor(spark, sf_dir) -> DataFrame:
+    """The page behind the cursor (90, 1000)."""
+    return _alert_cols(vw.alerts_after(_s(spark, sf_dir).alerts, after=(90, 1000), limit=100))
+
+
 def summary_critical(spark, sf_dir) -> DataFrame:
     a = _one_pass(spark, sf_dir).alerts
     return vw.critical_alerts(a).select("rank", "log_id", "node_id", "alert_level", "severity_score", "timestamp")
@@ -300,6 +305,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_query": alert_query,
     "alert_page": alert_page,
     "summary_critical": summary_critical,
+    "alert_page_cursor": alert_page_cursor,
     "alert_envelope": alert_envelope,
     "summary_view": summary_view,
     "attacked_nodes": attacked_nodes,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vigil.functions.graphfn import ISO_OUT_FORMAT
 from vigil.functions.scalars import PY_FLOAT_RE, py_strip
 from vigil.operators.asof import asof_lookup
+from vigil.operators.sizing import materialize_dimension, written_table
 from vigil.session import ensure_checkpoint_dir
 
 # Fixed values (must equal the reference for identical imports).
@@ -234,14 +235,10 @@ class Imported:
 def import_tables(log_rows: DataFrame, registry_rows: DataFrame, schema_rows: DataFrame,
                   name_format: str = NODE_NAME_FORMAT) -> Imported:
     """End-to-end import (ING11): logs, registry completed with orphans, version table."""
-    reg = repair_registry(registry_rows, name_format)
-    logs = import_logs(log_rows, schema_starts(schema_rows), reg)
-    full_reg = reg.unionByName(orphan_nodes(logs, reg, name_format))
-    # The completed registry depends on a pass over the logs (orphans) but is
-    # dimension-sized: checkpoint it so the downstream lookups and the size
-    # probe read the small materialized table instead of re-importing logs.
-    ensure_checkpoint_dir(full_reg.sparkSession)
-    full_reg = full_reg.checkpoint(eager=True)
+    reg = materialize_dimension(repair_registry(registry_rows, name_format), "repaired-registry")
+    # parsed once: the orphans and every later stage read the typed table, not the parsing expressions
+    logs = written_table(import_logs(log_rows, schema_starts(schema_rows), reg), "imported-logs")
+    full_reg = materialize_dimension(reg.unionByName(orphan_nodes(logs, reg, name_format)), "imported-registry")
     return Imported(logs.drop("node_num"), full_reg, version_table(schema_rows))
 
 

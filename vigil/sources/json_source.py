@@ -15,7 +15,7 @@ table, as in the reference.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -48,13 +48,15 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "array") ->
                 .filter(F.col("_arr").isNotNull()))  # non-array documents -> no rows
         exploded = docs.select("_file", F.posexplode("_arr").alias("pos", "value"))
         # file rank (a table of file names) x 2^40 + position inside the array
-        files = docs.select("_file").distinct()  # one row per input file
-        files = files.withColumn("_frank", F.dense_rank().over(Window.orderBy("_file")).cast("bigint"))
-        exploded = exploded.join(F.broadcast(files), "_file")
+        files = sorted(r["_file"] for r in docs.select("_file").distinct().collect())  # a file is a task of its own
+        ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files, 1)], "_file string, _frank bigint")
+        exploded = exploded.join(ranks, "_file")
         seq = F.col("_frank") * F.lit(1 << 40) + F.col("pos")
         return exploded.select(seq.alias("seq"), F.from_json(F.to_json("value"), "map<string,string>")
                                .alias("record"))
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return _empty(spark)
 
 

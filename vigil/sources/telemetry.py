@@ -118,8 +118,8 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     hw = (F.when(cls == 7, F.base64(F.encode(F.concat(F.lit("MALWARE-"), sn), "UTF-8")))
           .when(cls == 13, F.concat(F.lit("!!"), sn, F.lit("##")))
           .otherwise(F.base64(F.encode(sn, "UTF-8"))))
-    joined = (sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey)
-              .join(F.broadcast(reg), F.col("n_regionkey") == F.col("r_regionkey")))
+    joined = (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
+              .join(reg, F.col("n_regionkey") == F.col("r_regionkey")))
     return joined.select(
         F.format_string("NODE-%03d", n).alias("node_id"),
         F.col("s_name").alias("node_name"),
