@@ -187,3 +187,11 @@ def test_pipeline_stages(spark):
     assert not [r for r in at.collect() if any(b in r.text for b in bench)]
     out = corpus_pipeline.tokens(spark, at, sf).collect()
     assert {r.doc_id: r.text for r in out} == {r.doc_id: r.text or "" for r in at.collect()}
+
+
+def test_a_leak_in_capitals(spark):
+    item = "The quiet harbour opens early, and the boats return. Every crew counts its nets before the evening meal."
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "JUNK!! OF!! " + item.upper() + "!! MORE!! JUNK!!"), (2, "JUNK!! OF!! MORE!! JUNK!!")],
+                                 "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()] == [(1, 7)]

@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows with consistent slots (DataFrame functions only).
 
 Texts are put in template form: numbers, units after them and names (a
-capitalised word inside a sentence) become typed placeholders, case and outer
-punctuation go, and every word stays at its place.  Windows of ``width``
+capitalised word inside a sentence, not one in capitals throughout) become
+typed placeholders, case and outer punctuation go, and every word stays at its place.  Windows of ``width``
 template words of a benchmark item are hash-joined with the words of the
 documents: first the five words a window starts with, then the hash of the
 whole window.  A re-parameterised question matches although its numbers and
@@ -49,7 +49,8 @@ def template_text(text: Column) -> Column:
     t = F.regexp_replace(text, r"[0-9](?<![\p{L}0-9_].)[0-9]*+(?:[.,:/][0-9]+)*+", NUM)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     t = F.regexp_replace(t, rf"({NUM}[ -]?)(?i:{units})(?![\p{{L}}0-9_])", f"$1{UNIT}")
-    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;{NUM}{UNIT}{NAME}] .)[\p{{L}}]++", NAME)
+    # a word in capitals throughout is no name: whole texts are written so
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;{NUM}{UNIT}{NAME}] .)(?:(?=\p{{L}}*\p{{Ll}})\p{{L}}++|(?!\p{{L}}))", NAME)
     t = F.regexp_replace(F.lower(t), rf"{_END}(?<=[^\x20\x09-\x0D].){_END}*+(?![^\x20\x09-\x0D])", "")
     return F.regexp_replace(t, r"[(\[{\"'](?<![^\x20\x09-\x0D].)(?=[^\x20\x09-\x0D])", "")
 
