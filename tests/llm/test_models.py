@@ -195,3 +195,22 @@ def test_a_leak_in_capitals(spark):
     docs = spark.createDataFrame([(1, "JUNK!! OF!! " + item.upper() + "!! MORE!! JUNK!!"), (2, "JUNK!! OF!! MORE!! JUNK!!")],
                                  "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()] == [(1, 7)]
+
+
+def found(spark, items, texts):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, bench).collect()}
+
+
+def test_leaks_are_judged_by_occurrence(spark):
+    half = "in the small corner shop one man buys {} apples for {} dollars"
+    twice = f"{half.format(3, 5)} and later {half.format(4, 6)}"
+    short = "What is {} times {} in total?"
+    cross = short.format(12, 12)
+    got = found(spark, [(1, twice), (2, short.format(12, 7)), (3, cross.replace("total", "sum"))], [
+        f"before {twice} after", f"{short.format(12, 7)} Then: {short.format(8, 9)} Or: {short.format(3, 4)}",
+        f"{half.format(7, 8)} and later {half.format(9, 2)} so {half.format(1, 2)} and later {half.format(5, 6)}",
+        "What is 5 times 6 in sum? " * 2])
+    assert set(got) == {(0, 1), (1, 2), (2, 1)}
+    assert got[0, 1].exact and got[1, 2].exact and not got[2, 1].exact

@@ -7,8 +7,11 @@ template words of a benchmark item are hash-joined with the words of the
 documents: first the five words a window starts with, then the hash of the
 whole window.  A re-parameterised question matches although its numbers and
 names differ; it counts only if the slots agree, that is if each value of the
-item is replaced by one value throughout the document's matches.  A window
-without slots is a literal match.  At least half of a window must be words.
+item is replaced by one value throughout an occurrence: the matches that lie at
+one distance between the places in document and item.  One such occurrence is
+enough, whatever else the document holds.  A window without slots, or with the
+item's own values in all of them, is a literal match and always counts.  At
+least half of a window must be words.
 
 The distinct hashes of window starts (8 bytes each) are broadcast only while
 there are at most ``max_broadcast``; beyond, the same join is shuffled.
@@ -93,7 +96,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
             max_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, n_slots, exact) of the contaminated documents.
 
-    ``exact``: all slots hold the item's own values.
+    ``n_windows``: item places found in counted occurrences; ``n_slots``: most
+    values in one of them; ``exact``: all slots of one hold the item's own values.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     windows = scratch.write(benchmark_windows(benchmark, width, min_words), "windows")
@@ -109,26 +113,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
              .agg(F.collect_list(F.struct("p", "len", "whash", "item_id", "ipos", "ivals")).alias("cands")))
     both = doc.join(cands, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")))
     hits = F.filter(F.transform("cands", lambda c: F.struct(
-        c["item_id"].alias("item_id"), c["ipos"].alias("ipos"), c["whash"].alias("whash"), c["ivals"].alias("ivals"),
+        c["item_id"].alias("item_id"), c["p"].alias("p"), c["ipos"].alias("ipos"), c["whash"].alias("whash"), c["ivals"].alias("ivals"),
         F.slice("tpl", c["p"] + 1, c["len"]).alias("t"), F.slice("raw", c["p"] + 1, c["len"]).alias("dvals"))),
         lambda h: F.xxhash64(h["t"]) == h["whash"])
     found = with_words(both).select("doc_id", "text_hash", F.explode(hits).alias("h")).select("doc_id", "text_hash", "h.*")
     slots = F.filter(F.arrays_zip("t", "ivals", "dvals"), lambda z: z["t"].rlike(SLOT))
-    found = scratch.write(found.select("doc_id", "text_hash", "item_id", "ipos", F.transform(slots, lambda z: F.struct(
-        trim_word(z["ivals"]).alias("i"), trim_word(z["dvals"]).alias("d"))).alias("slots")), "found")
+    found = scratch.write(found.select("doc_id", "text_hash", "item_id", "ipos", (F.col("p") - F.col("ipos")).alias("at"),
+                                       F.transform(slots, lambda z: F.struct(
+                                           trim_word(z["ivals"]).alias("i"), trim_word(z["dvals"]).alias("d"))).alias("slots")), "found")
     pair = ["doc_id", "text_hash", "item_id"]
-    counts = found.groupBy(*pair).agg(F.countDistinct("ipos").alias("n_windows"),
-                                      F.max(F.size("slots") == 0).alias("literal"))
-    values = (found.select(*pair, F.explode("slots").alias("s")).select(*pair, "s.i", "s.d")
-              .groupBy(*pair, "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-              .groupBy(*[F.col(c).alias(f"_{c}") for c in pair])
-              .agg(F.count(F.lit(1)).alias("n_slots"), F.max(F.col("lo") != F.col("hi")).alias("clash"),
-                   F.min((F.col("lo") == F.col("i")) & (F.col("hi") == F.col("i"))).alias("same")))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair]
-    out = counts.join(values, on, "left")
-    return (out.where(F.col("literal") | ~F.coalesce("clash", F.lit(False)))
-            .select("doc_id", "text_hash", "item_id", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
-                    F.coalesce("same", F.lit(True)).alias("exact")))
+    own = F.forall("slots", lambda z: z["i"] == z["d"])
+    # a window without slots stays, as one row without a value
+    values = (found.select(*pair, "at", "ipos", own.alias("own"), F.explode_outer("slots").alias("s"))
+              .groupBy(*pair, "at", F.col("s.i").alias("i"))
+              .agg(F.min("s.d").alias("lo"), F.max("s.d").alias("hi"), F.max("own").alias("own"), F.collect_set("ipos").alias("w")))
+    occurrence = values.groupBy(*pair, "at").agg(
+        F.count("i").alias("n_slots"), F.coalesce(F.max(F.col("lo") != F.col("hi")), F.lit(False)).alias("clash"),
+        F.coalesce(F.min((F.col("lo") == F.col("i")) & (F.col("hi") == F.col("i"))), F.lit(True)).alias("same"),
+        F.max("own").alias("own"), F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
+    return (occurrence.where(F.col("own") | ~F.col("clash")).groupBy(*pair)
+            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("w")))).cast("long").alias("n_windows"),
+                 F.max("n_slots").alias("n_slots"), F.max("same").alias("exact")))
 
 
 def trim_word(w: Column) -> Column:
