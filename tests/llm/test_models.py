@@ -214,3 +214,14 @@ def test_leaks_are_judged_by_occurrence(spark):
         "What is 5 times 6 in sum? " * 2])
     assert set(got) == {(0, 1), (1, 2), (2, 1)}
     assert got[0, 1].exact and got[1, 2].exact and not got[2, 1].exact
+
+
+def test_leaks_in_another_case(spark, benchmark):
+    items = ["Who was the first king of France?",
+             "We saw Anna and Bob at Paris when Carl and Dora left Rome while Emil and Fred stayed near Genoa with Hugo"]
+    texts = [g(t) for t in items for g in (str, str.lower, str.upper, str.title)]
+    got = found(spark, list(enumerate(items)), [*texts, "Who was the first king of Spain?", "who was the first king of spain?"])
+    assert set(got) == {(k, k // 4) for k in range(8)} | {(8, 0)}
+    assert all(got[k, k // 4].exact for k in range(8)) and not got[8, 0].exact
+    docs = spark.createDataFrame([(801, f"See: {QUESTION.lower()}")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()] == [(801, 1)]

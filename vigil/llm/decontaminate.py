@@ -5,7 +5,8 @@ capitalised word inside a sentence, not one in capitals throughout) become
 typed placeholders, case and outer punctuation go, and every word stays at its place.  Windows of ``width``
 template words of a benchmark item are hash-joined with the words of the
 documents: first the five words a window starts with, then the hash of the
-whole window.  A re-parameterised question matches although its numbers and
+whole window.  Both are also taken in a form without case in which names stay
+words, so a copy in another case is found.  A re-parameterised question matches although its numbers and
 names differ; it counts only if the slots agree, that is if each value of the
 item is replaced by one value throughout an occurrence: the matches that lie at
 one distance between the places in document and item.  One such occurrence is
@@ -43,18 +44,26 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb lbs oz t ml cl l gal s sec secs seco
 _END = "[.,;:!?\"')\\]}]"
 
 
-def template_text(text: Column) -> Column:
-    """The text in template form, with the same number of words.
+def slotted(text: Column) -> Column:
+    """The text with numbers and their units as placeholders.
 
     Each pattern starts with the character class it looks for and looks behind
     only there, so a text is passed over once per pattern.
     """
     t = F.regexp_replace(text, r"[0-9](?<![\p{L}0-9_].)[0-9]*+(?:[.,:/][0-9]+)*+", NUM)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    t = F.regexp_replace(t, rf"({NUM}[ -]?)(?i:{units})(?![\p{{L}}0-9_])", f"$1{UNIT}")
+    return F.regexp_replace(t, rf"({NUM}[ -]?)(?i:{units})(?![\p{{L}}0-9_])", f"$1{UNIT}")
+
+
+def named(text: Column) -> Column:
+    """A slotted text with names as placeholders, too."""
     # a word in capitals throughout is no name: whole texts are written so
-    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;{NUM}{UNIT}{NAME}] .)(?:(?=\p{{L}}*\p{{Ll}})\p{{L}}++|(?!\p{{L}}))", NAME)
-    t = F.regexp_replace(F.lower(t), rf"{_END}(?<=[^\x20\x09-\x0D].){_END}*+(?![^\x20\x09-\x0D])", "")
+    return F.regexp_replace(text, rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;{NUM}{UNIT}{NAME}] .)(?:(?=\p{{L}}*\p{{Ll}})\p{{L}}++|(?!\p{{L}}))", NAME)
+
+
+def folded(text: Column) -> Column:
+    """The text without case and outer punctuation, with the same number of words."""
+    t = F.regexp_replace(F.lower(text), rf"{_END}(?<=[^\x20\x09-\x0D].){_END}*+(?![^\x20\x09-\x0D])", "")
     return F.regexp_replace(t, r"[(\[{\"'](?<![^\x20\x09-\x0D].)(?=[^\x20\x09-\x0D])", "")
 
 
@@ -63,33 +72,40 @@ def words(text: Column) -> Column:
     return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), WORD_GAP)
 
 
+#: Forms of a text, word by word: with all placeholders, and with names as words (for texts in another case).
+FORMS = ("tpl", "low")
+
+
 def with_words(df: DataFrame) -> DataFrame:
-    """``raw`` and ``tpl``: the words of ``text`` and of its template form, place by place."""
-    return df.withColumn("raw", words(F.col("text"))).withColumn("tpl", words(template_text(F.col("text"))))
+    """``raw``, and a column per form of FORMS: the words of ``text``, place by place."""
+    return (df.withColumn("raw", words(F.col("text"))).withColumn("_t", slotted(F.col("text")))
+            .withColumn("tpl", words(folded(named(F.col("_t"))))).withColumn("low", words(folded(F.col("_t")))).drop("_t"))
 
 
-def starts(tpl: Column) -> Column:
-    """The START words from every place where as many follow, as structs w0 .. w4."""
-    n = F.greatest(F.size(tpl) - (START - 1), F.lit(0))
-    return F.arrays_zip(*[F.slice(tpl, k + 1, n).alias(f"w{k}") for k in range(START)])
+def starts() -> Column:
+    """The START words of every form from every place where as many follow, as structs tpl0 .. low4."""
+    n = F.greatest(F.size("tpl") - (START - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(f, k + 1, n).alias(f"{f}{k}") for f in FORMS for k in range(START)])
 
 
-def start_hash(s: str) -> Column:
-    return F.xxhash64(*[F.col(f"{s}.w{k}") for k in range(START)])
+def start_hashes(s: str) -> Column:
+    """The distinct hashes of the START words of the forms at a place."""
+    return F.array_distinct(F.array(*[F.xxhash64(*[F.col(f"{s}.{f}{k}") for k in range(START)]) for f in FORMS]))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(start, len, whash, item_id, ipos, ivals): the windows of every item."""
+    """(start, len, whash, item_id, ipos, ivals): the windows of every item in every form."""
     item = with_words(benchmark.where("item_id is not null").select("item_id", "text")
                       .groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("text")))
     size = F.size("tpl")
     item = item.where(size >= F.lit(max(START, min_words))).withColumn("len", F.least(size, F.lit(width)))
-    at = item.select("*", F.posexplode(starts(F.col("tpl"))).alias("ipos", "s")).where(F.col("ipos") + F.col("len") <= size)
-    part = F.slice("tpl", F.col("ipos") + 1, F.col("len"))
-    literal = F.size(F.filter(part, lambda w: ~w.rlike(SLOT)))
+    at = item.select("*", F.explode(F.sequence(F.lit(0), size - F.col("len"))).alias("ipos"))
+    parts = F.array_distinct(F.array(*[F.slice(f, F.col("ipos") + 1, F.col("len")) for f in FORMS]))
+    at = at.select("len", "item_id", "ipos", F.slice("raw", F.col("ipos") + 1, F.col("len")).alias("ivals"), F.explode(parts).alias("part"))
+    literal = F.size(F.filter("part", lambda w: ~w.rlike(SLOT)))
     return at.where(2 * literal >= F.col("len")).select(
-        start_hash("s").alias("start"), "len", F.xxhash64(part).alias("whash"), "item_id", "ipos",
-        F.slice("raw", F.col("ipos") + 1, F.col("len")).alias("ivals"))
+        F.xxhash64(*[F.col("part")[k] for k in range(START)]).alias("start"), "len", F.xxhash64("part").alias("whash"),
+        "item_id", "ipos", "ivals")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: int = START,
@@ -105,18 +121,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
     small = heads.limit(max_broadcast + 1).count() <= max_broadcast  # 8 bytes each
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     # the words are a column of their own: inside the generator they would be made once per slice
-    at = (doc.select("doc_id", "text_hash", words(template_text(F.col("text"))).alias("tpl"))
-          .select("doc_id", "text_hash", F.posexplode(starts(F.col("tpl"))).alias("p", "s"))
-          .select("doc_id", "text_hash", "p", start_hash("s").alias("start")))
+    at = (with_words(doc).select("doc_id", "text_hash", *FORMS)
+          .select("doc_id", "text_hash", F.posexplode(starts()).alias("p", "s"))
+          .select("doc_id", "text_hash", "p", F.explode(start_hashes("s")).alias("start")))
     place = scratch.write(at.join(F.broadcast(heads) if small else heads, "start"), "places")
     cands = (place.join(windows, "start").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
              .agg(F.collect_list(F.struct("p", "len", "whash", "item_id", "ipos", "ivals")).alias("cands")))
     both = doc.join(cands, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")))
-    hits = F.filter(F.transform("cands", lambda c: F.struct(
-        c["item_id"].alias("item_id"), c["p"].alias("p"), c["ipos"].alias("ipos"), c["whash"].alias("whash"), c["ivals"].alias("ivals"),
-        F.slice("tpl", c["p"] + 1, c["len"]).alias("t"), F.slice("raw", c["p"] + 1, c["len"]).alias("dvals"))),
-        lambda h: F.xxhash64(h["t"]) == h["whash"])
-    found = with_words(both).select("doc_id", "text_hash", F.explode(hits).alias("h")).select("doc_id", "text_hash", "h.*")
+    forms = [F.slice(f, F.col("h.p") + 1, F.col("h.len")) for f in FORMS]
+    t = F.coalesce(*[F.when(F.xxhash64(part) == F.col("h.whash"), part) for part in forms])
+    found = (with_words(both).select("doc_id", "text_hash", "raw", *FORMS, F.explode("cands").alias("h"))
+             .select("doc_id", "text_hash", "h.*", t.alias("t"), F.slice("raw", F.col("h.p") + 1, F.col("h.len")).alias("dvals"))
+             .where("t is not null"))
     slots = F.filter(F.arrays_zip("t", "ivals", "dvals"), lambda z: z["t"].rlike(SLOT))
     found = scratch.write(found.select("doc_id", "text_hash", "item_id", "ipos", (F.col("p") - F.col("ipos")).alias("at"),
                                        F.transform(slots, lambda z: F.struct(
