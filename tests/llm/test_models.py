@@ -225,3 +225,15 @@ def test_leaks_in_another_case(spark, benchmark):
     assert all(got[k, k // 4].exact for k in range(8)) and not got[8, 0].exact
     docs = spark.createDataFrame([(801, f"See: {QUESTION.lower()}")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()] == [(801, 1)]
+
+
+def test_leaks_of_slots_and_of_every_item(spark):
+    sums, cities = "12 + 7 - 3 * 4 = 16", "Visit Paris London Berlin Madrid Rome Vienna"
+    plain = ["one item has these very words", "the next item has others instead", "a third one lacks any id", "and so does this fourth one"]
+    items = [(1, sums), (2, cities), (3, plain[0]), (3, plain[1]), (None, plain[2]), (None, plain[3]), (None, plain[0])]
+    texts = [f"So {sums}.", f"They say: {cities.lower()}!", *(f"xx {t} yy" for t in plain), "So 11 + 7 - 3 * 4 = 15."]
+    got = found(spark, items, texts)
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 3), (4, None), (5, None)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [6]

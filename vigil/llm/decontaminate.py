@@ -11,17 +11,19 @@ names differ; it counts only if the slots agree, that is if each value of the
 item is replaced by one value throughout an occurrence: the matches that lie at
 one distance between the places in document and item.  One such occurrence is
 enough, whatever else the document holds.  A window without slots, or with the
-item's own values in all of them, is a literal match and always counts.  At
-least half of a window must be words.
+item's own values in all of them, is a literal match and always counts.  A
+window of which less than half are words is compared with its numbers (and
+names) as they are.
 
 The distinct hashes of window starts (8 bytes each) are broadcast only while
 there are at most ``max_broadcast``; beyond, the same join is shuffled.
 
 Defined cases: a null or empty text matches nothing; items with fewer than
 ``min_words`` words are not searched, items shorter than a window are one
-window; repeated item ids are one item; rows with one (doc_id, text) are one
-document; null item ids are ignored; null doc ids are kept apart by their
-texts; extra columns are ignored by ``matches`` and kept by
+window; every distinct (item_id, text) is an item, with ``item_hash`` to tell
+the texts of one id or of none apart (a text without an id that also has one is
+no further item); rows with one (doc_id, text) are one document; null doc ids
+are kept apart by their texts; extra columns are ignored by ``matches`` and kept by
 ``remove_contaminated``.  Empty tables match nothing.
 """
 
@@ -72,18 +74,19 @@ def words(text: Column) -> Column:
     return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), WORD_GAP)
 
 
-#: Forms of a text, word by word: with all placeholders, and with names as words (for texts in another case).
-FORMS = ("tpl", "low")
+#: Forms of a text, word by word: with all placeholders, with names as words (for texts in another case), without placeholders.
+FORMS = ("tpl", "low", "lit")
 
 
 def with_words(df: DataFrame) -> DataFrame:
     """``raw``, and a column per form of FORMS: the words of ``text``, place by place."""
     return (df.withColumn("raw", words(F.col("text"))).withColumn("_t", slotted(F.col("text")))
-            .withColumn("tpl", words(folded(named(F.col("_t"))))).withColumn("low", words(folded(F.col("_t")))).drop("_t"))
+            .withColumn("tpl", words(folded(named(F.col("_t"))))).withColumn("low", words(folded(F.col("_t"))))
+            .withColumn("lit", words(folded(F.col("text")))).drop("_t"))
 
 
 def starts() -> Column:
-    """The START words of every form from every place where as many follow, as structs tpl0 .. low4."""
+    """The START words of every form from every place where as many follow, as structs tpl0 .. lit4."""
     n = F.greatest(F.size("tpl") - (START - 1), F.lit(0))
     return F.arrays_zip(*[F.slice(f, k + 1, n).alias(f"{f}{k}") for f in FORMS for k in range(START)])
 
@@ -94,23 +97,33 @@ def start_hashes(s: str) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(start, len, whash, item_id, ipos, ivals): the windows of every item in every form."""
-    item = with_words(benchmark.where("item_id is not null").select("item_id", "text")
-                      .groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max("text").alias("text")))
+    """(start, len, whash, item_id, item_hash, ipos, ivals): the windows of every item in the forms that suit them.
+
+    A form suits if at least half of its words are no placeholders; without
+    placeholders it is taken where the case-folded one does not suit.
+    """
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    # a text that also has an id is not another item without one
+    known = rows.where("item_id is not null").select("text").distinct()
+    rows = rows.where("item_id is not null").union(rows.where("item_id is null").join(known, "text", "left_anti").select("item_id", "text"))
     size = F.size("tpl")
+    item = with_words(rows.withColumn("item_hash", F.xxhash64("text")))
     item = item.where(size >= F.lit(max(START, min_words))).withColumn("len", F.least(size, F.lit(width)))
     at = item.select("*", F.explode(F.sequence(F.lit(0), size - F.col("len"))).alias("ipos"))
-    parts = F.array_distinct(F.array(*[F.slice(f, F.col("ipos") + 1, F.col("len")) for f in FORMS]))
-    at = at.select("len", "item_id", "ipos", F.slice("raw", F.col("ipos") + 1, F.col("len")).alias("ivals"), F.explode(parts).alias("part"))
-    literal = F.size(F.filter("part", lambda w: ~w.rlike(SLOT)))
-    return at.where(2 * literal >= F.col("len")).select(
-        F.xxhash64(*[F.col("part")[k] for k in range(START)]).alias("start"), "len", F.xxhash64("part").alias("whash"),
-        "item_id", "ipos", "ivals")
+    tpl, low, lit, raw = (F.slice(f, F.col("ipos") + 1, F.col("len")) for f in (*FORMS, "raw"))
+
+    def suits(part: Column) -> Column:
+        return 2 * F.size(F.filter(part, lambda w: ~w.rlike(SLOT))) >= F.col("len")
+
+    parts = F.array_distinct(F.array_compact(F.array(F.when(suits(tpl), tpl), F.when(suits(low), low).otherwise(lit))))
+    return (at.select("len", "item_id", "item_hash", "ipos", raw.alias("ivals"), F.explode(parts).alias("part"))
+            .select(F.xxhash64(*[F.col("part")[k] for k in range(START)]).alias("start"), "len", F.xxhash64("part").alias("whash"),
+                    "item_id", "item_hash", "ipos", "ivals"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: int = START,
             max_broadcast: int = 1_000_000) -> DataFrame:
-    """(doc_id, text_hash, item_id, n_windows, n_slots, exact) of the contaminated documents.
+    """(doc_id, text_hash, item_id, item_hash, n_windows, n_slots, exact) of the contaminated documents.
 
     ``n_windows``: item places found in counted occurrences; ``n_slots``: most
     values in one of them; ``exact``: all slots of one hold the item's own values.
@@ -126,7 +139,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
           .select("doc_id", "text_hash", "p", F.explode(start_hashes("s")).alias("start")))
     place = scratch.write(at.join(F.broadcast(heads) if small else heads, "start"), "places")
     cands = (place.join(windows, "start").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-             .agg(F.collect_list(F.struct("p", "len", "whash", "item_id", "ipos", "ivals")).alias("cands")))
+             .agg(F.collect_list(F.struct("p", "len", "whash", "item_id", "item_hash", "ipos", "ivals")).alias("cands")))
     both = doc.join(cands, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")))
     forms = [F.slice(f, F.col("h.p") + 1, F.col("h.len")) for f in FORMS]
     t = F.coalesce(*[F.when(F.xxhash64(part) == F.col("h.whash"), part) for part in forms])
@@ -134,10 +147,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
              .select("doc_id", "text_hash", "h.*", t.alias("t"), F.slice("raw", F.col("h.p") + 1, F.col("h.len")).alias("dvals"))
              .where("t is not null"))
     slots = F.filter(F.arrays_zip("t", "ivals", "dvals"), lambda z: z["t"].rlike(SLOT))
-    found = scratch.write(found.select("doc_id", "text_hash", "item_id", "ipos", (F.col("p") - F.col("ipos")).alias("at"),
+    found = scratch.write(found.select("doc_id", "text_hash", "item_id", "item_hash", "ipos", (F.col("p") - F.col("ipos")).alias("at"),
                                        F.transform(slots, lambda z: F.struct(
                                            trim_word(z["ivals"]).alias("i"), trim_word(z["dvals"]).alias("d"))).alias("slots")), "found")
-    pair = ["doc_id", "text_hash", "item_id"]
+    pair = ["doc_id", "text_hash", "item_id", "item_hash"]
     own = F.forall("slots", lambda z: z["i"] == z["d"])
     # a window without slots stays, as one row without a value
     values = (found.select(*pair, "at", "ipos", own.alias("own"), F.explode_outer("slots").alias("s"))
