@@ -58,6 +58,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(201), 0), 499: 499, 500: 499}
 
 
+def test_components_in_any_order_of_the_ids(spark):
+    rng = random.Random(5)
+    ids = rng.sample(range(10_000, 20_000), 600)
+    links = [(0, 90)] + [(k, k - 1) for k in range(90, 1, -1)] + list(zip(ids, ids[1:]))  # falling ids, shuffled ids
+    links += [(30_000, 29_000 + k) for k in range(50)] + [(25_000 + rng.randrange(60), 25_000 + rng.randrange(60)) for _ in range(45)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c").collect()}
+    real = [(a, b) for a, b in links if a != b]
+    assert got == union_find({x for link in real for x in link}, real)
+
+
 def test_near_duplicates(spark, rows, docs, empty):
     for width, percent in ((2, 80), (5, 80)):
         got = minmax_dedup.near_duplicates(docs, width=width, percent=percent).collect()
