@@ -237,3 +237,13 @@ def test_leaks_of_slots_and_of_every_item(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [6]
+
+
+def test_quality_drops_row_by_row(spark):
+    labels, docs = table(spark, SF, "labels"), table(spark, SF, "documents").select("doc_id", "text")
+    texts = {p: [r.text for r in quality_bt.score_quality(docs, labels).where(f"predicted = {p}").join(docs, "doc_id")
+                 .orderBy("doc_id").limit(3).collect()] for p in (0, 1)}
+    more = [(i, t) for i in (None, -5) for p in (0, 1) for t in texts[p]]
+    kept = quality_bt.keep_good(docs.union(spark.createDataFrame(more, "doc_id long, text string")), labels)
+    got = sorted(((r.doc_id, r.text) for r in kept.where("doc_id is null or doc_id = -5").collect()), key=str)
+    assert got == sorted(((i, t) for i in (None, -5) for t in texts[1]), key=str)

@@ -64,7 +64,7 @@ def text_features(text: str) -> list[float]:
 def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         x = [text_features(t) for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": x})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "x": x})
 
 
 def fit_pairs(good: np.ndarray, bad: np.ndarray, per_row: int = 4, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
@@ -99,11 +99,11 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, cut: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score in 0 .. 1 and predicted (score >= ``cut``) per row of ``docs``."""
+def score_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, cut: float = 0.3) -> DataFrame:
+    """doc_id, text_hash, held_out, score in 0 .. 1 and predicted (score >= ``cut``) per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "quality")
-    rows = scratch.write(docs.select(F.col("doc_id").cast("long"), "text")
-                         .mapInPandas(featurize, "doc_id long, x array<double>"), "features")
+    rows = scratch.write(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+                         .mapInPandas(featurize, "doc_id long, text_hash long, x array<double>"), "features")
     known = (labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long"))
              .agg(F.min("quality").alias("quality"), F.max("quality").alias("_q")).where("quality = _q").drop("_q")
              .where(~held_out()))
@@ -112,7 +112,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000
             .select("x").toPandas()["x"] for q in (0, 1)]
     out = rows.withColumn("held_out", held_out())
     if not len(pick[0]) or not len(pick[1]):
-        return out.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(int(0.5 >= cut)).alias("predicted"))
+        return out.select("doc_id", "text_hash", "held_out", F.lit(0.5).alias("score"), F.lit(int(0.5 >= cut)).alias("predicted"))
     bad, good = (np.stack([np.asarray(v, float) for v in p]) for p in pick)
     both = np.concatenate([bad, good])
     scale = both.std(0) + 1e-6
@@ -129,13 +129,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000
     shift = float(np.log(cut / (1 - cut)))
     score = 1 / (1 + F.exp(-(raw("x") - t + shift)))
     return (out.withColumn("score", score)
-            .select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted")))
+            .select("doc_id", "text_hash", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted")))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, held_out, score and predicted per row of ``docs``."""
+    return score_rows(docs, labels, **options).drop("text_hash")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold; an id goes with any of its rows that fails."""
+    """The rows of ``docs`` whose own score reaches the threshold; rows of one id and text have one score."""
     names = docs.columns
-    bad = (score_quality(docs, labels, **options).where("predicted = 0")
-           .select(F.col("doc_id").alias("_bad")).distinct())
-    return (docs.withColumn("_id", F.col("doc_id").cast("long"))
-            .join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select(*names))
+    bad = (score_rows(docs, labels, **options).where("predicted = 0")
+           .select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_th")).distinct())
+    return (docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64("text"))
+            .join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_th") == F.col("_bad_th")), "left_anti").select(*names))
