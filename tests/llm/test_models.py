@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,10 @@ def test_quality_drops_row_by_row(spark):
     kept = quality_bt.keep_good(docs.union(spark.createDataFrame(more, "doc_id long, text string")), labels)
     got = sorted(((r.doc_id, r.text) for r in kept.where("doc_id is null or doc_id = -5").collect()), key=str)
     assert got == sorted(((i, t) for i in (None, -5) for t in texts[1]), key=str)
+
+
+def test_candidates_of_texts_without_digits():
+    texts = ["write to john @ example.com", "mail john [ at ] example [ dot ] com", "or john {at} example.com", "no address (at all)"]
+    out = pd.concat(pii.scan(iter([pd.DataFrame({"doc_id": range(4), "text": texts})])))
+    spans = [[t[c["start"]:c["end"]] for c in cands] for t, cands in zip(texts, out["cands"])]
+    assert spans == [["john @ example.com"], ["john [ at ] example [ dot ] com"], ["john {at} example.com"], []]
