@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import (decontaminate, host_rules, html_extract, license_scan, line_dedup, merkle, minmax_dedup, pii,
-                       quality_bt, sp_tokens, substring_dedup)
+from vigil.llm import (decontaminate, fim, host_rules, html_extract, license_scan, line_dedup, merkle, minmax_dedup,
+                       pii, quality_bt, sp_tokens, substring_dedup, token_files)
 from vigil.llm.common import table
 
 #: SentencePiece model that op7 and the pipeline encode with.
@@ -70,9 +70,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
+                      F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_classifier, op3_pii, op4_minhash_near_dedup, op5_substring_dedup, op6_html_extraction,
-    op7_sentencepiece, op8_benchmark_decontamination, op9_license_scan, op10_host_rules, op11_merkle_manifest)}
+    op7_sentencepiece, op8_benchmark_decontamination, op9_license_scan, op10_host_rules, op11_merkle_manifest,
+    op12_token_files, op13_fill_in_middle)}
 
 def _merkle_sql() -> str:
     def leaf(text: str) -> str:
@@ -165,4 +177,22 @@ SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT)
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND (h.failed + m * s) / (h.n + s) < 0.5 AS kept, round((h.failed + m * s) / (h.n + s), 6) AS host_rate
 FROM judged j JOIN hosts h ON j.source IS NOT DISTINCT FROM h.source, prior
-""", "op11_merkle_manifest": _merkle_sql()}
+""", "op11_merkle_manifest": _merkle_sql(), "op13_fill_in_middle": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM docs
+), parts AS (
+  SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""}
