@@ -17,7 +17,7 @@ will do.  ``part`` and ``number`` in the header order the files.
 Texts are dealt by ranges of ``doc_id`` and encoded there.  If the tokenizer
 never lets a token span white space (``splits_at_space`` reads that from its
 definition), the distinct words of the texts are encoded once per task and
-texts put together from them; else whole texts are encoded.  Both give the ids of the whole text.
+texts put together from them (``Encoder``); else whole texts are encoded.  Both give the ids of the whole text.
 
 Defined cases: a null or empty text has the end id alone; rows without an id
 come first; rows that share an id stand in the order of their texts' hashes
@@ -28,11 +28,14 @@ pieces cut at white space, so its length does not matter.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,15 +139,14 @@ class TokenFile:
         self.ends, self.doc_ids = sequences
 
     @staticmethod
-    def content(part: int, number: int, doc_ids: list[int | None], tokens: list[np.ndarray], id_bytes: int) -> bytes:
+    def content(part: int, number: int, doc_ids: list[int | None], tokens: list[bytes], id_bytes: int) -> bytes:
         known = [d for d in doc_ids if d is not None]
         first = known[0] if known else 0
-        ends = EliasFano.build(np.cumsum([len(t) for t in tokens]).astype(np.uint64))
+        ends = EliasFano.build(np.cumsum([len(t) // id_bytes for t in tokens]).astype(np.uint64))
         docs = EliasFano.build(np.array([d - first for d in known], np.uint64))
-        ids = np.concatenate(tokens).astype(f"<u{id_bytes}")
         shapes = [x for s in (ends, docs) for x in (s.width, len(s.low), len(s.high))]
-        return b"".join([HEADER.pack(MAGIC, id_bytes, part, number, len(doc_ids), len(doc_ids) - len(known), len(ids), first, *shapes),
-                         ids.tobytes(), *[x for s in (ends, docs) for x in (s.low, s.high, s.places.astype("<u4").tobytes())]])
+        return b"".join([HEADER.pack(MAGIC, id_bytes, part, number, len(doc_ids), len(doc_ids) - len(known), sum(map(len, tokens)) // id_bytes, first, *shapes),
+                         *tokens, *[x for s in (ends, docs) for x in (s.low, s.high, s.places.astype("<u4").tobytes())]])
 
     def span(self, k: int) -> tuple[int, int]:
         """(start, end) of the k-th document's ids, from the select structure."""
@@ -180,7 +182,10 @@ def splits_at_space(definition: str) -> bool:
             and first.get("invert") is True and not t.get("post_processor"))
 
 
-def pieces(raw: bytes, size: int = 1 << 18) -> Iterator[list[bytes]]:
+PIECE = 1 << 18
+
+
+def pieces(raw: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
     """The words of a UTF-8 text, in runs of about ``size`` bytes."""
     at = 0
     while at < len(raw):
@@ -191,33 +196,104 @@ def pieces(raw: bytes, size: int = 1 << 18) -> Iterator[list[bytes]]:
         at = end
 
 
-def encoder(definition: str, dtype: str, cached: int = 200_000, longest: int = 64) -> Callable[[bytes], np.ndarray]:
-    """A function from a UTF-8 text to its ids."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_str(definition)
-    if not splits_at_space(definition):
-        return lambda raw: np.array(tok.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype)
-    known: dict[bytes, bytes] = {}
-
-    def encode(raw: bytes) -> np.ndarray:
-        out = []
-        for words in pieces(raw):
-            new = {w for w in words if w not in known}
-            if new:
-                if len(known) > cached:
-                    known.clear()
-                    new = set(words)
-                new = list(new)
-                for w, e in zip(new, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype).tobytes()
-            out.append(b"".join([known[w] for w in words]))
-            for w in new:
-                if len(w) > longest:
-                    del known[w]
-        return np.frombuffer(b"".join(out), dtype)
-
-    return encode
+#: Words that the normaliser leaves as they are but for capitals, without the first character of an added token:
+#: of printable ASCII, and with letters from À to ſ (İ becomes two characters).
+_ASCII = re.compile(rb"[!-;=-~]+")
+_LATIN = re.compile("[!-;=-~À-ÖØ-öø-įı-ſ]+")
+#: Their parts, in small letters.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
+#: The split that _PARTS stands for, and the mark of a part's last token.
+SPLIT, LAST = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+
+
+class Encoder:
+    """The ids of UTF-8 texts as bytes; ``code``: H for two bytes an id, I for four.
+
+    Words are encoded once and kept, up to ``cached`` of at most ``longest``
+    bytes.  New words of Latin letters go to the library many at a time, as one
+    text in small letters past the normaliser, those of ASCII past the byte
+    alphabet too; the tokens that end a part say where each word's ids end.
+    """
+
+    def __init__(self, definition: str, code: str, cached: int = 800_000, longest: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.code, self.cached, self.longest = code, cached, longest
+        self.whole = Tokenizer.from_str(definition)
+        self.by_word = splits_at_space(definition)
+        self.known: dict[bytes, bytes] = {}
+        t = json.loads(definition)
+        self.together = (self.by_word and t["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == SPLIT
+                         and t["model"]["end_of_word_suffix"] == LAST)
+        if self.together:
+            bare = t | {"normalizer": None, "added_tokens": []}
+            self.latin = Tokenizer.from_str(json.dumps(bare))
+            self.ascii = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": t["pre_tokenizer"]["pretokenizers"][0]}))
+            self.ends = np.zeros(max(t["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for word, i in t["model"]["vocab"].items() if word.endswith(LAST)]] = True
+
+    def _each(self, words: list[bytes]) -> Iterator[bytes]:
+        for e in self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
+            yield array(self.code, e.ids).tobytes()
+
+    def _learn_together(self, tokenizer, words: list[bytes], small: list[str]) -> None:
+        """Learn ``words`` from their forms in small letters, if the parts add up."""
+        if not small:
+            return
+        e = tokenizer.encode_batch_fast([" ".join(small[k:k + 500]) for k in range(0, len(small), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.int64) for x in e])
+        last = np.flatnonzero(self.ends[ids])
+        parts = np.cumsum([len(_PARTS.findall(w)) for w in small])
+        if parts[-1] == len(last):
+            cut = [0, *((last[parts - 1] + 1) * array(self.code).itemsize).tolist()]
+            raw = ids.astype(self.code).tobytes()
+            self.known.update(zip(words, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+
+    def learn(self, words: set[bytes]) -> None:
+        if self.together:
+            plain = [w for w in words if _ASCII.fullmatch(w)]
+            self._learn_together(self.ascii, plain, [w.lower().decode() for w in plain])
+            other = [w.decode("utf-8", "replace") for w in words.difference(plain)]
+            latin = [w for w in other if _LATIN.fullmatch(w)]
+            self._learn_together(self.latin, [w.encode() for w in latin], [w.lower() for w in latin])
+            words = words.difference(self.known)
+        self.known.update(zip(words, self._each(list(words))))
+
+    def _runs(self, runs: list[list[bytes]]) -> list[bytes]:
+        """The ids of each run of words."""
+        if len(self.known) > self.cached:
+            self.known.clear()
+        new = set().union(*runs).difference(self.known)
+        if new:
+            self.learn(new)
+        out = [b"".join(map(self.known.__getitem__, run)) for run in runs]
+        for w in new:
+            if len(w) > self.longest:
+                del self.known[w]
+        return out
+
+    def __call__(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of each text; all but the longest texts are taken together."""
+        if not self.by_word:
+            return list(self._each(raws))
+        short = iter(self._runs([raw.split() for raw in raws if len(raw) <= PIECE]))
+        return [next(short) if len(raw) <= PIECE else b"".join([self._runs([words])[0] for words in pieces(raw)]) for raw in raws]
+
+
+def grouped(ids: list, raws: list[bytes], size: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
+    """Runs of documents of about ``size`` bytes."""
+    at = held = 0
+    for k, raw in enumerate(raws):
+        held += len(raw)
+        if held >= size or k == len(raws) - 1:
+            yield ids[at:k + 1], raws[at:k + 1]
+            at, held = k + 1, 0
+
+
+@functools.lru_cache(2)
+def worker_encoder(definition: str, code: str) -> Encoder:
+    """One encoder per Python worker, whatever number of tasks it runs."""
+    return Encoder(definition, code)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, file_ids: int = 1 << 21, file_docs: int = 1 << 16) -> None:
@@ -234,8 +310,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fi
     order = ["doc_id", "_h", "_u"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value, f"<u{id_bytes}")
-        end = np.array([end_id], f"<u{id_bytes}")
+        code = "H" if id_bytes == 2 else "I"
+        encode, end = worker_encoder(shared.value, code), array(code, [end_id]).tobytes()
         part, number, doc_ids, tokens, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def full() -> pa.RecordBatch:
@@ -245,13 +321,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, fi
             return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["value"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                buffer = text.as_buffer()
-                tokens.append(np.concatenate([encode(buffer.to_pybytes() if buffer else b""), end]))
-                doc_ids.append(doc_id)
-                held += len(tokens[-1])
-                if held >= file_ids or len(doc_ids) >= file_docs:
-                    yield full()
+            buffers = [t.as_buffer() for t in batch.column(1)]
+            for ids, raws in grouped(batch.column(0).to_pylist(), [b.to_pybytes() if b else b"" for b in buffers]):
+                for doc_id, own in zip(ids, encode(raws)):
+                    tokens.append(own + end)
+                    doc_ids.append(doc_id)
+                    held += len(tokens[-1]) // id_bytes
+                    if held >= file_ids or len(doc_ids) >= file_docs:
+                        yield full()
         if doc_ids:
             yield full()
 
