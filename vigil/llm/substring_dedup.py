@@ -110,6 +110,22 @@ def frequent(rows: DataFrame, max_hot: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
 
 
+def least_docs(rows: DataFrame, of: np.ndarray) -> DataFrame:
+    """(h, doc): the smallest document of each hash in ``of``, one row per hash and batch of ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, doc = (np.asarray(batch.column(k)) for k in (0, 1))
+            at = places(shared.value, h.view(np.uint64))
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[np.lexsort((doc[hit], at[hit]))]
+            first = hit[np.concatenate(([True], at[hit][1:] != at[hit][:-1]))[:len(hit)]]
+            yield pa.RecordBatch.from_arrays([pa.array(h[first], pa.int64()), pa.array(doc[first], pa.int64())], names=["h", "doc"])
+
+    return rows.mapInArrow(run, "h long, doc long")
+
+
 def streamed(keep_first: bool) -> Callable:
     """Over rows sorted by (h, doc): those of hashes that several documents have.
 
@@ -197,7 +213,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, sample: int = 64, max_hot:
     windows = scratch.write(hash_rows(text.join(packed(shared), "doc", "left"), own_windows), "windows")
     hot = frequent(windows.where(sampled), max_hot)
     known = F.broadcast(spark.createDataFrame([(int(h),) for h in hot.view(np.int64)], "h long"))
-    least = windows.join(known, "h").groupBy("h").agg(F.min("doc").alias("doc")).collect()
+    least = least_docs(windows, hot).groupBy("h").agg(F.min("doc").alias("doc")).collect()
     least = sorted((r.h % 2**64, r.doc) for r in least)
     lead = spark.sparkContext.broadcast((np.array([h for h, _ in least], np.uint64), np.array([d for _, d in least], np.int64)))
     later = scratch.write(windows.join(known, "h", "left_anti").repartition("h").sortWithinPartitions("h", "doc")
