@@ -97,7 +97,7 @@ def test_csv_files_end_to_end(spark, tmp_path):
 def test_asof_with_as_many_boundaries_as_rows(spark):
     logs = spark.createDataFrame([(n,) for n in range(-5, 400)] + [(None,)], "n bigint")
     starts = [(i, i * 7 % 390, i) for i in range(390)]
-    out = asof_lookup(logs, "n", _starts(spark, starts), "time_start", "version", "v", block=16)
+    out = asof_lookup(logs, "n", _starts(spark, starts), "time_start", "version", "v", few=0, partitions=7)
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     value = {s: v for v, s, _ in starts}
@@ -152,3 +152,34 @@ def test_csv_empty_and_split_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [(r.seq, r["values"][0]) for r in rows] == [(i, str(i)) for i in range(5000)]
+
+
+def test_asof_prefix_scan_of_a_hot_key(spark):
+    """One key holds a third of the rows; no window runs in a single task; both ways agree."""
+    import bisect
+    import random
+    rng = random.Random(11)
+    starts = sorted(rng.sample(range(-500, 5000), 90))
+    keys = [rng.randrange(-900, 5500) for _ in range(2000)] + [777] * 1000 + [None] * 5
+    logs = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "n bigint, i bigint")
+    table = _starts(spark, [(v, s, v) for v, s in enumerate(starts)])
+    scan = asof_lookup(logs, "n", table, "time_start", "version", "v", partitions=9)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" not in plan.split("Subquery")[0]
+    want = [(i, 0 if k is None else max(bisect.bisect_right(starts, k) - 1, 0)) for i, k in enumerate(keys)]
+    assert sorted((r.i, r.v) for r in scan.collect()) == want
+    few = asof_lookup(logs, "n", table, "time_start", "version", "v", few=90)
+    assert sorted((r.i, r.v) for r in few.collect()) == want
+
+
+def test_places_over_ranges(spark):
+    import random
+
+    from vigil.operators.prefix import with_ordinal
+    rng = random.Random(2)
+    data = [(rng.choice([None, 1, 1, 1, 2, 5]), i) for i in range(700)]
+    df = spark.createDataFrame(data, "a bigint, b bigint").repartition(5)
+    got = {(r.a, r.b): r.at for r in with_ordinal(df, ["a", "b"], "at", "test", partitions=6).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted(got.values()) == list(range(700))
+    assert with_ordinal(df.limit(0), ["a", "b"], "at", "test").collect() == []
