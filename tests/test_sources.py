@@ -60,7 +60,7 @@ def test_stage_sink_roundtrip(spark):
     root = tempfile.mkdtemp(prefix="vigil-stage-")
     df = spark.createDataFrame([("A", "ATTACK"), ("B", "CLEAN")], "log_id string, alert_level string")
     write_stage(df, root, "alerts")
-    assert os.path.isdir(f"{root}/alerts/alert_level=ATTACK")
+    assert os.path.isdir(f"{root}/alerts/v000001/alert_level=ATTACK")
     assert read_stage(spark, root, "alerts").filter("alert_level = 'ATTACK'").count() == 1
     with pytest.raises(StageMissing):
         read_stage(spark, root, "graph_nodes")

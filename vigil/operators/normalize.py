@@ -84,9 +84,7 @@ def _extract(fields: Column, field_map: Column, canonical: str) -> Column:
 class Normalized:
     logs: DataFrame        # the canonical rows (NORMALIZED_COLUMNS)
     flagged: DataFrame     # every input row (ids, raw fields) with a boolean ``_skip``
-
-
-INTEGRITY_METRICS = ("total_rows", "valid_rows", "dropped_rows")
+    marked: DataFrame      # the canonical columns of every input row and ``dropped``: what a written stage counts
 
 
 def _integrity_aggs():
@@ -94,15 +92,14 @@ def _integrity_aggs():
             F.count_if(F.col("_skip")).alias("dropped_rows")]
 
 
-def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFrame,
-              observation=None) -> Normalized:
+def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFrame) -> Normalized:
     """Raw logs -> canonical normalized logs (NRM3-9).
 
     Rows that cannot be normalized (blank ids, an infinite number) are
-    flagged right after field extraction and dropped before the registry
-    join and the Base64 stages, so those expensive projections run once per
-    kept row.  Pass a ``pyspark.sql.Observation`` to collect the integrity
-    counts (NRM10) in the same pass that produces the normalized rows.
+    flagged right after field extraction.  ``logs`` drops them there, before the
+    registry join and the Base64 stages; ``marked`` carries them along, so that
+    one written stage holds kept and dropped rows and its files give the
+    integrity counts (NRM10).
     """
     versions = materialize_dimension(schema_lookup(schema_versions).withColumn("_known", F.lit(True)), "versions")
     v1_map = versions.filter(F.col("version") == FALLBACK_VERSION).select("field_map").scalar()
@@ -133,11 +130,12 @@ def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFra
     skip = ((F.col("log_id") == "") | (F.col("node_id") == "")
             | is_py_infinity("_ver_raw") | is_py_infinity("_http_raw") | is_py_infinity("_rt_raw"))
     flagged = logs.withColumn("_skip", skip)
-    kept = flagged
-    if observation is not None:
-        # CollectMetrics also fences the filter below from being pushed under it
-        kept = kept.observe(observation, *_integrity_aggs())
-    logs = kept.filter(~F.col("_skip")).drop("_skip")
+    kept = _canonical(flagged.filter(~F.col("_skip")), reg).drop("_skip")
+    return Normalized(kept, flagged, _canonical(flagged, reg).withColumnRenamed("_skip", "dropped"))
+
+
+def _canonical(logs: DataFrame, reg: DataFrame) -> DataFrame:
+    """NORMALIZED_COLUMNS and ``_skip`` of the extracted rows."""
     logs = logs.join(reg, "node_id", "left")
     hit = F.coalesce(F.col("_r_hit"), F.lit(False))
     r_hw_present = F.col("_r_hw").isNotNull() & (F.col("_r_hw") != "")
@@ -157,7 +155,7 @@ def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFra
     ])
     hw_out = F.when(F.col("_hw_raw").isNull() | (F.col("_hw_raw") == ""), F.lit(None).cast("string")) \
         .otherwise(safe_str("_hw_raw", ""))
-    out = logs.select(
+    return logs.select(
         "log_id", "node_id",
         F.when(hit, safe_str("_r_name", DEFAULT_NODE_NAME)).otherwise(F.lit(DEFAULT_NODE_NAME)).alias("node_name"),
         F.when(hit, safe_str("_r_region", DEFAULT_REGION)).otherwise(F.lit(DEFAULT_REGION)).alias("region"),
@@ -172,9 +170,8 @@ def normalize(raw_logs: DataFrame, registry: DataFrame, schema_versions: DataFra
         F.col("_hw.reason").alias("hardware_id_reason"),
         ts.alias("timestamp"),
         warnings.alias("parse_warnings"),
-        "load_val", "L_V1", "seq",
+        "load_val", "L_V1", "seq", "_skip",
     )
-    return Normalized(out, flagged)
 
 
 def integrity_summary(flagged: DataFrame) -> DataFrame:

@@ -8,11 +8,9 @@ size is known when the join is planned.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import scratch_path
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -41,6 +39,6 @@ def materialize_dimension(df: DataFrame, tag: str) -> DataFrame:
 def written_table(df: DataFrame, tag: str) -> DataFrame:
     """Write a frame of any size under ``spark.checkpoint.dir`` and read it back: computed once, a leaf for later plans."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import attribution as att
@@ -21,9 +21,14 @@ from vigil.operators import graph as grf
 from vigil.operators.detect import alerts as alert_projection
 from vigil.operators.detect import detect
 from vigil.operators.metrics import detection_metrics
-from vigil.operators.normalize import INTEGRITY_METRICS, normalize
+from vigil.operators.normalize import normalize
 from vigil.operators.rules import Rule
-from vigil.sources.sinks import read_stage, write_stage
+from vigil.sources.sinks import read_stage, release, stage_counts, write_stage
+
+
+ALL_STAGES = ("normalized_logs", "integrity_summary", "detected_logs", "alerts", "metrics", "graph_logs", "graph_edges_full",
+              "graph_nodes", "graph_edges", "fingerprint_usage", "fingerprints", "fingerprint_members",
+              "node_fingerprint_counts", "attribution_candidates", "command_node")
 
 
 @dataclass
@@ -43,20 +48,16 @@ def run_pipeline(spark: SparkSession, logs: DataFrame, registry: DataFrame, sche
 
     timings: dict[str, float] = {}
 
-    def cut(name: str, df: DataFrame) -> DataFrame:
+    def cut(name: str, df: DataFrame, counted: bool = False) -> DataFrame:
         t0 = time.time()
-        write_stage(df, out_root, name)
+        write_stage(df, out_root, name, counted)
         timings[name] = round(time.time() - t0, 3)
         return read_stage(spark, out_root, name)
 
-    # one pass over the raw logs: the integrity counts are observed while the
-    # normalized rows are written
-    observed = Observation("integrity")
-    norm = normalize(logs, registry, schema_versions, observation=observed)
-    normalized = cut("normalized_logs", norm.logs)
-    counts = observed.get
-    cut("integrity_summary", spark.range(1).select(
-        *[F.lit(int(counts[k])).cast("bigint").alias(k) for k in INTEGRITY_METRICS]))
+    # kept and dropped rows are one stage; the files that were committed give the integrity counts
+    norm = normalize(logs, registry, schema_versions)
+    normalized = cut("normalized_logs", norm.marked, counted=True).where(F.col("dropped").cast("string") == "false").drop("dropped")
+    cut("integrity_summary", integrity_counts(spark, out_root))
     if normalized.isEmpty():
         return PipelineResult(out_root, False, {"normalized_logs": normalized})
     if anomaly_model is not None:
@@ -71,18 +72,31 @@ def run_pipeline(spark: SparkSession, logs: DataFrame, registry: DataFrame, sche
     usage = cut("fingerprint_usage", fpr.fingerprint_usage(graph_logs))
     clusters = cut("fingerprints", fpr.fingerprint_clusters(usage))
     members = cut("fingerprint_members", fpr.cluster_members(clusters, usage))
-    counts = cut("node_fingerprint_counts", fpr.node_fingerprint_counts(graph_logs))
+    node_counts = cut("node_fingerprint_counts", fpr.node_fingerprint_counts(graph_logs))
     cands = cut("attribution_candidates", att.candidates(nodes, edges, members))
     command = cut("command_node", att.command_node(nodes, cands))
     stages_out = {
         "normalized_logs": normalized, "detected_logs": detected, "alerts": alerts, "metrics": metrics,
         "graph_logs": graph_logs, "graph_nodes": nodes, "graph_edges": edges, "fingerprints": clusters,
         "fingerprint_members": members,
-        "node_fingerprint_counts": counts, "attribution_candidates": cands, "command_node": command,
+        "node_fingerprint_counts": node_counts, "attribution_candidates": cands, "command_node": command,
     }
     return PipelineResult(out_root, True, stages_out, timings)
 
 
+def integrity_counts(spark: SparkSession, root: str) -> DataFrame:
+    """total / valid / dropped rows (NRM10) from the side table of the written stage: no row is read."""
+    dropped = F.col("part_values")["dropped"] == "true"
+    return stage_counts(spark, root, "normalized_logs").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"), F.coalesce(F.sum(F.when(~dropped, F.col("rows"))), F.lit(0)).alias("valid_rows"),
+        F.coalesce(F.sum(F.when(dropped, F.col("rows"))), F.lit(0)).alias("dropped_rows"))
+
+
+def release_superseded(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
+    """Delete the versions of all stages that later runs into the same folder replaced."""
+    return [folder for name in ALL_STAGES for folder in release(spark, root, name, keep)]
+
+
 def alert_counts_by_level(spark: SparkSession, root: str) -> DataFrame:
     """Example read view over written stages: partition-pruned level counts."""
     return read_stage(spark, root, "alerts").groupBy("alert_level").agg(F.count(F.lit(1)).alias("alerts"))

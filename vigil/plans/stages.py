@@ -18,8 +18,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.operators import attribution as att
@@ -29,7 +27,7 @@ from vigil.operators.detect import alerts as alert_projection
 from vigil.operators.detect import detect
 from vigil.operators.metrics import detection_metrics
 from vigil.operators.normalize import normalize
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import scratch_path
 from vigil.sources.telemetry import telemetry
 
 def write_stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -38,9 +36,8 @@ def write_stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     The read-back frame is a plain parquet scan: a leaf for every downstream
     plan, with column pruning and filter pushdown, that survives executor loss.
     """
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/stages/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(path)
+    path = scratch_path(spark, f"stages/{spark.sparkContext.applicationId}/{name}")
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +25,8 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # shuffle files go when the query that made them ends; stages are written tables, nothing reads them again
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # partitioned stages (a few partition values) are written without sorting the rows first
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
     "spark.ui.enabled": "false",
 }
 
@@ -70,6 +75,32 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new folder name under ``spark.checkpoint.dir`` for a table that only this run reads."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    for paths in _SCOPES:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the scratch tables made within; what is needed afterwards must be written elsewhere by then."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

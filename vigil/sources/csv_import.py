@@ -7,7 +7,6 @@ depend on input order.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,7 @@ from vigil.functions.graphfn import ISO_OUT_FORMAT
 from vigil.functions.scalars import PY_FLOAT_RE, py_strip
 from vigil.operators.asof import asof_lookup
 from vigil.operators.sizing import materialize_dimension, written_table
-from vigil.session import ensure_checkpoint_dir
+from vigil.session import scratch_path
 
 # Fixed values (must equal the reference for identical imports).
 REGIONS = ["US-EAST", "US-WEST", "EU-WEST", "EU-NORTH", "AP-SOUTH", "AP-EAST"]
@@ -55,7 +54,7 @@ def read_csv_rows(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     width = _widest(spark, path, multi_line)
     cols = [f"c{i}" for i in range(width)]
     wide = _csv(spark, path, ", ".join(f"{c} string" for c in cols), multi_line)
-    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    target = scratch_path(spark, "csv/rows")
     (wide.select(F.array(*cols).alias("values"), F.col("_metadata.file_path").alias("file"),
                  F.col("_metadata.file_block_start").alias("split"))
      .withColumn("at", F.monotonically_increasing_id()).write.parquet(target))
