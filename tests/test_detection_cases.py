@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vigil.operators.detect import detect
-from vigil.operators.metrics import detection_metrics
+from vigil.operators.metrics import attacked_nodes, detection_metrics
 
 SCHEMA = ("log_id string, node_id string, node_name string, region string, schema_version bigint, "
           "schema_known boolean, reported_status string, http_status bigint, response_time_ms bigint, "
@@ -56,7 +56,8 @@ def test_batch_of_four(spark):
     assert (m.total_logs_processed, m.attack_count, m.high_risk_count, m.suspicious_count, m.clean_count) == (4, 1, 1, 1, 1)
     assert m.avg_response_time_ms == 2447.5
     assert m.invalid_hw_count == 1
-    assert list(m.nodes_under_attack) == ["NODE-001"]
+    assert m.nodes_under_attack == 1
+    assert [r.node_id for r in attacked_nodes(detect(df)).collect()] == ["NODE-001"]
     assert list(m.schema_versions_seen) == [1, 2, 3]
 
 

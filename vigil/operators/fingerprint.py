@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.graphfn import fingerprint_key, interval_bucket, is_common_user_agent
 from vigil.functions.scalars import py_strip
+from vigil.operators.prefix import chunked
 
 DEFAULT_MIN_FREQUENCY = 2
 DEFAULT_COMMON_UA_CUTOFF = 0.1
@@ -86,11 +87,12 @@ def cluster_members(clusters: DataFrame, usage: DataFrame) -> DataFrame:
                       "fingerprint_key")
 
 
-def with_nodes(clusters: DataFrame, members: DataFrame) -> DataFrame:
-    """Clusters with the sorted array of their nodes, for presentation."""
-    nodes = members.groupBy("fingerprint_key").agg(F.sort_array(F.collect_list("node_id")).alias("nodes"))
-    return clusters.join(nodes, "fingerprint_key", "left").withColumn(
-        "nodes", F.coalesce("nodes", F.array().cast("array<string>")))
+def with_nodes(clusters: DataFrame, members: DataFrame, size: int = 1000) -> DataFrame:
+    """Clusters with their nodes, sorted, at most ``size`` a row (``chunk`` counts a cluster's rows), for presentation."""
+    rows = chunked(members.select(F.col("fingerprint_key").alias("_key"), "node_id"), ["_key"], "node_id", size, "cluster-nodes")
+    return (clusters.join(rows, F.col("fingerprint_key") == F.col("_key"), "left").drop("_key")
+            .withColumn("chunk", F.coalesce("chunk", F.lit(0)).cast("long"))
+            .withColumn("nodes", F.coalesce("members", F.array().cast("array<string>"))).drop("members"))
 
 
 def node_fingerprint_counts(graph_logs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from vigil.functions.graphfn import iso_to_seconds, iso_utc_timestamp, normalize
 from vigil.functions.scalars import py_strip, safe_str
 from vigil.operators.indexing import dense_index
 from vigil.operators.intervals import previous_in_group
+from vigil.operators.prefix import chunked
 from vigil.operators.rules import LEVEL_RANK
 from vigil.operators.sizing import materialize_dimension
 
@@ -149,8 +150,7 @@ def graph_edges(graph_logs: DataFrame) -> DataFrame:
     """Edge table (GRF9/GRF10): count, attributes of the first log, mean latency.
 
     ``avg_response_time_ms`` is the mean of the non-negative latencies, rounded
-    to 2 places; the reference's incremental, order-dependent rounding is not
-    replayed because that needs every row of an edge in one task.
+    to 2 places; the incremental, order-dependent one is ``running_mean.edge_running_mean``.
     """
     gl = graph_logs.filter((F.col("source_node") != "") & (F.col("target_node") != ""))
     rt = F.col("response_time_ms")
@@ -192,12 +192,15 @@ def public_edges(edges: DataFrame) -> DataFrame:
     return edges.drop("_max_sev", "_max_rank")
 
 
-def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node -> sorted distinct targets; nodes without out-edges get [] (GRF15)."""
-    adj = edges.groupBy(F.col("source").alias("node_id")).agg(
-        F.sort_array(F.collect_set("target")).alias("neighbors"))
-    return nodes.select("node_id").join(adj, "node_id", "left").select(
-        "node_id", F.coalesce(F.col("neighbors"), F.array().cast("array<string>")).alias("neighbors"))
+def adjacency(edges: DataFrame, nodes: DataFrame, size: int = 1000) -> DataFrame:
+    """(node_id, chunk, neighbors): sorted distinct targets, at most ``size`` a row; nodes without out-edges get one [] (GRF15).
+
+    A hub is as many rows as its targets need, never one giant array.
+    """
+    rows = chunked(edges.select(F.col("source").alias("_source"), "target"), ["_source"], "target", size, "adjacency")
+    return nodes.select("node_id").join(rows, F.col("node_id") == F.col("_source"), "left").select(
+        "node_id", F.coalesce("chunk", F.lit(0)).cast("long").alias("chunk"),
+        F.coalesce("members", F.array().cast("array<string>")).alias("neighbors"))
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

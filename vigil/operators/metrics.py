@@ -2,9 +2,10 @@
 
 Each metric is a partial aggregate (count_if / sum / avg), so the whole
 metrics row costs one map-side combine per partition plus a one-row final
-merge.  Distinct node / version sets are returned as sorted arrays because
-they are bounded by the registry and version-table sizes; ``attacked_nodes``
-offers the table form for very large registries.
+merge.  The row holds the number of attacked nodes; the nodes themselves are a
+table (``attacked_nodes``), in arrays of a fixed size if wanted
+(``attacked_node_chunks``).  The versions seen are an array: there are as many
+as rows of the version table, which people write.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.prefix import chunked
+
 
 def percentage(count: Column, total: Column) -> Column:
     """round(count / total * 100, 2), 0.0 when total is 0 (AGG5)."""
@@ -39,7 +42,7 @@ def detection_metrics(detected: DataFrame, processed: DataFrame | None = None) -
         F.count_if(F.col("ml_detected")).alias("ml_detection_count"),
         F.coalesce(F.round(F.avg(F.when(rt != -1, rt)), 1), F.lit(0.0)).alias("avg_response_time_ms"),
         F.count_if(~F.coalesce(F.col("hardware_id_valid"), F.lit(True))).alias("invalid_hw_count"),
-        F.sort_array(F.collect_set(F.when(lvl == "ATTACK", F.col("node_id")))).alias("nodes_under_attack"),
+        F.count_distinct(F.when(lvl == "ATTACK", F.col("node_id"))).alias("nodes_under_attack"),
         F.sort_array(F.collect_set(F.when(sv != -1, sv))).alias("schema_versions_seen"),
     )
 
@@ -49,6 +52,11 @@ def attacked_nodes(detected: DataFrame) -> DataFrame:
     return detected.filter(F.col("alert_level") == "ATTACK").select("node_id").distinct()
 
 
+def attacked_node_chunks(detected: DataFrame, size: int = 1000) -> DataFrame:
+    """(chunk, members): the attacked nodes, sorted, at most ``size`` a row (AGG3, VW3)."""
+    return chunked(attacked_nodes(detected), [], "node_id", size, "attacked-nodes")
+
+
 def metrics_view(metrics: DataFrame, total_nodes: Column) -> DataFrame:
     """Metrics plus percentages and the registry size (AGG5, VW4)."""
     total = F.col("total_logs_processed")

@@ -12,7 +12,7 @@ values needs a last column that tells rows apart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators.sizing import written_table
@@ -53,3 +53,28 @@ def with_ordinal(df: DataFrame, order: list[Column | str], out: str, tag: str, p
     before = running_totals(ranged, F.count(F.lit(1)), "_before")
     return (ranged.join(before, "_part").withColumn(out, F.col("_before") + F.col("_local"))
             .drop("_part", "_local", "_before"))
+
+
+def chunked(df: DataFrame, by: list[str], value: str, size: int, tag: str) -> DataFrame:
+    """(*by, chunk, members): the distinct non-null ``value`` of each group, sorted, in arrays of at most ``size``.
+
+    Chunk numbers start at 0 in each group; members of a chunk come before those of the next.
+    """
+    placed = with_ordinal(df.select(*by, value).where(F.col(value).isNotNull()).distinct(), [*by, value], "_at", tag)
+    if by:
+        first = placed.groupBy(*by).agg(F.min("_at").alias("_first"))
+        for c in by:
+            first = first.withColumnRenamed(c, f"_by_{c}")
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        placed = placed.join(first, same).withColumn("_at", F.col("_at") - F.col("_first"))
+    return (placed.groupBy(*by, F.floor(F.col("_at") / size).cast("long").alias("chunk"))
+            .agg(F.sort_array(F.collect_list(value)).alias("members")))
+
+
+def running_in_order(df: DataFrame, order: list[Column | str], n: str, out: str, tag: str, partitions: int | None = None) -> DataFrame:
+    """``df`` (rows distinct in ``order``) with ``out``: the sum of ``n`` over the rows before, written."""
+    ranged = in_ranges(df, order, tag, partitions)
+    before = running_totals(ranged, F.sum(n), "_before")
+    inside = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
+    out_col = F.col("_before") + F.coalesce(F.sum(n).over(inside), F.lit(0))
+    return written_table(ranged.join(before, "_part").withColumn(out, out_col).drop("_part", "_local", "_before"), f"{tag}-sums")

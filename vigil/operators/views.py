@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.prefix import running_in_order
+
 LEVELS = ("ATTACK", "HIGH_RISK", "SUSPICIOUS", "CLEAN")
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 500
 PAGE_MAX_LIMIT = 100
 SEARCH_PAGE_ROWS = 50
+PAGE_BLOCK = 4096  # input rows whose alerts of one severity are counted together
 
 
 def _clamp(value: int, lo: int, hi: int) -> int:
@@ -58,16 +61,43 @@ def alert_envelope(alerts: DataFrame, level: str | None = None, region: str | No
     return listed.select("total", F.lit(k).alias("limit"), last_generated(alerts).scalar().alias("last_generated"))
 
 
+def page_ranks(alerts: DataFrame) -> DataFrame:
+    """(severity_score, block, n, before): alerts per severity and block of ``seq``, and those listed before them.
+
+    The order is severity desc, ``seq`` asc.  A row per severity and PAGE_BLOCK
+    of input, made in one pass; any page of the same alerts can then be found.
+    """
+    counts = alerts.groupBy("severity_score", F.floor(F.col("seq") / PAGE_BLOCK).alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    return running_in_order(counts, [F.desc("severity_score"), F.asc("block")], "n", "before", "page-ranks")
+
+
+def page_rows(alerts: DataFrame, ranks: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` .. ``offset + limit - 1`` of the listing, read from the blocks that hold them.
+
+    At most ``limit`` blocks overlap a page, and at most PAGE_BLOCK rows of the
+    first are skipped, however deep the page lies.
+    """
+    blocks = ranks.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).orderBy("before").collect()
+    if not blocks:
+        return alerts.limit(0)
+    seq, inside = F.col("seq"), F.lit(False)
+    for b in blocks:
+        inside = inside | ((F.col("severity_score") == b["severity_score"]) & (seq >= b["block"] * PAGE_BLOCK) & (seq < (b["block"] + 1) * PAGE_BLOCK))
+    return alerts.where(inside).orderBy(F.desc("severity_score"), F.asc("seq")).offset(offset - blocks[0]["before"]).limit(limit)
+
+
 def alert_page(alerts: DataFrame, level: str | None = None, region: str | None = None,
-               node_id: str | None = None, page: int = 1, limit: int = 50) -> DataFrame:
-    """Page of alerts ordered by severity desc (stable), with the pre-paging total (VW2)."""
+               node_id: str | None = None, page: int = 1, limit: int = 50, ranks: DataFrame | None = None) -> DataFrame:
+    """Page of alerts ordered by severity desc (stable), with the pre-paging total (VW2).
+
+    ``ranks``: ``page_ranks`` of the filtered alerts, kept by who reads several pages; made here otherwise.
+    """
     lim = _clamp(limit, 1, PAGE_MAX_LIMIT)
     pg = max(int(page), 1)
     filtered = filter_alerts(alerts, level, region, node_id)
-    total = filtered.agg(F.count(F.lit(1))).scalar()
-    order = [F.desc("severity_score"), F.asc("seq")]
-    rows = filtered.orderBy(*order).offset((pg - 1) * lim).limit(lim)
-    return rows.select("*", F.lit(pg).alias("page"), F.lit(lim).alias("limit"), total.alias("total"))
+    ranks = page_ranks(filtered) if ranks is None else ranks
+    total = ranks.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return page_rows(filtered, ranks, (pg - 1) * lim, lim).select("*", F.lit(pg).alias("page"), F.lit(lim).alias("limit"), total.alias("total"))
 
 
 def alerts_after(alerts: DataFrame, after: tuple[int, int] | None = None, limit: int = 50) -> DataFrame:
@@ -88,7 +118,7 @@ def critical_alerts(alerts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def summary(metrics_row: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row: the figures of the metrics view, the top critical alerts (at most five) with their count, attacked nodes (VW3)."""
+    """One row: the figures of the metrics view, the top critical alerts (at most five) with their count, number of attacked nodes (VW3)."""
     top = F.sort_array(F.collect_list(F.struct("rank", "log_id", "node_id", "alert_level", "severity_score", "timestamp")))
     critical = critical_alerts(alerts).agg(top.alias("critical_alerts"))
     return metrics_row.select(
@@ -107,10 +137,9 @@ def search_alerts(alerts: DataFrame, query: str) -> DataFrame:
     return alerts.filter(hit)
 
 
-def search_page(found: DataFrame, page: int = 1, rows: int = SEARCH_PAGE_ROWS) -> DataFrame:
-    """One 50-row page of search hits, severity desc then input order (VW5)."""
-    pg = max(int(page), 1)
-    return found.orderBy(F.desc("severity_score"), F.asc("seq")).offset((pg - 1) * rows).limit(rows)
+def search_page(found: DataFrame, page: int = 1, rows: int = SEARCH_PAGE_ROWS, ranks: DataFrame | None = None) -> DataFrame:
+    """One 50-row page of search hits, severity desc then input order (VW5); ``ranks`` as in ``alert_page``."""
+    return page_rows(found, page_ranks(found) if ranks is None else ranks, (max(int(page), 1) - 1) * rows, rows)
 
 
 def latest_per_node(alerts: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -277,8 +277,7 @@ SELECT count(*) AS total_logs_processed, count(*) AS total_alerts, CAST(0 AS BIG
        coalesce(round(avg(CASE WHEN response_time_ms <> -1 THEN response_time_ms END), 1), 0.0)
          AS avg_response_time_ms,
        count(*) FILTER (WHERE NOT hardware_id_valid) AS invalid_hw_count,
-       coalesce(string_agg(DISTINCT CASE WHEN alert_level = 'ATTACK' THEN node_id END, ',' ORDER BY
-         CASE WHEN alert_level = 'ATTACK' THEN node_id END), '') AS nodes_under_attack,
+       count(DISTINCT CASE WHEN alert_level = 'ATTACK' THEN node_id END) AS nodes_under_attack,
        coalesce(string_agg(DISTINCT CAST(CASE WHEN schema_version <> -1 THEN schema_version END AS VARCHAR), ','
          ORDER BY CAST(CASE WHEN schema_version <> -1 THEN schema_version END AS VARCHAR)), '')
          AS schema_versions_seen
@@ -335,8 +334,7 @@ SELECT count(*) AS total_logs, count(*) AS total_alerts,
        round(count(*) FILTER (WHERE alert_level <> 'CLEAN') / count(*) * 100, 2) AS threat_percentage,
        (SELECT count(*) FROM reg) AS total_nodes, (SELECT count(*) FROM top) AS critical_count,
        (SELECT coalesce(string_agg(log_id, ',' ORDER BY rank), '') FROM top) AS critical_log_ids,
-       (SELECT coalesce(string_agg(node_id, ',' ORDER BY node_id), '')
-        FROM (SELECT DISTINCT node_id FROM detected WHERE alert_level = 'ATTACK')) AS nodes_under_attack
+       count(DISTINCT node_id) FILTER (WHERE alert_level = 'ATTACK') AS nodes_under_attack
 FROM detected"""),
     "attacked_nodes": _q("SELECT DISTINCT node_id FROM detected WHERE alert_level = 'ATTACK'"),
     "graph_logs_explicit": _q("""
@@ -405,8 +403,39 @@ SELECT source, target, count, weight, interval, user_agent, headers, avg_respons
     "graph_nodes": _q("SELECT id, node_id, out_degree, centrality, severity_score, node_type FROM nodes",
                       BASE + GRAPH),
     "adjacency": _q("""
-SELECT n.node_id, coalesce(string_agg(e.target, ',' ORDER BY e.target), '') AS neighbors
-FROM nodes n LEFT JOIN edges e ON n.node_id = e.source GROUP BY n.node_id""", BASE + GRAPH),
+SELECT n.node_id, coalesce(e.chunk, 0) AS chunk, coalesce(string_agg(e.target, ',' ORDER BY e.target), '') AS neighbors
+FROM nodes n LEFT JOIN (SELECT source, target, (row_number() OVER (PARTITION BY source ORDER BY target) - 1) // 16 AS chunk FROM edges) e
+     ON n.node_id = e.source GROUP BY n.node_id, e.chunk""", BASE + GRAPH),
+    "attacked_node_chunks": _q("""
+SELECT chunk, string_agg(node_id, ',' ORDER BY node_id) AS members
+FROM (SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1) // 10 AS chunk
+      FROM (SELECT DISTINCT node_id FROM detected WHERE alert_level = 'ATTACK')) GROUP BY chunk"""),
+    "edge_running_mean": "WITH RECURSIVE " + BASE + GRAPH + """,
+step AS (
+  SELECT source_node AS source, target_node AS target, response_time_ms AS rt,
+         row_number() OVER (PARTITION BY source_node, target_node ORDER BY seq) AS k FROM graph_logs),
+fold(source, target, k, mean) AS (
+  SELECT source, target, CAST(0 AS BIGINT), CAST(0.0 AS DOUBLE) FROM edges
+  UNION ALL
+  SELECT f.source, f.target, s.k, CASE WHEN s.rt >= 0 THEN CAST(printf('%.2f', (f.mean * (s.k - 1) + s.rt) / s.k) AS DOUBLE) ELSE f.mean END
+  FROM fold f JOIN step s ON s.source = f.source AND s.target = f.target AND s.k = f.k + 1)
+SELECT e.source, e.target, e.count, f.mean AS running_mean, e.avg_response_time_ms
+FROM edges e JOIN fold f ON f.source = e.source AND f.target = e.target AND f.k = e.count""",
+    "alert_page_deep": _q("""
+SELECT log_id, alert_level, severity_score, 91 AS page, 7 AS limit, count(*) OVER () AS total FROM detected
+QUALIFY row_number() OVER (ORDER BY severity_score DESC, seq ASC) BETWEEN 631 AND 637"""),
+    "asof_scan": """
+WITH b AS (SELECT s_suppkey * 97 AS start, CAST(s_nationkey AS BIGINT) AS nation FROM supplier)
+SELECT e.event_id, coalesce(b.nation, (SELECT arg_min(nation, start) FROM b)) AS nation
+FROM events e ASOF LEFT JOIN b ON e.event_id >= b.start""",
+    "stage_round_trip": _q("""
+, faulty AS (
+  SELECT event_id % 97 = 5 OR event_id % 101 = 7 OR (event_id % 89 = 3 AND mapped) AS dropped
+  FROM raw JOIN ev ON event_id = seq)
+SELECT alert_level AS item, count(*) AS n, CAST(sum(severity_score) AS BIGINT) AS severity FROM detected GROUP BY alert_level
+UNION ALL SELECT 'total_rows', count(*), NULL FROM faulty
+UNION ALL SELECT 'valid_rows', count(*) FILTER (WHERE NOT dropped), NULL FROM faulty
+UNION ALL SELECT 'dropped_rows', count(*) FILTER (WHERE dropped), NULL FROM faulty"""),
     "graph_summary": _q("SELECT (SELECT count(*) FROM nodes) AS total_nodes, count(*) AS total_edges FROM edges",
                         BASE + GRAPH),
     "degree_histogram": _q("""
@@ -414,7 +443,7 @@ SELECT CASE WHEN out_degree < 5 THEN '1-5' WHEN out_degree < 10 THEN '5-10' WHEN
             WHEN out_degree < 50 THEN '20-50' ELSE '50+' END AS bucket, count(*) AS nodes
 FROM nodes GROUP BY 1""", BASE + GRAPH),
     "fingerprints": _q("""
-SELECT fingerprint_id, fingerprint_key, occurrences, nodes, headers, user_agent, interval_bucket, confidence
+SELECT fingerprint_id, fingerprint_key, occurrences, CAST(0 AS BIGINT) AS chunk, nodes, headers, user_agent, interval_bucket, confidence
 FROM clusters""", BASE + GRAPH + FINGERPRINT),
     "cluster_members": _q("""
 SELECT c.fingerprint_id, m.node_id, c.occurrences, c.confidence

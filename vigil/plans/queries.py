@@ -83,8 +83,7 @@ def rule_hits(spark, sf_dir) -> DataFrame:
 def detection_metrics(spark, sf_dir) -> DataFrame:
     m = _one_pass(spark, sf_dir).metrics
     return m.select(
-        *[c for c in m.columns if c not in ("nodes_under_attack", "schema_versions_seen")],
-        F.array_join("nodes_under_attack", ",").alias("nodes_under_attack"),
+        *[c for c in m.columns if c != "schema_versions_seen"],
         F.array_join(F.transform("schema_versions_seen", lambda v: v.cast("string")), ",")
         .alias("schema_versions_seen"))
 
@@ -136,9 +135,8 @@ def summary_view(spark, sf_dir) -> DataFrame:
     st = _s(spark, sf_dir)
     total_nodes = st.telemetry.registry.agg(F.count(F.lit(1))).scalar()
     out = vw.summary(metrics_view(st.metrics, total_nodes), st.alerts)
-    return out.select(*[c for c in out.columns if c not in ("critical_alerts", "nodes_under_attack")],
-                      F.array_join(F.transform("critical_alerts", lambda x: x["log_id"]), ",").alias("critical_log_ids"),
-                      F.array_join("nodes_under_attack", ",").alias("nodes_under_attack"))
+    return out.select(*[c for c in out.columns if c != "critical_alerts"],
+                      F.array_join(F.transform("critical_alerts", lambda x: x["log_id"]), ",").alias("critical_log_ids"))
 
 
 def attacked_nodes(spark, sf_dir) -> DataFrame:
@@ -229,8 +227,61 @@ def graph_nodes(spark, sf_dir) -> DataFrame:
 
 def adjacency(spark, sf_dir) -> DataFrame:
     st = _s(spark, sf_dir)
-    adj = grf.adjacency(st.edges, st.nodes)
-    return adj.select("node_id", F.array_join("neighbors", ",").alias("neighbors"))
+    adj = grf.adjacency(st.edges, st.nodes, size=16)
+    return adj.select("node_id", "chunk", F.array_join("neighbors", ",").alias("neighbors"))
+
+
+def attacked_node_chunks(spark, sf_dir) -> DataFrame:
+    from vigil.operators.metrics import attacked_node_chunks as chunks
+    return chunks(_s(spark, sf_dir).detected, size=10).select("chunk", F.array_join("members", ",").alias("members"))
+
+
+def edge_running_mean(spark, sf_dir) -> DataFrame:
+    """The running mean of every edge beside the plain one."""
+    from vigil.operators.running_mean import edge_running_mean as running
+    st = _s(spark, sf_dir)
+    plain = st.edges.select("source", "target", "avg_response_time_ms")
+    return running(st.graph_logs).join(plain, ["source", "target"])
+
+
+def alert_page_deep(spark, sf_dir) -> DataFrame:
+    """A page far down the listing of all alerts."""
+    return vw.alert_page(_s(spark, sf_dir).alerts, page=91, limit=7).select("log_id", "alert_level", "severity_score", "page", "limit", "total")
+
+
+def asof_scan(spark, sf_dir) -> DataFrame:
+    """Every event's latest boundary at or before its number, over as many boundaries as suppliers."""
+    from vigil.operators.asof import asof_lookup
+    starts = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        (F.col("s_suppkey") * 97).alias("start"), F.col("s_nationkey").cast("long").alias("nation"), F.col("s_suppkey").alias("seq"))
+    keys = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    return asof_lookup(keys, "event_id", starts, "start", "nation", "nation", default=-1, few=0)
+
+
+def _faulty_logs(st):
+    """Telemetry logs, some with a blank id or an infinite latency: rows that normalization drops."""
+    s = F.col("seq")
+    endless = F.transform_values("fields", lambda k, v: F.when(k.isin("latency", "response_ms") & (s % 89 == 3), F.lit("inf")).otherwise(v))
+    return (st.telemetry.logs.withColumn("log_id", F.when(s % 97 == 5, F.lit("  ")).otherwise(F.col("log_id")))
+            .withColumn("node_id", F.when(s % 101 == 7, F.lit(None)).otherwise(F.col("node_id"))).withColumn("fields", endless))
+
+
+def stage_round_trip(spark, sf_dir) -> DataFrame:
+    """The alerts written as a stage, replaced by a second version and read back by level; integrity counts of the written logs."""
+    from vigil.operators.normalize import normalize
+    from vigil.plans.pipeline import integrity_counts
+    from vigil.session import scratch_path
+    from vigil.sources.sinks import read_stage, release, write_stage
+    st, root = _s(spark, sf_dir), scratch_path(spark, "round-trip")
+    write_stage(st.alerts.where("alert_level = 'ATTACK'"), root, "alerts")
+    write_stage(st.alerts, root, "alerts")
+    release(spark, root, "alerts")
+    marked = normalize(_faulty_logs(st), st.telemetry.registry, st.telemetry.schema_versions).marked
+    write_stage(marked, root, "normalized_logs", counted=True)
+    levels = read_stage(spark, root, "alerts", require_rows=True).groupBy(F.col("alert_level").alias("item")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("severity_score").cast("long").alias("severity"))
+    counts = integrity_counts(spark, root).unpivot([], ["total_rows", "valid_rows", "dropped_rows"], "item", "n")
+    return levels.unionByName(counts.select("item", "n", F.lit(None).cast("long").alias("severity")))
 
 
 def graph_summary(spark, sf_dir) -> DataFrame:
@@ -245,7 +296,7 @@ def degree_histogram(spark, sf_dir) -> DataFrame:
 def fingerprints(spark, sf_dir) -> DataFrame:
     st = _s(spark, sf_dir)
     c = fpr.with_nodes(st.clusters, st.members)
-    return c.select("fingerprint_id", "fingerprint_key", "occurrences", F.array_join("nodes", ",").alias("nodes"),
+    return c.select("fingerprint_id", "fingerprint_key", "occurrences", "chunk", F.array_join("nodes", ",").alias("nodes"),
                     F.array_join("headers", ",").alias("headers"), "user_agent", "interval_bucket", "confidence")
 
 
@@ -324,6 +375,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_edges": graph_edges,
     "graph_nodes": graph_nodes,
     "adjacency": adjacency,
+    "attacked_node_chunks": attacked_node_chunks,
+    "edge_running_mean": edge_running_mean,
+    "alert_page_deep": alert_page_deep,
+    "asof_scan": asof_scan,
+    "stage_round_trip": stage_round_trip,
     "graph_summary": graph_summary,
     "degree_histogram": degree_histogram,
     "fingerprints": fingerprints,
@@ -410,11 +466,10 @@ def anomaly_levels(spark, sf_dir) -> DataFrame:
 
 
 def infection_scores(spark, sf_dir) -> DataFrame:
-    """Boosted-tree infection probability per node, blended into the attribution score."""
-    from vigil.operators.infection_model import fit_infection_model, infection_probability, training_frame
+    """Boosted-tree infection probability per node, out of fold, blended into the attribution score."""
+    from vigil.operators.infection_model import out_of_fold_probability
     st = _s(spark, sf_dir)
-    model = fit_infection_model(training_frame(st.detected, st.telemetry.registry))
-    probs = infection_probability(model, st.detected)
+    probs = out_of_fold_probability(st.detected, st.telemetry.registry)
     cands = att.candidates(st.nodes, st.edges, st.members, ml_probability=probs)
     return cands.select("node_id", F.round("ml_probability", 4).alias("ml_probability"), "score",
                         F.array_join("reasons", SEP).alias("reasons"))
