@@ -129,3 +129,21 @@ def test_every_tree_is_full_and_layout_does_not_matter(spark):
     other = fit_isolation_forest(df.repartition(7, "response_time_ms"), n_trees=40, seed=3).trees
     key = ["tree", "node"]
     assert one.sort_values(key).reset_index(drop=True).equals(other.sort_values(key).reset_index(drop=True))
+
+
+@pytest.mark.parametrize("layout", ["ndjson", "array"])
+def test_path_order_decides_which_row_is_last(spark, tmp_path, layout):
+    """Files of unequal size: Spark packs the largest first, the order of the paths counts."""
+    from vigil.operators.normalize import registry_lookup
+    from vigil.sources.json_source import read_json_records, registry_from_records
+    rows = {"a.json": [{"node_id": "N1", "region": "OLD"}],
+            "b.json": [{"node_id": f"X{k}", "region": "r" * 200} for k in range(300)] + [{"node_id": "N1", "region": "NEW"}],
+            "c.json": [{"node_id": "Z"}]}
+    for name, records in rows.items():
+        text = "\n\n".join(json.dumps(r) for r in records) + "\n" if layout == "ndjson" else json.dumps(records)
+        (tmp_path / name).write_text(text)
+    records = read_json_records(spark, str(tmp_path), layout)
+    got = [r.id for r in records.orderBy("seq").select(F.col("record")["node_id"].alias("id")).collect()]
+    assert got == [r["node_id"] for name in sorted(rows) for r in rows[name]]
+    last = registry_lookup(registry_from_records(records)).where("node_id = 'N1'").first()
+    assert last.region == "NEW"

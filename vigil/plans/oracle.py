@@ -8,10 +8,11 @@ stages are CTE blocks; each query is ``WITH <blocks> SELECT ...``.
 
 from __future__ import annotations
 
-from vigil.functions.hardware import MALICIOUS_KEYWORDS
+# The keywords, in the order in which they are tried.
+_KEYWORDS = ("MALWARE", "PAYLOAD", "EXPLOIT", "INJECT", "SHELL", "CMD", "EXEC", "BACKDOOR", "ROOTKIT", "TROJAN", "RANSOMWARE", "KEYLOG")
 
 _KW_CASE = "CASE " + " ".join(
-    f"WHEN contains(upper(hw_text), '{k}') THEN '{k}'" for k in MALICIOUS_KEYWORDS) + " END"
+    f"WHEN contains(upper(hw_text), '{k}') THEN '{k}'" for k in _KEYWORDS) + " END"
 
 BASE = f"""
 ev AS (
@@ -424,6 +425,14 @@ FROM edges e JOIN fold f ON f.source = e.source AND f.target = e.target AND f.k
     "alert_page_deep": _q("""
 SELECT log_id, alert_level, severity_score, 91 AS page, 7 AS limit, count(*) OVER () AS total FROM detected
 QUALIFY row_number() OVER (ORDER BY severity_score DESC, seq ASC) BETWEEN 631 AND 637"""),
+    "validated_records": _q("""
+SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, CASE WHEN seq % 50 <> 2 THEN log_id END AS log_id,
+       CASE WHEN seq % 50 > 2 THEN CAST(schema_version AS VARCHAR) END AS schema_version,
+       CASE seq % 50 WHEN 0 THEN 'schema_version' WHEN 2 THEN 'log_id,node_id,schema_version' ELSE '' END AS missing
+FROM raw"""),
+    "loaded_levels": _q("""
+SELECT region, alert_level, count(*) AS alerts, CAST(sum(severity_score) AS BIGINT) AS severity_sum FROM detected
+GROUP BY region, alert_level"""),
     "asof_scan": """
 WITH b AS (SELECT s_suppkey * 97 AS start, CAST(s_nationkey AS BIGINT) AS nation FROM supplier)
 SELECT e.event_id, coalesce(b.nation, (SELECT arg_min(nation, start) FROM b)) AS nation

@@ -442,7 +442,40 @@ def csv_log_rows(spark, sf_dir) -> DataFrame:
     return named(read_csv_rows(spark, log_csv_file(spark, sf_dir)), cols).select("seq", *cols)
 
 
+def validated_records(spark, sf_dir) -> DataFrame:
+    """The logs written as NDJSON and read back: order, kept records, rejected ones with the keys they lack."""
+    from vigil.session import scratch_path
+    from vigil.sources import json_shapes as shapes
+    from vigil.sources import json_source as js
+    path = scratch_path(spark, "json/logs")
+    shapes.log_files(_one_pass(spark, sf_dir).telemetry.logs, path)
+    records = js.read_json_records(spark, path, layout="ndjson")
+    kept = js.validate_records(records, js.REQUIRED_LOG_KEYS).select(
+        "seq", F.col("record")["log_id"].alias("log_id"), F.col("record")["schema_version"].alias("schema_version"), F.lit("").alias("missing"))
+    rejected = js.rejected_records(records, js.REQUIRED_LOG_KEYS).select(
+        "seq", F.col("record")["log_id"].alias("log_id"), F.lit(None).cast("string").alias("schema_version"),
+        F.array_join("missing_keys", ",").alias("missing"))
+    return kept.unionByName(rejected)
+
+
+def loaded_levels(spark, sf_dir) -> DataFrame:
+    """The three tables written as JSON files, loaded together, normalized and scored: alerts per region and level."""
+    from vigil.operators.detect import detect
+    from vigil.operators.normalize import normalize
+    from vigil.session import scratch_path
+    from vigil.sources import json_shapes as shapes
+    from vigil.sources.json_source import load_all
+    t, root = _one_pass(spark, sf_dir).telemetry, scratch_path(spark, "json/tables")
+    shapes.log_files(t.logs, f"{root}/system_logs.json", whole=True)
+    shapes.registry_files(t.registry, f"{root}/node_registry.json")
+    shapes.version_files(t.schema_versions, f"{root}/schema_versions.json")
+    d = detect(normalize(*load_all(spark, root, layout="ndjson")).logs)
+    return d.groupBy("region", "alert_level").agg(F.count(F.lit(1)).alias("alerts"), F.sum("severity_score").cast("bigint").alias("severity_sum"))
+
+
 QUERIES.update({
+    "validated_records": validated_records,
+    "loaded_levels": loaded_levels,
     "csv_registry_rows": csv_registry_rows,
     "csv_log_rows": csv_log_rows,
     "imported_registry": imported_registry,

@@ -4,11 +4,14 @@ Rows are read as ``map<string,string>`` so *key presence* survives: a key
 present with a null value is kept (and later defaulted), a missing key
 rejects the row.  Two layouts:
 
-* NDJSON (one object per line) -- splittable, the layout to use at scale;
+* NDJSON (one object per line, blank lines skipped) -- splittable, the layout to use at scale;
 * a single JSON array per file (the reference's layout) -- read as one
   VARIANT per file, cast to ``array<variant>`` and exploded; each file is one
   task, which is inherent to the array format.
 
+``seq`` follows the order of the file paths and of the records in a file, so
+"last one wins" means the same for any layout of the scan.
+
 A missing path, unparsable JSON or a non-array document yields an empty
 table, as in the reference.
 """
@@ -19,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from vigil.operators.prefix import running_in_order, with_ordinal
+from vigil.operators.sizing import written_table
 from vigil.sources.telemetry import RAW_LOG_SCHEMA
 
 # Required keys per dataset.
@@ -37,8 +42,7 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "array") ->
     """(seq, record map<string,string>) per JSON object; non-objects give a NULL record."""
     try:
         if layout == "ndjson":
-            lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-            return lines.select("seq", F.from_json("value", "map<string,string>").alias("record"))
+            return _numbered_lines(spark.read.text(path)).select("seq", F.from_json("value", "map<string,string>").alias("record"))
         docs = (spark.read.option("multiLine", "true").option("singleVariantColumn", "v")
                 .option("mode", "PERMISSIVE").json(path))
         if "v" not in docs.columns:
@@ -47,9 +51,8 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "array") ->
                 .withColumn("_arr", F.col("v").try_cast("array<variant>"))
                 .filter(F.col("_arr").isNotNull()))  # non-array documents -> no rows
         exploded = docs.select("_file", F.posexplode("_arr").alias("pos", "value"))
-        # file rank (a table of file names) x 2^40 + position inside the array
-        files = sorted(r["_file"] for r in docs.select("_file").distinct().collect())  # a file is a task of its own
-        ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files, 1)], "_file string, _frank bigint")
+        # file rank (a row per file) x 2^40 + position inside the array; a file is a task of its own
+        ranks = with_ordinal(docs.select("_file").distinct(), ["_file"], "_frank", "json-files")
         exploded = exploded.join(ranks, "_file")
         seq = F.col("_frank") * F.lit(1 << 40) + F.col("pos")
         return exploded.select(seq.alias("seq"), F.from_json(F.to_json("value"), "map<string,string>")
@@ -60,6 +63,19 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "array") ->
         return _empty(spark)
 
 
+def _numbered_lines(lines: DataFrame) -> DataFrame:
+    """(seq, value) of a text scan: the place of each line over all files in path order.
+
+    The lines are written once.  A line's place is its place in its split of a
+    file plus the lines of the splits before, a running sum with a row per split.
+    """
+    rows = written_table(lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                                      F.monotonically_increasing_id().alias("at")).where("trim(value) <> ''"), "json/lines")
+    splits = rows.groupBy("file", "split").agg(F.min("at").alias("first"), (F.max("at") - F.min("at") + 1).alias("n"))
+    splits = running_in_order(splits, ["file", "split"], "n", "before", "json/splits")
+    return rows.join(splits, ["file", "split"]).select((F.col("before") + F.col("at") - F.col("first")).alias("seq"), "value")
+
+
 def validate_records(records: DataFrame, required: list[str]) -> DataFrame:
     """Rows that are objects holding every required key (SRC4)."""
     keys = F.array(*[F.lit(k) for k in required])
