@@ -147,3 +147,18 @@ def test_path_order_decides_which_row_is_last(spark, tmp_path, layout):
     assert got == [r["node_id"] for name in sorted(rows) for r in rows[name]]
     last = registry_lookup(registry_from_records(records)).where("node_id = 'N1'").first()
     assert last.region == "NEW"
+
+
+def test_forest_as_an_expression_scores_alike(spark):
+    from vigil.operators.anomaly import fit_isolation_forest, forest_of
+    from vigil.plans.queries import SMALL_FOREST
+    rows = [(i, [200, 404, 500, -1][i % 4], (i * 37) % 4000, str(i % 5) if i % 3 else None, "x") for i in range(900)]
+    df = spark.createDataFrame(rows, "seq bigint, http_status bigint, response_time_ms bigint, load_val string, L_V1 string")
+    for model in (forest_of(SMALL_FOREST, 256), fit_isolation_forest(df, n_trees=6, sample_size=64, seed=5)):
+        plan = model.score_in_plan(df)
+        assert "Python" not in plan._jdf.queryExecution().toString()
+        own = {r.seq: r.anomaly_score for r in plan.collect()}
+        udf = {r.seq: r.anomaly_score for r in model.score(df).collect()}
+        assert own.keys() == udf.keys() and all(abs(own[k] - udf[k]) < 1e-12 for k in own)
+    with pytest.raises(ValueError):
+        fit_isolation_forest(df, n_trees=60, sample_size=256, seed=5).score_in_plan(df)

@@ -13,7 +13,8 @@ Distribution:
   ``sample_size`` lowest -- bounded groups, the same for any file layout;
 * growing: ``groupBy(tree).applyInPandas`` -- one small group per tree;
 * scoring: the fitted trees (a few thousand numbers) are broadcast and an
-  Arrow ``pandas_udf`` scores each batch; no row leaves its partition.
+  Arrow ``pandas_udf`` scores each batch; no row leaves its partition.  A small
+  forest can be scored as a column expression instead (``score_in_plan``).
 """
 
 from __future__ import annotations
@@ -121,6 +122,37 @@ class IsolationForestModel:
         return df.withColumn("anomaly_score", iforest_score(*feats))
 
 
+    def path_length(self) -> Column:
+        """Mean path length over the trees as one expression of the model features: a CASE per tree."""
+        feats, total = feature_columns(), F.lit(0.0)
+        for _, tree in self.trees.groupby("tree"):
+            rows = {int(r.node): r for r in tree.itertuples(index=False)}
+
+            def walk(node: int, rows=rows) -> Column:
+                r = rows[node]
+                if r.feature < 0:
+                    return F.lit(float(r.depth) + average_path(float(r.size)))
+                return F.when(feats[int(r.feature)] < float(r.threshold), walk(int(r.left))).otherwise(walk(int(r.right)))
+            total = total + walk(0)
+        return total / max(self.trees["tree"].nunique(), 1)
+
+    def score_in_plan(self, df: DataFrame, max_nodes: int = 2000) -> DataFrame:
+        """``score`` without Python workers: the forest as a column expression, for forests of at most ``max_nodes`` nodes.
+
+        Larger ones would not fit generated code; ``score`` takes them.
+        """
+        if len(self.trees) > max_nodes:
+            raise ValueError(f"{len(self.trees)} nodes: a forest of more than {max_nodes} is scored by score()")
+        norm = average_path(self.sample_size)
+        return df.withColumn("anomaly_score", -F.pow(F.lit(2.0), -self.path_length() / norm) if norm > 0 else F.lit(-1.0))
+
+
+def forest_of(rows: list[tuple], sample_size: int) -> IsolationForestModel:
+    """A forest from (tree, node, feature, threshold, left, right, size, depth) rows; feature -1 marks a leaf."""
+    names = [c.split()[0] for c in TREE_SCHEMA.split(", ")]
+    return IsolationForestModel(pd.DataFrame(rows, columns=names), sample_size)
+
+
 def _drawn(hashed: Column, share: float) -> Column:
     """Whether a 64-bit hash lies in the lowest ``share`` of its range."""
     return hashed < F.lit(int(-2**63 + share * 2**64)) if share < 1 else F.lit(True)

@@ -503,6 +503,34 @@ _LATEST = """, latest AS (SELECT * FROM detected
 for _k in ("latency_top10", "status_class_4xx"):
     ORACLE[_k] = ORACLE[_k].replace("\nWITH_LATEST", _LATEST)
 
+FOREST = BASE + """,
+x AS (SELECT *, CAST(http_status AS DOUBLE) AS h, CAST(response_time_ms AS DOUBLE) AS rt FROM detected),
+c(n, v) AS (SELECT n, CASE WHEN n < 2 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2 * (ln(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n END
+            FROM (VALUES (1), (2), (4), (6), (20), (200), (240), (250), (256)) t(n)),
+p AS (SELECT *, (CASE WHEN h < 400 THEN 1 + (SELECT v FROM c WHERE n = 200) WHEN rt < 1500 THEN 2 + (SELECT v FROM c WHERE n = 20) ELSE 2.0 END
+  + CASE WHEN rt < 2500 THEN 1 + (SELECT v FROM c WHERE n = 250) WHEN h < 450 THEN 2 + (SELECT v FROM c WHERE n = 4) ELSE 2.0 END
+  + CASE WHEN h < 0 THEN 1 + (SELECT v FROM c WHERE n = 6) WHEN rt < 2900 THEN 2 + (SELECT v FROM c WHERE n = 240) ELSE 3.0 END) / 3 AS path FROM x),
+scored AS (SELECT *, -pow(2, -path / (SELECT v FROM c WHERE n = 256)) AS score FROM p),
+ml AS (SELECT *, CASE WHEN score <= -0.65 THEN 'ml_anomaly_critical' WHEN score <= -0.62 THEN 'ml_anomaly_high'
+                      WHEN score <= -0.56 THEN 'ml_anomaly_suspicious' ELSE 'none' END AS ml_rule FROM scored),
+final AS (SELECT *, CASE WHEN alert_level = 'ATTACK' OR ml_rule = 'ml_anomaly_critical' THEN 'ATTACK'
+                         WHEN alert_level = 'HIGH_RISK' OR ml_rule = 'ml_anomaly_high' THEN 'HIGH_RISK'
+                         WHEN alert_level = 'SUSPICIOUS' OR ml_rule = 'ml_anomaly_suspicious' THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS level,
+                 CASE ml_rule WHEN 'ml_anomaly_critical' THEN 20 WHEN 'ml_anomaly_high' THEN 12 WHEN 'ml_anomaly_suspicious' THEN 6 ELSE 0 END
+                   AS ml_bonus FROM ml)
+"""
+
+ORACLE.update({
+    "small_forest_levels": "WITH " + FOREST + """
+SELECT level AS alert_level, ml_rule, count(*) AS alerts, round(min(score), 6) AS min_score,
+       CAST(sum(least(CASE level WHEN 'ATTACK' THEN 80 WHEN 'HIGH_RISK' THEN 50 WHEN 'SUSPICIOUS' THEN 25 ELSE 0 END + bonus + ml_bonus, 100))
+            AS BIGINT) AS severity_sum
+FROM final GROUP BY level, ml_rule""",
+    "small_forest_split": "WITH " + FOREST + """
+SELECT count(*) FILTER (WHERE ml_rule <> 'none') AS ml_detections, count(*) FILTER (WHERE ml_rule = 'none') AS rule_detections,
+       round(count(*) FILTER (WHERE ml_rule <> 'none') / count(*) * 100, 2) AS ml_rate_pct FROM final""",
+})
+
 IMPORT = """
 ev AS (
   SELECT event_id, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k

@@ -508,7 +508,40 @@ def infection_scores(spark, sf_dir) -> DataFrame:
                         F.array_join("reasons", SEP).alias("reasons"))
 
 
+#: Three small trees over http status (0) and latency (1): tree, node, feature, threshold, left, right, rows, depth.
+SMALL_FOREST = [
+    (0, 0, 0, 400.0, 1, 2, 256, 0), (0, 1, -1, 0.0, -1, -1, 200, 1), (0, 2, 1, 1500.0, 3, 4, 56, 1),
+    (0, 3, -1, 0.0, -1, -1, 20, 2), (0, 4, -1, 0.0, -1, -1, 1, 2),
+    (1, 0, 1, 2500.0, 1, 2, 256, 0), (1, 1, -1, 0.0, -1, -1, 250, 1), (1, 2, 0, 450.0, 3, 4, 6, 1),
+    (1, 3, -1, 0.0, -1, -1, 4, 2), (1, 4, -1, 0.0, -1, -1, 1, 2),
+    (2, 0, 0, 0.0, 1, 2, 256, 0), (2, 1, -1, 0.0, -1, -1, 6, 1), (2, 2, 1, 2900.0, 3, 4, 250, 1),
+    (2, 3, -1, 0.0, -1, -1, 240, 2), (2, 4, -1, 0.0, -1, -1, 2, 2),
+]
+
+
+def _forest_scored(spark, sf_dir) -> DataFrame:
+    from vigil.operators.anomaly import forest_of
+    from vigil.operators.detect import detect
+    return detect(forest_of(SMALL_FOREST, 256).score_in_plan(_one_pass(spark, sf_dir).normalized))
+
+
+def small_forest_levels(spark, sf_dir) -> DataFrame:
+    """A given forest feeding the ML channel: alerts per level and ML rule."""
+    ml_id = F.try_element_at(F.filter("rule_ids", lambda r: F.startswith(r, F.lit("ml_"))), F.lit(1))
+    return _forest_scored(spark, sf_dir).groupBy("alert_level", F.coalesce(ml_id, F.lit("none")).alias("ml_rule")).agg(
+        F.count(F.lit(1)).alias("alerts"), F.sum("severity_score").cast("bigint").alias("severity_sum"),
+        F.round(F.min("anomaly_score"), 6).alias("min_score"))
+
+
+def small_forest_split(spark, sf_dir) -> DataFrame:
+    """ML and rule detections of a run in which the ML channel fires."""
+    from vigil.operators.metrics import detection_metrics as row
+    return vw.ml_rule_split(row(_forest_scored(spark, sf_dir)))
+
+
 QUERIES.update({
+    "small_forest_levels": small_forest_levels,
+    "small_forest_split": small_forest_split,
     "anomaly_levels": anomaly_levels,
     "infection_scores": infection_scores,
 })
