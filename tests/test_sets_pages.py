@@ -102,3 +102,30 @@ def test_one_class_and_no_labels(spark):
     assert {r.ml_probability for r in out_of_fold_probability(detected, clean).collect()} == {0.0}
     nobody = out_of_fold_probability(detected, clean.limit(0)).agg(F.count("ml_probability"), F.count(F.lit(1))).first()
     assert tuple(nobody) == (0, 30)
+
+
+def test_latest_by_time_without_a_sort(spark):
+    rows = [("a", "2024-03-01T12:00:00Z", 5), ("a", "2024-03-01T12:00:00Z", 3), ("a", "UNKNOWN", 9), ("a", "2024-02-29T23:59:59Z", 1),
+            ("b", "UNKNOWN", 7), ("b", "xx 2024", 2), ("c", "1969-12-31T00:00:00Z", 4), ("c", "UNKNOWN", 0), (None, "2024-01-01T00:00:00Z", 11),
+            ("d", "2024-03-01T13:00:00+02:00", 20), ("d", "2024-03-01T11:30:00Z", 21)]
+    alerts = spark.createDataFrame([(*r, f"L{r[2]}") for r in rows], "node_id string, timestamp string, seq bigint, log_id string")
+    latest = vw.latest_per_node(alerts, ["log_id"])
+    assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
+    assert {r.node_id: r.log_id for r in latest.collect()} == {"a": "L3", "b": "L2", "c": "L4", None: "L11", "d": "L21"}
+
+
+def test_edges_without_a_sort(spark):
+    from vigil.operators.graph import graph_edges
+    rng = random.Random(9)
+    rows = [(rng.choice("abc"), rng.choice("xyz"), s, s * 10, f"UA{s}", [f"h{s}"], rng.choice([-1, 50, 70]), float(s % 90), "CLEAN") for s in range(400)]
+    rng.shuffle(rows)
+    logs = spark.createDataFrame(rows, "source_node string, target_node string, seq bigint, interval bigint, user_agent string, "
+                                       "headers array<string>, response_time_ms bigint, severity_score double, alert_level string")
+    edges = graph_edges(logs)
+    assert "SortAggregate" not in edges._jdf.queryExecution().executedPlan().toString()
+    for r in edges.collect():
+        own = sorted(x for x in rows if x[:2] == (r.source, r.target))
+        own.sort(key=lambda x: x[2])
+        assert (r["count"], r.interval, r.user_agent, r.headers) == (len(own), own[0][3], own[0][4], own[0][5])
+        assert r._max_sev == max(x[7] for x in own)
+    assert edges.count() == 9

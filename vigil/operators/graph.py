@@ -151,19 +151,26 @@ def graph_edges(graph_logs: DataFrame) -> DataFrame:
 
     ``avg_response_time_ms`` is the mean of the non-negative latencies, rounded
     to 2 places; the incremental, order-dependent one is ``running_mean.edge_running_mean``.
+
+    The figures and the number of the first log are one hash aggregate of
+    fixed-width values; the first log's text columns are fetched for the
+    winners only, by a join on edge and ``seq`` (unique).  The logs are read
+    twice and never sorted for the aggregate: pass a written stage.
     """
     gl = graph_logs.filter((F.col("source_node") != "") & (F.col("target_node") != ""))
     rt = F.col("response_time_ms")
-    return gl.groupBy(F.col("source_node").alias("source"), F.col("target_node").alias("target")).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min_by(F.struct("interval", "user_agent", "headers"), F.col("seq")).alias("_first"),
+    figures = gl.groupBy(F.col("source_node").alias("source"), F.col("target_node").alias("target")).agg(
+        F.count(F.lit(1)).alias("count"), F.min("seq").alias("_first_seq"),
         F.coalesce(F.round(F.avg(F.when(rt >= 0, rt)), 2), F.lit(0.0)).alias("avg_response_time_ms"),
         F.max("severity_score").alias("_max_sev"),
         F.max(level_rank(F.col("alert_level"))).alias("_max_rank"),
-    ).select(
-        "source", "target", "count", F.col("count").alias("weight"),
-        F.col("_first.interval").alias("interval"), F.col("_first.user_agent").alias("user_agent"),
-        F.col("_first.headers").alias("headers"), "avg_response_time_ms", "_max_sev", "_max_rank",
+    )
+    first = gl.select("source_node", "target_node", F.col("seq").alias("_seq"), "interval", "user_agent", "headers")
+    same = ((F.col("source") == F.col("source_node")) & (F.col("target") == F.col("target_node"))
+            & (F.col("_first_seq") == F.col("_seq")))
+    return first.join(figures, same).select(
+        "source", "target", "count", F.col("count").alias("weight"), "interval", "user_agent", "headers",
+        "avg_response_time_ms", "_max_sev", "_max_rank",
     )
 
 

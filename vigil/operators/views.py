@@ -8,6 +8,8 @@ unique tie-breaker (``seq``) so results are deterministic.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,17 +144,28 @@ def search_page(found: DataFrame, page: int = 1, rows: int = SEARCH_PAGE_ROWS, r
     return page_rows(found, page_ranks(found) if ranks is None else ranks, (max(int(page), 1) - 1) * rows, rows)
 
 
+def _time_then_order(timestamp: Column, seq: Column) -> Column:
+    """One fixed-width number that grows with the time and falls with ``seq``; text that is no time comes before all times."""
+    micros = F.coalesce(F.unix_micros(F.try_to_timestamp(timestamp)), F.lit(-(10 ** 18)))
+    return (micros.cast("decimal(19,0)") * F.lit(Decimal(10 ** 19))
+            + (F.lit(2 ** 63 - 1).cast("decimal(19,0)") - seq.cast("decimal(19,0)"))).cast("decimal(38,0)")
+
+
 def latest_per_node(alerts: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Most recent alert per node; equal timestamps keep the earlier input row (VW6).
+    """Most recent alert per node, by time; equal times keep the earlier input row (VW6).
 
-    A partial ``max_by`` aggregate (a hot node is combined map-side).  Pass
-    ``columns`` to carry only what the view needs, so the scan stays pruned.
+    Two steps, neither of which sorts the alerts: a hash aggregate of one number
+    per node (a hot node is combined map-side), then the winners' other columns
+    by a join on node and number.  ``seq`` is unique.  Pass ``columns`` to carry
+    only what the view needs, so the scan stays pruned.
     """
     keep = columns or [c for c in alerts.columns if c != "node_id"]
     keep = [c for c in dict.fromkeys(list(keep) + ["timestamp", "seq"]) if c != "node_id"]
-    key = F.struct(F.col("timestamp"), (-F.col("seq")).alias("_neg_seq"))
-    return (alerts.groupBy("node_id").agg(F.max_by(F.struct(*keep), key).alias("_a"))
-            .select("node_id", "_a.*"))
+    at = _time_then_order(F.col("timestamp"), F.col("seq"))
+    last = alerts.groupBy(F.col("node_id").alias("_node")).agg(F.max(at).alias("_last"))
+    return (alerts.select("node_id", *keep, at.alias("_at"))
+            .join(last, F.col("node_id").eqNullSafe(F.col("_node")) & (F.col("_at") == F.col("_last")))
+            .select("node_id", *keep))
 
 
 def latency_band(rt: Column) -> Column:
