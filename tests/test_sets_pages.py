@@ -129,3 +129,22 @@ def test_edges_without_a_sort(spark):
         assert (r["count"], r.interval, r.user_agent, r.headers) == (len(own), own[0][3], own[0][4], own[0][5])
         assert r._max_sev == max(x[7] for x in own)
     assert edges.count() == 9
+
+
+def test_indexed_search_equals_the_scan(spark):
+    from vigil.operators.search import build_search_index, search_indexed
+    rng = random.Random(13)
+    texts = ["NODE-%03d" % k for k in range(40)] + ["Straße 7", "ÉCLAIR", "aaaaaa", "ab", "", None, "x.y*z%"]
+    data = [(s, *(rng.choice(texts) for _ in range(4))) for s in rng.sample(range(3000), 500)]
+    alerts = spark.createDataFrame(data, "seq bigint, node_id string, node_name string, region string, log_id string").repartition(3)
+    words = [t for t in texts if t]
+    queries = {"aaaa", "aaaaaaa", "é", "b", "%", "STRASSE", "straße"}
+    while len(queries) < 100:
+        w = rng.choice(words)
+        a = rng.randrange(len(w))
+        queries.add(rng.choice([str.lower, str.upper, str])(w[a:a + rng.randint(1, 7)]) + rng.choice(["", "", "", "q"]))
+    got = sorted((r.query, r.seq) for r in search_indexed(alerts, build_search_index(alerts), sorted(queries)).collect())
+    assert got == sorted((q, r[0]) for q in queries for r in data if any(q.lower() in (t or "").lower() for t in r[1:]))
+    one = search_indexed(alerts, build_search_index(alerts), ["node-01"]).drop("query")
+    assert sorted(one.collect()) == sorted(vw.search_alerts(alerts, "node-01").collect())
+    assert search_indexed(alerts.limit(0), build_search_index(alerts.limit(0)), ["abc", "x"]).collect() == []

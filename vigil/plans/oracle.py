@@ -349,6 +349,11 @@ FROM graph_logs""", BASE + GRAPH),
 SELECT log_id, node_id, region, alert_level, severity_score, timestamp FROM detected
 WHERE contains(lower(node_id), 'node-01') OR contains(lower(node_name), 'node-01')
    OR contains(lower(region), 'node-01') OR contains(lower(log_id), 'node-01')"""),
+    "alert_search_indexed": _q("""
+SELECT q.query, d.log_id, d.node_id, d.region, d.alert_level, d.severity_score
+FROM detected d JOIN (VALUES ('NODE-01'), ('000000012'), ('log-0007'), ('east'), ('Zz'), ('no such text')) q(query)
+  ON contains(lower(d.node_id), lower(q.query)) OR contains(lower(d.node_name), lower(q.query))
+     OR contains(lower(d.region), lower(q.query)) OR contains(lower(d.log_id), lower(q.query))"""),
     "alert_search_page": _q("""
 SELECT log_id, node_id, region, alert_level, severity_score, timestamp FROM detected
 WHERE contains(lower(node_id), 'europe') OR contains(lower(node_name), 'europe')

@@ -167,6 +167,14 @@ def alert_search(spark, sf_dir) -> DataFrame:
     return _alert_cols(vw.search_alerts(a, "NODE-01"))
 
 
+def alert_search_indexed(spark, sf_dir) -> DataFrame:
+    """Several searches answered from trigram postings."""
+    from vigil.operators.search import build_search_index, search_indexed
+    a = _s(spark, sf_dir).alerts
+    found = search_indexed(a, build_search_index(a), ["NODE-01", "000000012", "log-0007", "east", "Zz", "no such text"])
+    return found.select("query", "log_id", "node_id", "region", "alert_level", "severity_score")
+
+
 def alert_search_page(spark, sf_dir) -> DataFrame:
     a = _one_pass(spark, sf_dir).alerts
     return _alert_cols(vw.search_page(vw.search_alerts(a, "europe"), page=3))
@@ -363,6 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_logs_explicit": graph_logs_explicit,
     "alert_search": alert_search,
     "alert_search_page": alert_search_page,
+    "alert_search_indexed": alert_search_indexed,
     "latest_alert_per_node": latest_alert_per_node,
     "latency_top10": latency_top10,
     "status_class_4xx": status_class_4xx,
