@@ -182,3 +182,32 @@ def test_edit_distance_expression(spark):
     for k in (1, 2, 3):
         for r in df.select("x", "y", line_dedup.lines_within("x", "y", k).alias("near")).collect():
             assert r.near == (levenshtein(r.x, r.y) <= k), (r.x, r.y, k)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def adversarial_words():
+    """Words that agree in letters, sums or polynomial hashes."""
+    words = [thue_morse(n) for n in (64, 512, 1024, 4096)] + [thue_morse(n, "b", "a") for n in (64, 512, 1024, 4096)]
+    words += ["a", "a\0", "a\0\0", "\0a", "abcdefgh", "abcdefgh\0", "bacdefgh", "abcdefghabcdefgz", "abcdefgzabcdefgh", "é", "e\u0301"]
+    words += ["x" * n for n in range(1, 40)] + ["x" * n + "y" + "x" * (39 - n) for n in range(40)]
+    return words
+
+
+def test_word_ids_of_adversarial_words():
+    from vigil.llm.common import word_ids
+    words = adversarial_words()
+    ids = word_ids("  ".join(words).encode())
+    assert len(ids) == len(words) == len(set(ids.tolist()))
+    assert word_ids(("\n" + words[3] + "\t").encode())[0] == ids[3]  # whatever stands around a word
+    assert len(word_ids(b"")) == len(word_ids(b" \n")) == 0
+
+
+def test_documents_of_adversarial_words_are_not_linked(spark):
+    a, b = thue_morse(1024), thue_morse(1024, "b", "a")
+    rows = [(1, f"{a} foo"), (2, f"{b} foo"), (3, f"{a} foo bar"), (4, f"{a}  FOO")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(docs, width=2, percent=80).collect())
+    assert got == brute_near(rows, 2, 80)
