@@ -107,6 +107,18 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return mix64((total[width:] - total[:-width]) * down[:n])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The given names, each with underscores added until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 

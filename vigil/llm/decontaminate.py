@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import WORD_GAP, Scratch
+from vigil.llm.common import WORD_GAP, Scratch, unused
 
 NUM, UNIT, NAME = "\ue001", "\ue002", "\ue003"  # private-use characters stand for the slots
 SLOT = f"[{NUM}{UNIT}{NAME}]"
@@ -42,7 +42,7 @@ UNITS = ("mm cm m km in ft yd mi mg g kg lb lbs oz t ml cl l gal s sec secs seco
          "hrs hour hours day days week weeks month months year years mph kmh km/h hz khz mhz ghz w kw mwh kwh v a j kj "
          "cal kcal n pa kpa bar k c f b kb mb gb tb meter meters metre metres kilometer kilometers kilometre kilometres "
          "mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter "
-         "liters litre litres dollar dollars euro euros cent cents percent % degrees apples").split()
+         "liters litre litres dollar dollars euro euros cent cents percent % degrees").split()
 _END = "[.,;:!?\"')\\]}]"
 
 
@@ -172,7 +172,8 @@ def trim_word(w: Column) -> Column:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     names = docs.columns
-    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_bad"), "text_hash").distinct()
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64("text"))
-    return keyed.join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_th") == F.col("text_hash")),
-                      "left_anti").select(*names)
+    own, th, bad_id, bad_th = unused(docs, "_id", "_th", "_bad", "_bad_th")
+    bad = (matches(docs, benchmark, **options)
+           .select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_th)).distinct())
+    keyed = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(th, F.xxhash64("text"))
+    return keyed.join(bad, F.col(own).eqNullSafe(F.col(bad_id)) & (F.col(th) == F.col(bad_th)), "left_anti").select(*names)

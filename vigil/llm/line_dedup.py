@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, components
+from vigil.llm.common import Scratch, components, unused
 
 LAST = 2**63 - 1
 
@@ -177,7 +177,18 @@ def left_out_links(texts: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, hot: int = 64,
                 max_broadcast: int = 2_000_000) -> DataFrame:
-    """``docs`` with ``text`` cut to the lines that stay, and n_lines, n_removed_lines (long) added."""
+    """``docs`` with ``text`` cut to the lines that stay, and n_lines, n_removed_lines (long) added.
+
+    Columns of ``docs`` with these two names are replaced.
+    """
+    out, n_lines, n_removed = cut_lines(docs, edits, min_chars, hot, max_broadcast)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed_lines")]
+    return out.select(*names, F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed_lines"))
+
+
+def cut_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, hot: int = 64,
+              max_broadcast: int = 2_000_000) -> tuple[DataFrame, str, str]:
+    """``docs`` with its lines cut and two more columns, and the names of these: lines before, lines removed."""
     if edits < 1:
         raise ValueError("edits must be at least 1")
     scratch = Scratch(docs.sparkSession, "lines")
@@ -191,22 +202,25 @@ def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20, hot: int =
     best = near.groupBy("component").agg(F.min("at").alias("best"))
     moved = near.join(best, "component").select(F.col("lk").alias("_lk"), "best")
     stays = first.join(moved, F.col("lk") == F.col("_lk"), "left").select("lk", F.coalesce("best", "at").alias("at"))
+    doc, th, doc_gone, th_gone, gone_at, n_lines, n_removed = unused(
+        docs, "_doc", "_th", "_d", "_t", "_gone", "n_lines", "n_removed_lines")
     gone = scratch.write(lines.select("doc", "th", "pos", "lk").join(stays, "lk")
                          .where(F.struct("doc", "th", "pos") != F.col("at"))
-                         .groupBy(F.col("doc").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("pos").alias("_gone")), "gone")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
-    out = keyed.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+                         .groupBy(F.col("doc").alias(doc_gone), F.col("th").alias(th_gone))
+                         .agg(F.collect_set("pos").alias(gone_at)), "gone")
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(th, F.xxhash64("text"))
+    out = keyed.join(gone, (F.col(doc) == F.col(doc_gone)) & (F.col(th) == F.col(th_gone)), "left")
     parts = F.split("text", "\n")
-    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return out.select(*[left.alias("text") if c == "text" else F.col(c) for c in names],
-                      F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_lines"))
+    left = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(
+        F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone_at, i)), "\n"))
+    out = out.select(*[left.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+                     F.coalesce(F.size(parts), F.lit(0)).cast("long").alias(n_lines),
+                     F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias(n_removed))
+    return out, n_lines, n_removed
 
 
 def keep_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` after line deduplication; a document that loses all its lines with words goes."""
-    out = dedup_lines(docs, **options)
-    empty = (F.col("n_removed_lines") > 0) & (F.expr(trimmed("replace(text, chr(10), '')")) == "")
+    out, _, n_removed = cut_lines(docs, **options)
+    empty = (F.col(n_removed) > 0) & (F.expr(trimmed("replace(text, chr(10), '')")) == "")
     return out.where(~F.coalesce(empty, F.lit(False))).select(*docs.columns)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, components, mix64, utf8, window_hashes, word_ids
+from vigil.llm.common import Scratch, components, mix64, unused, utf8, window_hashes, word_ids
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -228,6 +228,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     Of rows with one id those that equal the id of the component stay.
     """
     names = docs.columns
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return (docs.withColumn("_id", F.col("doc_id").cast("long"))
-            .join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select(*names))
+    own, other = unused(docs, "_id", "_gone")
+    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
+    return (docs.withColumn(own, F.col("doc_id").cast("long"))
+            .join(gone, F.col(own).eqNullSafe(F.col(other)), "left_anti").select(*names))

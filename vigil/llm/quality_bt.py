@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import Scratch, utf8, word_ids, word_spans
+from vigil.llm.common import Scratch, unused, utf8, word_ids, word_spans
 from vigil.llm.host_rules import repeat_words
 
 FEATURES = ("log_words", "distinct_words", "bigrams", "repeat5", "longest_run", "word_chars", "short_words", "symbols",
@@ -140,7 +140,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose own score reaches the threshold; rows of one id and text have one score."""
     names = docs.columns
+    own, th, bad_id, bad_th = unused(docs, "_id", "_th", "_bad", "_bad_th")
     bad = (score_rows(docs, labels, **options).where("predicted = 0")
-           .select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_th")).distinct())
-    return (docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64("text"))
-            .join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_th") == F.col("_bad_th")), "left_anti").select(*names))
+           .select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_th)).distinct())
+    return (docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(th, F.xxhash64("text"))
+            .join(bad, F.col(own).eqNullSafe(F.col(bad_id)) & (F.col(th) == F.col(bad_th)), "left_anti").select(*names))
