@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from vigil.llm.html_extract import blocks_of, extract_text, host_of
 
@@ -63,3 +64,51 @@ def test_hosts_and_broken_markup():
         "a.example", "b.example", None, None, "c.example"]
     assert [b[0] for b in blocks_of("<div><p>a</div>b</p></article>c<p")] == ["a", "b", "c<p"]
     assert len(blocks_of("<a <a " * 20000)) == 1
+
+
+def test_names_and_forms():
+    def texts(h):
+        return [t for t, _ in blocks_of(h)]
+    inner = "<h1>t</h1><p>a <button>go</button> b</p>"
+    assert texts(f"<form><nav>n</nav><div><article>{inner}</article></div></form>") == ["t", "a b"]
+    assert texts(f"<article>{inner}<form>name <h1>send</h1></form><p>c</p></article>") == ["t", "a b", "c"]
+    assert texts("<form><p>your name</p></form><p>c</p>") == ["c"]
+    for name in ("related-work", "notice-period", "comment-on-method", "comments-page-content"):
+        assert texts(f"<article><div class='{name}'><p>x</p></div></article>") == ["x"]
+        assert texts(f"<div id='{name}'><p>x</p></div>") == ["x"]
+    for name in ("ad", "big ad-box", "comments", "related_posts", "cookie-notice", "sidebar-left"):
+        assert texts(f"<article><div class='{name}'><p>x</p></div>y</article>") == ["y"]
+
+
+def test_template_without_known_words_goes_by_counting(spark):
+    """No tag, role or name gives the template away; only its recurring tells."""
+    def site(k, tag, name):
+        top = f"<div class='q1'><p>North Harbour Gazette</p><p>Open {name} from nine</p></div>"
+        return page(f"{top}<{tag}><h1>Title {k}</h1><div class='q2'><p>Tell a friend</p><p>Print it</p></div>"
+                    f"<p>story {k} of {name}</p><p>{'a line quoted often' if k % 3 == 0 else f'line {k}'}</p></{tag}>")
+    rows = [(k + 100 * j, f"http://{n}.example/{k}", site(k, tag, n))
+            for j, (n, tag) in enumerate((("one", "div"), ("two", "article"))) for k in range(30)]
+    rows += [(500 + k, "http://two.example/x", site(7, "article", "two")) for k in range(40)]  # copies: one page
+    rows += [(600 + k, "http://few.example/x", site(k, "article", "few")) for k in range(4)]
+    got = {r.page_id: r.text.split("\n") for r in extract_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for k in range(30):
+        last = "a line quoted often" if k % 3 == 0 else f"line {k}"
+        assert got[k] == [f"Title {k}", f"story {k} of one"] + ([] if k % 3 == 0 else [last])  # outside, three pages are enough
+        assert got[100 + k] == [f"Title {k}", f"story {k} of two", last]  # inside, more than half of the pages
+    assert got[520] == got[107]
+    assert got[601] == ["Title 1", "Tell a friend", "Print it", "story 1 of few", "line 1"]  # too few pages to tell
+
+
+def test_hinted_names_lower_the_count(spark):
+    rows = [(k, "http://h.example/", page(f"<article><div class='{'related-work' if k < 4 else 'x'}'><p>See the list of {k // 4}</p></div>"
+                                          f"<p>text {k}</p></article>")) for k in range(12)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == (f"text {k}" if k < 4 else f"See the list of {k // 4}\ntext {k}") for k in range(12))
+
+
+def test_parsing_is_linear():
+    for html, n in (("<div>" * 100_000, 0), ("<div>x" * 100_000, 100_000), ("<b>" * 50_000 + "</i>" * 50_000 + "x", 1),
+                    ("<li>a" * 100_000, 100_000), ("<table>" + "<tr><td>a" * 50_000, 50_000), ("<b>" * 50_000 + "<p>" * 50_000, 0)):
+        start = time.process_time()
+        assert len(blocks_of(html)) == n and time.process_time() - start < 4
