@@ -84,6 +84,63 @@ def test_pii(spark, docs, empty):
     assert pii.redact("a b@c.de f", "email:2:8") == "a [EMAIL] f"
 
 
+def pii_corpus():
+    """Texts with base spans, texts in other spellings by form, and texts without personal data."""
+    rng = random.Random(11)
+
+    def digits(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = digits(15)
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    def four(c):
+        return "/".join(c[k:k + 4] for k in range(0, 16, 4))
+
+    def ip():
+        return [str(rng.randint(10, 255)) for _ in range(4)]
+
+    def word():
+        return "".join(rng.choice("abcdefghiklmnorstu") for _ in range(rng.randint(3, 8)))
+    base = [t for _ in range(60) for t in (
+        f"{word()} {word()}.{word()}@{word()}.{rng.choice(['com', 'org', 'co.uk'])} {word()}", f"host {'.'.join(ip())} {word()}",
+        f"{word()} {card()} {word()}", f"call +{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)} {word()}")]
+    forms = {
+        "at": lambda: f"{word()} (at) {word()} (dot) com", "bracket at": lambda: f"{word()}[at]{word()}.org",
+        "spaced": lambda: f"{word()} @ {word()}.com", "ip": lambda: "[.]".join(ip()),
+        "card": lambda: four(card()),
+        "double zero": lambda: f"00 49 30 1{digits(6)}", "brackets": lambda: f"(030) 1{digits(2)} {digits(2)} {digits(2)}",
+        "dash": lambda: f"030-1{digits(6)}"}
+    other = {name: [f"{word()} {make()} {word()}" for _ in range(25)] for name, make in forms.items()}
+    clean = [f"{word()} {x} {word()}" for _ in range(25) for x in (
+        f"0.{digits(10)}", f"0{rng.randint(1, 9)}.0{rng.randint(1, 9)}.20{digits(2)} 1{digits(1)}3{digits(1)}", f"{word()} {digits(6)}",
+        f"item {rng.randint(1, 9)}. {rng.randint(1, 9)}. {rng.randint(1, 9)}. {rng.randint(1, 9)}", f"{word()} @ {word()}. Then")]
+    return base, other, clean
+
+
+def test_other_spellings_are_found(spark):
+    base, other, clean = pii_corpus()
+    texts = [("base", t) for t in base] + [(n, t) for n, ts in other.items() for t in ts] + [("clean", t) for t in clean]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_pii(df).collect()}
+    share = {n: sum(bool(got[k]) for k, (m, _) in enumerate(texts) if m == n) / sum(m == n for m, _ in texts)
+             for n in ("base", "clean", *other)}
+    assert share["base"] == 1 and share["clean"] <= 0.04, share
+    assert all(share[n] >= 0.9 for n in other), share
+    assert {r.doc_id: r.spans for r in pii.find_pii(df.repartition(7)).collect()} == got
+
+
+def test_spellings_pass_the_generators():
+    for kind, span in enumerate(("bob.x@mail.example.com", "10.20.30.40", "4111111111111111", "+49 (30) 123-45678")):
+        for form in spellings_of(kind, span):
+            assert any(k == kind and (a, b) == (2, 2 + len(form)) for k, a, b in pii.proposals(f"x {form} y")), form
+
+
+def spellings_of(kind, span):
+    return pii.spellings(kind, span)[0]
+
+
 def plain_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
