@@ -34,6 +34,14 @@ def test_interval_input_order_and_bad_time(spark):
     assert all(r.target_node == "B" for r in out.values())  # self-hits move to the next registry node
 
 
+def test_latency_text(spark):
+    texts = {"5": 5, "-7": -7, "+5": -1, " 5": -1, "5\n": -1, "1.5": -1, "": -1, "007": 7}
+    logs = spark.createDataFrame([(f"L{k}", "A", "2024-01-01T00:00:00Z", "r", 1, t, k, 0, "CLEAN") for k, t in enumerate(texts)],
+                                 LOG_SCHEMA.replace("response_time_ms bigint", "response_time_ms string"))
+    got = {r.seq: r.response_time_ms for r in grf.graph_ready_logs(logs, _registry(spark, ["A", "B"])).select("seq", "response_time_ms").collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+
+
 def test_blocked_lag_equals_plain_lag(spark):
     df = spark.range(0, 500).select(
         F.col("id").alias("seq"), (F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 7 % 101).alias("v"))

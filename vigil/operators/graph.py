@@ -96,10 +96,10 @@ def graph_ready_logs(logs: DataFrame, registry: DataFrame, alerts: DataFrame | N
     # < x-schema), so only explicit headers go through normalize_headers.
     headers = (F.when(F.col("headers").isNotNull(), normalize_headers(F.col("headers"))).otherwise(fallback)
                if "headers" in cols else fallback)
-    # text that is no integer counts as missing
+    # text that is not digits after an optional minus counts as missing: no plus, no spaces
     rt = F.coalesce(F.col("response_time_ms").try_cast("bigint"), F.lit(-1).cast("bigint"))
     if dict(logs.dtypes).get("response_time_ms") == "string":
-        rt = F.when(py_strip(F.col("response_time_ms")).rlike(r"^[+-]?[0-9]+$"), rt).otherwise(F.lit(-1).cast("bigint"))
+        rt = F.when(F.col("response_time_ms").rlike(r"\A-?[0-9]+\z"), rt).otherwise(F.lit(-1).cast("bigint"))
 
     base = base.select(
         "log_id", "source_node", "seq", "_ts_iso", "_ts", ua.alias("user_agent"),
