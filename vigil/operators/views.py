@@ -120,13 +120,13 @@ def critical_alerts(alerts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def summary(metrics_row: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row: the figures of the metrics view, the top critical alerts (at most five) with their count, number of attacked nodes (VW3)."""
+    """One row: the figures of the metrics view, the top critical alerts (at most five) with their count, attacked nodes and their number (VW3)."""
     top = F.sort_array(F.collect_list(F.struct("rank", "log_id", "node_id", "alert_level", "severity_score", "timestamp")))
     critical = critical_alerts(alerts).agg(top.alias("critical_alerts"))
     return metrics_row.select(
         "total_logs", "total_alerts", "attack_count", "high_risk_count", "suspicious_count", "clean_count",
         "ml_detection_count", "attack_percentage", "threat_percentage", "total_nodes",
-        critical.scalar().alias("critical_alerts"), "nodes_under_attack",
+        critical.scalar().alias("critical_alerts"), "nodes_under_attack", "attacked_node_ids",
     ).withColumn("critical_count", F.size("critical_alerts").cast("bigint"))
 
 

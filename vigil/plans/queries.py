@@ -83,7 +83,8 @@ def rule_hits(spark, sf_dir) -> DataFrame:
 def detection_metrics(spark, sf_dir) -> DataFrame:
     m = _one_pass(spark, sf_dir).metrics
     return m.select(
-        *[c for c in m.columns if c != "schema_versions_seen"],
+        *[c for c in m.columns if c not in ("nodes_under_attack", "schema_versions_seen", "attacked_node_ids")],
+        F.array_join("attacked_node_ids", ",").alias("nodes_under_attack"),
         F.array_join(F.transform("schema_versions_seen", lambda v: v.cast("string")), ",")
         .alias("schema_versions_seen"))
 
@@ -92,7 +93,7 @@ def metrics(spark, sf_dir) -> DataFrame:
     st = _one_pass(spark, sf_dir)
     total_nodes = st.telemetry.registry.agg(F.count(F.lit(1))).scalar()
     mv = metrics_view(st.metrics, total_nodes)
-    return mv.drop("nodes_under_attack", "schema_versions_seen")
+    return mv.drop("nodes_under_attack", "schema_versions_seen", "attacked_node_ids")
 
 
 def registry_count(spark, sf_dir) -> DataFrame:
@@ -135,8 +136,9 @@ def summary_view(spark, sf_dir) -> DataFrame:
     st = _s(spark, sf_dir)
     total_nodes = st.telemetry.registry.agg(F.count(F.lit(1))).scalar()
     out = vw.summary(metrics_view(st.metrics, total_nodes), st.alerts)
-    return out.select(*[c for c in out.columns if c != "critical_alerts"],
-                      F.array_join(F.transform("critical_alerts", lambda x: x["log_id"]), ",").alias("critical_log_ids"))
+    return out.select(*[c for c in out.columns if c not in ("critical_alerts", "nodes_under_attack", "attacked_node_ids")],
+                      F.array_join(F.transform("critical_alerts", lambda x: x["log_id"]), ",").alias("critical_log_ids"),
+                      F.array_join("attacked_node_ids", ",").alias("nodes_under_attack"))
 
 
 def attacked_nodes(spark, sf_dir) -> DataFrame:
