@@ -32,6 +32,8 @@ def test_one_row_group_in_many_splits_is_spread(spark, tmp_path):
         out = spread(df, ["id"])
         sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
         assert sum(sizes) == n and max(sizes) < n / 2
+        plan = out.where(F.sqrt("x") < 0.5)._jdf.queryExecution().optimizedPlan().toString()
+        assert "SQRT" in plan and "SQRT" not in plan.split("Repartition")[1]  # computed after the rows are dealt
     finally:
         for key in conf:
             spark.conf.unset(key)

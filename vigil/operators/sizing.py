@@ -9,21 +9,30 @@ size is known when the join is planned.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vigil.session import scratch_path
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the scan yields fewer partitions than the cluster has cores.
+#: Rows of a scan that one task of the CPU-heavy normalization is given.
+TASK_ROWS = 250_000
 
-    A large input already arrives in thousands of file splits and is left
-    alone (no shuffle); a small file with a single row group would otherwise
-    run the CPU-heavy normalization in one task.
+
+def spread(df: DataFrame, by: list[str], min_partitions: int | None = None) -> DataFrame:
+    """Rows dealt by the hash of ``by`` when the scan leaves too many of them to one task.
+
+    A parquet row group is read by one task, however many splits its file has,
+    so the rows of each scan task are counted (from the footers, no column is
+    read).  A large input in many row groups is left alone (no shuffle); a table
+    of few row groups, whatever its size, would otherwise run the normalization
+    in as few tasks.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    want = max(min_partitions or df.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes) // TASK_ROWS))
+    if max(sizes, default=0) <= 2 * -(-sum(sizes) // want):
+        return df
+    # true of every row, and no condition is moved across it: what a later filter computes is computed by the many tasks
+    return df.repartition(want, *by).where(F.spark_partition_id() >= 0)
 
 
 def materialize_dimension(df: DataFrame, tag: str) -> DataFrame:

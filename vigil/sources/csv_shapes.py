@@ -46,8 +46,8 @@ def registry_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    ev = spread(ev.select("event_id", "user_id", "event_type", "value", k.alias("k")))
+    ev = spread(ev.select("event_id", "user_id", "event_type", "value", "props"), ["event_id"])
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     status = (F.when(F.col("k") == 97, F.lit(""))
               .when((F.col("event_type") == "error") & (F.col("k") % 2 == 1), F.lit("DEGRADED"))
               .otherwise(F.lit("OPERATIONAL")))

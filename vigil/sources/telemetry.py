@@ -81,8 +81,8 @@ def schema_versions_table(spark: SparkSession) -> DataFrame:
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    ev = spread(ev.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k")))
+    ev = spread(ev.select("event_id", "ts", "user_id", "event_type", "value", "props"), ["event_id", "ts"])
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     v1 = F.col("event_id") < V2_START
     status = F.when((F.col("event_type") == "error") & (F.col("k") % 2 == 1), "DEGRADED").otherwise("OPERATIONAL")
     http = (F.when(F.col("k") == NULL_HTTP_K, F.lit(None).cast("bigint"))
