@@ -312,3 +312,15 @@ def test_candidates_of_texts_without_digits():
     out = pd.concat(pii.scan(iter([pd.DataFrame({"doc_id": range(4), "text": texts})])))
     spans = [[t[c["start"]:c["end"]] for c in cands] for t, cands in zip(texts, out["cands"])]
     assert spans == [["john @ example.com"], ["john [ at ] example [ dot ] com"], ["john {at} example.com"], []]
+
+
+def test_every_base_span_teaches(spark, monkeypatch):
+    texts = [f"host {a}.{b}.77.99 up" for a in range(10, 30) for b in range(10, 32)] * 2  # 440 spans, each twice
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, plain = [], pii.thresholds
+    monkeypatch.setattr(pii, "thresholds", lambda scored, *a: seen.append(scored) or plain(scored, *a))
+    assert pii.find_pii(df).count() == len(texts)
+    batch = pd.DataFrame([s for t in texts for s in pii.seeds(t, pii.base_spans(t))]).assign(n=1)
+    shapes = next(pii.examples(iter([batch]))).groupby(["kind", "key"]).size().reset_index()
+    folds = spark.createDataFrame([tuple(map(int, r)) for r in shapes.to_numpy()], "kind int, key long, n long")
+    assert seen[0]["n"].sum() == folds.where("xxhash64(kind, key) % 5 = 0").agg({"n": "sum"}).first()[0]

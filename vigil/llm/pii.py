@@ -17,7 +17,7 @@ Defined cases: a null text counts as empty; rows are handled one by one, so
 repeated rows and ties in ``doc_id`` give one result row each; a null
 ``doc_id`` is carried through; further columns of the input are ignored.  An
 empty table gives an empty result; a very long text is scanned in linear time.
-Without both classes in the sample nothing is added, and of a kind without
+Without both classes among the examples nothing is added, and of a kind without
 examples nothing either.  Counts and ``base_sha256`` are those of the base spans.
 """
 
@@ -27,7 +27,6 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -73,8 +72,10 @@ CANDIDATE = "array<struct<kind:int,start:int,end:int,f:array<float>>>"
 STAGE = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
          f"base array<struct<kind:int,start:int,end:int>>, cands {CANDIDATE}, "
          "seeds array<struct<kind:int,key:long,left:string,span:string,right:string>>")
-EXAMPLE = "kind int, label int, key long, f array<float>"
+EXAMPLE = "kind int, label int, key long, n long, f array<float>"
 SEED_CHARS = 80  # longest base span that is re-spelled
+SEED_ROWS = 5_000  # base spans whose shapes one task makes
+FIT_ROWS = 200_000  # distinct examples that one task of the fit holds
 
 
 def luhn(digits: str) -> bool:
@@ -218,13 +219,13 @@ def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Features of the shapes of base spans, each in the place of its span."""
     for pdf in batches:
         out = []
-        for kind, key, left, span, right in zip(*(pdf[c] for c in ("kind", "key", "left", "span", "right"))):
+        for kind, key, n, left, span, right in zip(*(pdf[c] for c in ("kind", "key", "n", "left", "span", "right"))):
             for label, forms in zip((1, 0), spellings(kind, span)):
                 for form in dict.fromkeys(forms):
                     whole, a, b = left + form + right, len(left), len(left) + len(form)
                     if is_open(whole, kind, a, b, ([], [])):  # as those that are scored
-                        out.append((kind, label, key, features(whole, kind, a, b)))
-        yield pd.DataFrame(out, columns=["kind", "label", "key", "f"])
+                        out.append((kind, label, key, n, features(whole, kind, a, b)))
+        yield pd.DataFrame(out, columns=["kind", "label", "key", "n", "f"])
 
 
 def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,14 +248,14 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def thresholds(scored: pd.DataFrame, precision: float, floor: float) -> list[float]:
-    """Per kind a cut for the wanted precision on the held-out examples; over 1: none.
+    """Per kind a cut for the wanted precision on the held-out examples (kind, p, how many, how many positive); over 1: none.
 
     The cut lies half way between the lowest score that still reaches the precision and the next one below.
     """
     out = []
     for kind in range(len(KINDS)):
-        own = scored[scored["kind"] == kind].groupby("p")["label"].agg(["sum", "size"]).sort_index(ascending=False).cumsum()
-        good = np.flatnonzero((own["sum"] >= precision * own["size"]).to_numpy())
+        own = scored[scored["kind"] == kind].groupby("p")[["positive", "n"]].sum().sort_index(ascending=False).cumsum()
+        good = np.flatnonzero((own["positive"] >= precision * own["n"]).to_numpy())
         p = own.index.to_numpy()
         if not len(good):
             out.append(2.0)
@@ -264,37 +265,39 @@ def thresholds(scored: pd.DataFrame, precision: float, floor: float) -> list[flo
     return out
 
 
-def find_pii(docs: DataFrame, max_train: int = 20_000, precision: float = 0.995, floor: float = 0.5,
+def find_pii(docs: DataFrame, precision: float = 0.995, floor: float = 0.5,
              trees: int = 10, depth: int = 4) -> DataFrame:
     """doc_id, base counts, base_sha256 and ``spans`` (base and added) per row of ``docs``.
 
-    ``max_train`` bounds the examples that the trees and thresholds are fitted
-    on: the shapes (less than 50 each) of ``max_train // 100`` distinct base spans
-    of each kind.  Every candidate of every text is scored.
+    The trees and thresholds are fitted on the shapes (less than 50 each) of all
+    base spans: equal examples are one row with their number as its weight, and
+    those rows grow far slower than the texts.  Every candidate of every text is
+    scored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
     found = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scan, STAGE)
                           .withColumn("rid", F.monotonically_increasing_id()), "found")
     cands = found.select("rid", F.explode("cands").alias("c")).select("rid", "c.*")
-    order = ["_h", "key", "f"]  # one fold holds all shapes of a span
-    spans = (found.select(F.explode("seeds").alias("s")).select("s.*").groupBy("kind", "key")
-             .agg(F.min(F.struct("left", "span", "right")).alias("s")).select("kind", "key", "s.*"))
-    spans = scratch.write(spans.withColumn("_h", F.xxhash64("kind", "key")), "seeds")
-    picked = reduce(DataFrame.union, [spans.where(F.col("kind") == kind).orderBy("_h", "key").limit(max_train // 100)
-                                      for kind in range(len(KINDS))])
-    sample = scratch.write(picked.drop("_h").mapInPandas(examples, EXAMPLE).withColumn("_h", F.xxhash64("kind", "key")), "sample")
-    fit = sample.where("_h % 5 <> 0").select(array_to_vector(F.col("f").cast("array<double>")).alias("features"), "label", "kind", *order)
+    spans = found.select(F.explode("seeds").alias("s")).select("s.*").groupBy("kind", "key", "left", "span", "right").agg(
+        F.count(F.lit(1)).alias("n"))
+    spans = scratch.write(spans, "seeds")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-spans.count() // SEED_ROWS))
+    sample = scratch.write(spans.repartition(tasks, "kind", "key", "left").mapInPandas(examples, EXAMPLE).withColumn("held", F.xxhash64("kind", "key") % 5 == 0)
+                           .groupBy("held", "kind", "label", "f").agg(F.sum("n").cast("double").alias("n")), "examples")
+    fit = sample.where(~F.col("held")).select(array_to_vector(F.col("f").cast("array<double>")).alias("features"), "label", "n", "kind", "f")
     added = None
     if fit.agg(F.countDistinct("label")).first()[0] == 2:
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(
-            fit.coalesce(1).sortWithinPartitions("kind", "label", *order).select("features", "label"))  # bounded; the order decides the sums
+        parts = -(-fit.count() // FIT_ROWS)  # dealt by their values and in order, which decides the sums
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, weightCol="n", maxBins=1024).fit(
+            fit.repartition(parts, "kind", "label", "f").sortWithinPartitions("kind", "label", "f").select("features", "label", "n"))
 
         def score(df: DataFrame) -> DataFrame:
             return model.transform(df.withColumn("features", array_to_vector(F.col("f").cast("array<double>")))) \
                 .withColumn("p", vector_to_array("probability")[1])
 
-        held = score(sample.where("_h % 5 = 0")).select("kind", "label", "p").toPandas()
+        held = (score(sample.where("held")).groupBy("kind", F.round("p", 4).alias("p"))  # at most 10,001 rows a kind
+                .agg(F.sum(F.col("label") * F.col("n")).alias("positive"), F.sum("n").alias("n")).toPandas())
         limit = F.array(*[F.lit(x) for x in thresholds(held, precision, floor)])
         chosen = score(cands).where(F.col("p") >= F.element_at(limit, F.col("kind") + 1))
         added = chosen.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
