@@ -64,3 +64,25 @@ def test_several_families_and_close_relatives(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.families for r in license_scan.per_document(df, license_scan.find_licenses(df)).collect()}
     assert got == {1: "gpl,mit", 2: "cc-by-nc-sa", 3: "cc-by-nd", 4: "epl", 5: "cc-by-sa", 6: "lgpl", 7: "", 8: "", 9: ""}
+
+
+def test_all_ordinary_lines_teach_the_model(spark):
+    texts = [f"{' '.join(story(k, 1))} chapter {k}" + (" of this software\nshort line\nA copyright line that is no ordinary one." if k % 9 == 0 else "")
+             for k in range(9000)]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1]), (None, None)], "doc_id long, text string").repartition(4)
+    seen = {}
+
+    def keep(sets, vocabulary, *rest):
+        seen["rows"], seen["vocabulary"] = sets.collect(), vocabulary
+        return train(sets, vocabulary, *rest)
+
+    train, license_scan.train = license_scan.train, keep
+    try:
+        found = license_scan.find_licenses(df)
+        assert found.where("confirmed").count() == 0
+    finally:
+        license_scan.train = train
+    assert sum(r.n for r in seen["rows"]) == 9001
+    ours = seen["vocabulary"].index("this software")
+    assert sum(r.n for r in seen["rows"] if ours in r.ks) == 1000
+    assert {r.held for r in seen["rows"]} == {True, False} and all(r.n > 0 for r in seen["rows"])

@@ -7,9 +7,10 @@ own).  Words are runs of letters and digits, so comment signs at the ends of
 lines do not part the words of a notice.  Multinomial logistic regression (MLlib)
 over the word pairs of the licence templates tells the families and the
 class of everything else; it is fitted on the templates, whole and in parts,
-alone and inside ordinary text, and on a bounded sample of ordinary
-paragraphs.  A held-out part of that sample calibrates the unknown class: the
-family must be likelier than nearly all ordinary paragraphs reach.  A
+alone and inside ordinary text, and on the ordinary lines of all texts, equal
+ones as one weighted row.  Half of these lines, by their hash, is held out and
+calibrates the unknown class: the family must be likelier than nearly all of
+them reach.  A
 prediction is confirmed if the paragraph holds enough of the word pairs of a
 template of the family.  A paragraph with a prediction may name more families:
 each of which it holds nearly a whole template, and nearly all of its word
@@ -139,6 +140,8 @@ TEMPLATES = {
 }
 FAMILIES = ["unknown", *TEMPLATES]
 WINDOW, STEP, WRAPPED = 8, 4, 200
+#: How heavy a notice inside ordinary text is, beside the notice alone.
+AROUND = 8.0
 #: Everyday sentences with the words of notices, all of them unknown.
 ORDINARY = ["He lost his driving license last week.", "The license plate of the car was new.",
             "The general public was asked to stay at home.", "They released a new version of the software in May.",
@@ -173,14 +176,42 @@ def template_pairs(spark: SparkSession) -> DataFrame:
             .select("family", "template", "n_pairs", "s.a", "s.b"))
 
 
-def train(docs: DataFrame, scratch: Scratch, max_ordinary: int) -> tuple[list[str], list[list[float]], list[float], float]:
-    """(vocabulary, weights by class, intercepts, threshold of the unknown class)."""
-    spark = docs.sparkSession
-    lines = (docs.select(F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") > 20)
-             .where(~F.lower("text").rlike("licen[cs]e|copyright|rights reserved|permission|public domain|cc by"))
-             .withColumn("h", F.xxhash64("text", F.lit(7))))
-    ordinary = scratch.write(lines.orderBy("h", "text").limit(max_ordinary)
-                             .select(F.lit("unknown").alias("family"), "text", "h"), "ordinary")
+def ordinary(line: Column) -> Column:
+    """Whether a line counts as ordinary text: long enough, without the words that notices go by."""
+    return (F.length(line) > 20) & ~F.lower(line).rlike("licen[cs]e|copyright|rights reserved|permission|public domain|cc by")
+
+
+def held_out(line: Column) -> Column:
+    """Half of the ordinary lines, by their hash: they set the threshold, the others are fitted."""
+    return F.xxhash64(line, F.lit(7)) % 2 != 0
+
+
+def ordinary_sets(docs: DataFrame, hits: DataFrame, scratch: Scratch) -> DataFrame:
+    """(held, ks, n): how many ordinary lines of all texts, held out or not, have just the vocabulary's pairs ``ks``.
+
+    Lines without any of these pairs are counted from the texts, the others from ``hits``.
+    """
+    sets = (hits.where("ordinary and not cross").groupBy(*LINE, "held").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+            .groupBy("held", "ks").agg(F.count(F.lit(1)).alias("n")))
+    sets = scratch.write(sets, "sets")
+    # rows with one (doc_id, text) are one document, as in ``hits``
+    lines = F.filter(F.split("text", "\n"), ordinary)
+    here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.size(lines).alias("n"),
+                       F.size(F.filter(lines, held_out)).alias("held")).where("n > 0").distinct()
+    total = here.agg(F.coalesce(F.sum(F.col("n") - F.col("held")), F.lit(0)).alias("fitted"),
+                     F.coalesce(F.sum("held"), F.lit(0)).alias("held")).first()
+    some = {r["held"]: r["n"] for r in sets.groupBy("held").agg(F.sum("n").alias("n")).collect()}
+    rest = [{"held": held, "ks": [], "n": n - some.get(held, 0)} for held, n in ((False, total["fitted"]), (True, total["held"]))]
+    return sets.union(literal_table(docs.sparkSession, rest, "held boolean, ks array<int>, n long")).where("n > 0")
+
+
+def train(sets: DataFrame, vocabulary: list[str], scratch: Scratch, ordinary_weight: float) -> tuple[list[list[float]], list[float], float]:
+    """(weights by class, intercepts, threshold of the unknown class), from ``ordinary_sets``.
+
+    Equal ordinary lines are one row with their number as its weight, all of them
+    together as heavy as ``ordinary_weight`` rows at most.
+    """
+    spark = sets.sparkSession
     base = literal_table(spark, [{"family": f, "text": t} for f, ts in TEMPLATES.items() for t in ts]
                          + [{"family": "unknown", "text": t} for t in ORDINARY], "family string, text string")
     w = F.filter(tokens(F.col("text")), lambda x: x != "")
@@ -189,28 +220,42 @@ def train(docs: DataFrame, scratch: Scratch, max_ordinary: int) -> tuple[list[st
     cut = whole.where(F.size("w") >= 12).select("family", F.explode(F.array(
         F.slice("w", 1, (F.size("w") * 2 / 3).cast("int")),
         F.slice("w", (F.size("w") / 3).cast("int") + 1, F.size("w")))).alias("w"))
-    sample = ordinary.where("h % 2 = 0").select("family", w.alias("w"), "h")
-    # notices inside ordinary text
-    some = [list(r.o) for r in sample.orderBy("h").limit(8).select(F.slice("w", 1, 12).alias("o")).collect()]
-    around = [F.concat(F.lit(o[:6]), "w", F.lit(o[6:])) for o in some if len(o) > 6] or [F.col("w")]
-    inside = whole.where("family <> 'unknown'").select("family", F.explode(F.array(*around)).alias("w"))
-    rows = whole.union(cut).union(inside).union(sample.select("family", "w"))
-    vocabulary = sorted({f"{r.a} {r.b}" for r in template_pairs(spark).select("a", "b").distinct().collect()})
-    index = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
+    numbers = F.from_json(F.lit(json.dumps({v: k for k, v in enumerate(vocabulary)})), "map<string,int>")
     pairs = F.transform(word_pairs(F.col("w")), lambda s: F.concat_ws(" ", s["a"], s["b"]))
-    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="pairs", outputCol="features", minTF=1.0)
+    known = F.array_distinct(F.filter(F.transform(pairs, lambda p: F.try_element_at(numbers, p)), lambda k: k.isNotNull()))
+    index = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
+    fixed = scratch.write(whole.union(cut).select(index.cast("double").alias("label"), known.alias("ks"), F.lit(1.0).alias("n")).coalesce(1), "fixed")
+    fitted = sets.where("not held")
+    lines = fitted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # notices inside ordinary text: every set of pairs around one of them, dealt by its hash; lines without pairs around each
+    own = whole.where("family <> 'unknown'").select(index.cast("double").alias("label"), known.alias("own")).collect()
+    n_own = len(own)
+    around = literal_table(spark, [{"at": k, **r.asDict()} for k, r in enumerate(sorted(own))], "at int, own array<int>, label double")
+    share = F.col("n") * min(AROUND / max(lines, 1), 1.0)
+    bare = F.size("ks") == 0
+    inside = (fitted.where(bare).crossJoin(F.broadcast(around)).select("label", F.col("own").alias("ks"), share.alias("n"))
+              .union(fitted.where(~bare).withColumn("at", F.pmod(F.xxhash64("ks"), F.lit(n_own)).cast("int")).join(F.broadcast(around), "at")
+                     .select("label", F.array_union("own", "ks").alias("ks"), (share * n_own).alias("n"))))
+    plain = fitted.select(F.lit(0.0).alias("label"), "ks", (F.col("n") * min(ordinary_weight / max(lines, 1), 1.0)).alias("n"))
+    counter = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(vocabulary))], inputCol="ids", outputCol="features", minTF=1.0)
     counter.setBinary(True)
-    ready = counter.transform(rows.select(index.cast("double").alias("label"), pairs.alias("pairs")))
-    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False).fit(ready)
-    held = counter.transform(ordinary.where("h % 2 <> 0").select(F.transform(
-        word_pairs(w), lambda s: F.concat_ws(" ", s["a"], s["b"])).alias("pairs")))
+    rows = fixed.union(plain).union(inside)
+    ready = counter.transform(rows.select("label", "n", F.col("ks").cast("array<string>").alias("ids")))
+    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, standardization=False, weightCol="n").fit(ready)
+    # the score that all but one in a thousand of the held-out lines stay below, in steps of 1/10,000
+    held = model.transform(counter.transform(sets.where("held").select(F.col("ks").cast("array<string>").alias("ids"), "n")))
     top = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES) - 1))
-    limit = model.transform(held).agg(F.percentile_approx(top, 0.999, 10_000)).first()[0] or 0.0
-    return vocabulary, model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist(), \
-        min(0.9, max(0.5, limit))
+    steps = sorted((r["p"], r["n"]) for r in held.groupBy(F.ceil(top * 10_000).cast("int").alias("p")).agg(F.sum("n").alias("n")).collect())
+    want, seen, limit = 0.999 * sum(n for _, n in steps), 0, 0.0
+    for p, n in steps:
+        seen += n
+        if seen >= want:
+            limit = p / 10_000
+            break
+    return model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist(), min(0.9, max(0.5, limit))
 
 
-def find_licenses(docs: DataFrame, max_ordinary: int = 4000, min_match: float = 0.6) -> DataFrame:
+def find_licenses(docs: DataFrame, ordinary_weight: float = 2000.0, min_match: float = 0.6) -> DataFrame:
     """Notices per paragraph with a predicted family.
 
     (doc_id, text_hash, paragraph, n_lines, family, probability, match, confirmed);
@@ -219,17 +264,20 @@ def find_licenses(docs: DataFrame, max_ordinary: int = 4000, min_match: float =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "license")
-    vocabulary, weights, intercepts, limit = train(docs, scratch, max_ordinary)
-    table = literal_table(spark, [{"a": v.split(" ")[0], "b": v.split(" ")[1], "k": k, "w": [round(c[k], 9) for c in weights]}
-                                  for k, v in enumerate(vocabulary)], "a string, b string, k int, w array<double>")
     pairs = template_pairs(spark)
     # pairs that a single family has, and their number per template
     pairs = pairs.join(pairs.groupBy("a", "b").agg((F.count_distinct("family") == 1).alias("only")), ["a", "b"])
     pairs = pairs.join(pairs.groupBy("template").agg(F.count_if("only").alias("n_only")), "template")
-    of = pairs.groupBy("a", "b", "only").agg(F.collect_list(F.struct("family", "template", "n_pairs", "n_only")).alias("templates"))
-    table = scratch.write(table.join(of, ["a", "b"]).coalesce(1), "vocabulary")
-    hits = scratch.write(line_pairs(docs).join(F.broadcast(table.select("a", "b", "k", "only")), ["a", "b"])
-                         .select(*LINE, "short", "cross", "k", "only").distinct(), "hits")
+    of = scratch.write(pairs.groupBy("a", "b", "only").agg(F.collect_list(F.struct("family", "template", "n_pairs", "n_only")).alias("templates"))
+                       .coalesce(1), "pairs")
+    vocabulary = sorted(f"{r.a} {r.b}" for r in of.select("a", "b").collect())
+    ids = literal_table(spark, [{"a": v.split(" ")[0], "b": v.split(" ")[1], "k": k} for k, v in enumerate(vocabulary)], "a string, b string, k int")
+    of = scratch.write(ids.join(of, ["a", "b"]).coalesce(1), "numbers")
+    hits = scratch.write(line_pairs(docs).join(F.broadcast(of.select("a", "b", "k", "only")), ["a", "b"])
+                         .select(*LINE, "short", "ordinary", "held", "cross", "k", "only").distinct(), "hits")
+    weights, intercepts, limit = train(scratch.write(ordinary_sets(docs, hits, scratch), "ordinary"), vocabulary, scratch, ordinary_weight)
+    table = literal_table(spark, [{"k": k, "w": [round(c[k], 9) for c in weights]} for k in range(len(vocabulary))], "k int, w array<double>")
+    table = scratch.write(table.join(of, "k").coalesce(1), "vocabulary")
     lines = hits.where(~F.col("cross")).select(*LINE, F.lit(1).alias("n_lines"), "k")
     first = F.floor(F.col("paragraph") / STEP).cast("int") * STEP
     run = (hits.where("short").withColumn("paragraph", F.explode(F.array(first, first - STEP)))
@@ -254,21 +302,22 @@ def same_place(left: str, right: str, *more: str) -> list[Column]:
 
 
 def line_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, paragraph, short, cross, a, b): the word pairs of every line, the first with the last word of the line before.
+    """(doc_id, text_hash, paragraph, short, ordinary, held, cross, a, b): the word pairs of every line, the first with the last word of the line before.
 
     ``cross`` marks the pair over the line end, ``short`` the lines that may be
-    part of a wrapped notice.
+    part of a wrapped notice, ``ordinary`` and ``held`` those that teach what is none.
     """
     kept = F.transform(F.split("text", "\n"), lambda t: F.struct(
-        F.filter(tokens(t), lambda w: w != "").alias("w"), (F.length(t) <= WRAPPED).alias("short")))
+        F.filter(tokens(t), lambda w: w != "").alias("w"), (F.length(t) <= WRAPPED).alias("short"),
+        ordinary(t).alias("ordinary"), held_out(t).alias("held")))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), kept.alias("l"))
     last = F.concat(F.array(F.lit(None).cast("string")), F.transform("l", lambda t: F.when(
         F.size(t["w"]) > 0, F.element_at(t["w"], -1))))
     line = (text.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(F.col("l").alias("l"), F.slice(last, 1, F.size("l")).alias("before"))))
-            .select("doc_id", "text_hash", F.col("pos").alias("paragraph"), "col.l.w", "col.l.short", "col.before"))
+            .select("doc_id", "text_hash", F.col("pos").alias("paragraph"), "col.l.w", "col.l.short", "col.l.ordinary", "col.l.held", "col.before"))
     pairs = F.arrays_zip(F.concat(F.array("before"), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("a"), F.col("w").alias("b"))
-    return (line.where(F.size("w") > 0).select(*LINE, "short", F.posexplode(pairs))
-            .select(*LINE, "short", (F.col("pos") == 0).alias("cross"), "col.a", "col.b").where("a is not null"))
+    return (line.where(F.size("w") > 0).select(*LINE, "short", "ordinary", "held", F.posexplode(pairs))
+            .select(*LINE, "short", "ordinary", "held", (F.col("pos") == 0).alias("cross"), "col.a", "col.b").where("a is not null"))
 
 
 def notices(hits: DataFrame, table: DataFrame, intercepts: list[float], limit: float, min_match: float,
