@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vigil.functions import scalars
 from vigil.functions import normalize_timestamp, safe_int, validate_hardware_id, is_py_infinity, safe_str
 from vigil.functions.hardware import with_hardware_check
 
@@ -46,3 +47,24 @@ def test_base64_column_and_frame_forms_agree(spark):
     expected = [(valid, dec, reason) for _, valid, dec, reason in HW]
     assert col_form == expected
     assert frame_form == expected
+
+
+def test_strip_takes_all_white_space_of_unicode_and_nothing_else(spark):
+    points = spark.range(0x110000).where("id < 55296 or id > 57343").selectExpr(
+        "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') as c")
+    text = F.concat(F.col("c"), F.lit("a"), F.col("c"), F.lit("b "), F.col("c"), F.col("c"))
+    both = points.select("c", scalars.py_strip(text).alias("got"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("want"))
+    assert both.where("not got <=> want").count() == 0
+    assert both.where("length(got) = 3 and c <> 'a'").count() == len(scalars.WHITE_SPACE) == 25
+
+
+def test_infinite_numbers(spark):
+    texts = ["inf", " -INF\t", "+Infinity", "iNfInItY", "infinit", "- inf", "++inf", "nan", "1e999", "ınf", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k for r in df.where(scalars.is_py_infinity("t")).collect()}
+    assert got == {0, 1, 2, 3}
+
+
+def test_no_span_relies_on_a_method_the_jvm_never_compiles(spark):
+    from vigil.session import configure
+    assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

@@ -47,7 +47,7 @@ def first_keyword(text: Column, keywords=None) -> Column:
 def validate_hardware_id(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     raw = safe_str(c, "")
-    cleaned = F.regexp_replace(raw, "[\n\r ]", "")
+    cleaned = F.translate(raw, "\n\r ", "")
     pad_len = (F.lit(4) - F.length(cleaned) % 4) % 4
     padded = F.concat(cleaned, F.repeat(F.lit("="), pad_len))
     decoded_bytes = F.try_to_binary(padded, F.lit("base64"))
@@ -83,7 +83,7 @@ def with_hardware_check(df: DataFrame, col: str, out: str) -> DataFrame:
     tmp = [f"_{out}_{k}" for k in ("raw", "clean", "bytes", "text", "kw", "fail")]
     raw, clean, byts, text, kw, fail = tmp
     df = df.withColumn(raw, safe_str(F.col(col), ""))
-    df = df.withColumn(clean, F.regexp_replace(F.col(raw), "[\n\r ]", ""))
+    df = df.withColumn(clean, F.translate(F.col(raw), "\n\r ", ""))
     pad_len = (F.lit(4) - F.length(F.col(clean)) % 4) % 4
     df = df.withColumn(byts, F.try_to_binary(F.concat(F.col(clean), F.repeat(F.lit("="), pad_len)),
                                              F.lit("base64")))

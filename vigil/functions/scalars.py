@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 # ('1_000' -> NULL), so the text is checked against this first.
 _DIGITS = r"[0-9](?:_?[0-9])*"
 PY_FLOAT_RE = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-PY_INF_RE = r"^(?i)[+-]?(?:inf|infinity)$"
+PY_INFINITE = [sign + word for sign in ("", "+", "-") for word in ("inf", "infinity")]
+# The white space of Unicode, whole: a list of characters to trim takes a fraction of the time of a pattern.
+WHITE_SPACE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _c(col) -> Column:
@@ -24,7 +26,7 @@ def _c(col) -> Column:
 
 def py_strip(col) -> Column:
     """str.strip(): remove leading/trailing (Unicode) whitespace."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(col), F.lit(WHITE_SPACE))
 
 
 def safe_get(col, default) -> Column:
@@ -47,7 +49,7 @@ def safe_str_upper(col, default: str = "") -> Column:
 def is_py_infinity(col) -> Column:
     """True when ``int(float(text))`` would raise OverflowError."""
     s = py_strip(_c(col).cast("string"))
-    return F.coalesce(s.rlike(PY_INF_RE), F.lit(False))
+    return F.coalesce(F.lower(s).isin(PY_INFINITE), F.lit(False))
 
 
 def safe_int(col, default: int = -1) -> Column:
@@ -57,7 +59,7 @@ def safe_int(col, default: int = -1) -> Column:
     test :func:`is_py_infinity` separately.
     """
     s = py_strip(_c(col).cast("string"))
-    cleaned = F.regexp_replace(s, "_", "")
+    cleaned = F.replace(s, F.lit("_"), F.lit(""))
     value = F.when(s.rlike(PY_FLOAT_RE), cleaned.try_cast("double").try_cast("bigint"))
     return F.coalesce(value, F.lit(default).cast("bigint"))
 
@@ -65,7 +67,7 @@ def safe_int(col, default: int = -1) -> Column:
 def safe_float(col, default: float = 0.0) -> Column:
     """``float(v)`` with null/blank/bad -> ``default`` (DET9)."""
     s = py_strip(_c(col).cast("string"))
-    cleaned = F.regexp_replace(s, "_", "")
+    cleaned = F.replace(s, F.lit("_"), F.lit(""))
     value = F.when(s.rlike(PY_FLOAT_RE), cleaned.try_cast("double"))
     return F.coalesce(value, F.lit(float(default)))
 

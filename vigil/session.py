@@ -23,6 +23,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM never compiles a method of more than 8000 bytes: a span that needs one runs operator by operator instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # shuffle files go when the query that made them ends; stages are written tables, nothing reads them again
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # partitioned stages (a few partition values) are written without sorting the rows first
