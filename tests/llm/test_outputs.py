@@ -224,3 +224,10 @@ def test_cuts_read_only_their_frames():
     at = fim.char_of_unit(s, 3000, frame)
     assert text[:at] == "".join(f"line {k}\n" for k in range(3000)) and len(read) <= 1
     assert "".join(fim.stream(s, at, at + 40, frame)) == text[at:at + 40] and len(read) <= 4
+
+
+def test_a_task_learns_the_words_of_100_mb_once():
+    encode = token_files.Encoder(open(TOKENIZER).read(), "H")
+    for first in range(0, 1_000_000, 25_000):
+        encode([" ".join(f"{k:x}" for k in range(first, first + 25_000)).encode()])
+    assert len(encode.known) == 1_000_000

@@ -215,7 +215,7 @@ class Encoder:
     alphabet too; the tokens that end a part say where each word's ids end.
     """
 
-    def __init__(self, definition: str, code: str, cached: int = 800_000, longest: int = 64):
+    def __init__(self, definition: str, code: str, cached: int = 1_200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.code, self.cached, self.longest = code, cached, longest
@@ -252,7 +252,7 @@ class Encoder:
     def learn(self, words: set[bytes]) -> None:
         if self.together:
             plain = [w for w in words if _ASCII.fullmatch(w)]
-            self._learn_together(self.ascii, plain, [w.lower().decode() for w in plain])
+            self._learn_together(self.ascii, plain, b" ".join(plain).lower().decode().split(" ") if plain else [])
             other = [w.decode("utf-8", "replace") for w in words.difference(plain)]
             latin = [w for w in other if _LATIN.fullmatch(w)]
             self._learn_together(self.latin, [w.encode() for w in latin], [w.lower() for w in latin])
