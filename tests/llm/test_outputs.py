@@ -231,3 +231,21 @@ def test_a_task_learns_the_words_of_100_mb_once():
     for first in range(0, 1_000_000, 25_000):
         encode([" ".join(f"{k:x}" for k in range(first, first + 25_000)).encode()])
     assert len(encode.known) == 1_000_000
+
+
+def test_forms_of_a_word_go_to_the_library_as_one_part():
+    encode, given = token_files.Encoder(open(TOKENIZER).read(), "H"), []
+
+    class Heard:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encode.ascii = Heard(encode.ascii)
+    text = "Zebra zebra. ZEBRA, (zebra) zebra!!"
+    assert encode([text.encode()]) == list(encode._each([text.encode()]))
+    encode(["zebra? zebra;".encode()])
+    assert " ".join(given).count("zebra") == 1

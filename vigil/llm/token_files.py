@@ -35,10 +35,12 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -185,34 +187,42 @@ def splits_at_space(definition: str) -> bool:
 PIECE = 1 << 18
 
 
-def pieces(raw: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
-    """The words of a UTF-8 text, in runs of about ``size`` bytes."""
+def pieces(raw: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """A UTF-8 text cut at white space, in pieces of about ``size`` bytes."""
     at = 0
     while at < len(raw):
         end = at + size
         while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        yield raw[at:end].split()
+        yield raw[at:end]
         at = end
 
 
 #: Words that the normaliser leaves as they are but for capitals, without the first character of an added token:
-#: of printable ASCII, and with letters from À to ſ (İ becomes two characters).
-_ASCII = re.compile(rb"[!-;=-~]+")
-_LATIN = re.compile("[!-;=-~À-ÖØ-öø-įı-ſ]+")
+#: of printable ASCII and letters from À to ſ (İ becomes two characters).
+_LATIN = "^[!-;=-~À-ÖØ-öø-įı-ſ]+$"
 #: Their parts, in small letters.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
+_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-zß-öø-ſ0-9]+"
 #: The split that _PARTS stands for, and the mark of a part's last token.
 SPLIT, LAST = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
 
 
+def _strings(raws: list[bytes]) -> pa.Array:
+    """Texts as Arrow strings, taken as they are."""
+    whole = pa.array(raws, pa.binary())
+    return pa.Array.from_buffers(pa.string(), len(whole), whole.buffers())
+
+
 class Encoder:
     """The ids of UTF-8 texts as bytes; ``code``: H for two bytes an id, I for four.
 
     Words are encoded once and kept, up to ``cached`` of at most ``longest``
-    bytes.  New words of Latin letters go to the library many at a time, as one
-    text in small letters past the normaliser, those of ASCII past the byte
-    alphabet too; the tokens that end a part say where each word's ids end.
+    bytes; texts are put together from their distinct words as arrays.  New
+    words of Latin letters are in turn put together from the parts, in small
+    letters, that the first split makes of them.  Parts are kept likewise, a
+    quarter as many; new ones go to the library many at a time, as one text
+    past the normaliser, those of ASCII past the byte alphabet too; the tokens
+    that end a part say where its ids end.
     """
 
     def __init__(self, definition: str, code: str, cached: int = 1_200_000, longest: int = 64):
@@ -222,13 +232,18 @@ class Encoder:
         self.whole = Tokenizer.from_str(definition)
         self.by_word = splits_at_space(definition)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         t = json.loads(definition)
         self.together = (self.by_word and t["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == SPLIT
                          and t["model"]["end_of_word_suffix"] == LAST)
         if self.together:
+            # parts come one by one, at spaces, and each once: the model's own cache would only be filled
+            bytewise = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *t["pre_tokenizer"]["pretokenizers"][1:]]}
             bare = t | {"normalizer": None, "added_tokens": []}
-            self.latin = Tokenizer.from_str(json.dumps(bare))
-            self.ascii = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": t["pre_tokenizer"]["pretokenizers"][0]}))
+            self.latin = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": bytewise}))
+            self.ascii = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            for tokenizer in (self.latin, self.ascii):
+                tokenizer.model._resize_cache(0)
             self.ends = np.zeros(max(t["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for word, i in t["model"]["vocab"].items() if word.endswith(LAST)]] = True
 
@@ -236,51 +251,71 @@ class Encoder:
         for e in self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
             yield array(self.code, e.ids).tobytes()
 
-    def _learn_together(self, tokenizer, words: list[bytes], small: list[str]) -> None:
-        """Learn ``words`` from their forms in small letters, if the parts add up."""
-        if not small:
-            return
-        e = tokenizer.encode_batch_fast([" ".join(small[k:k + 500]) for k in range(0, len(small), 500)], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.int64) for x in e])
-        last = np.flatnonzero(self.ends[ids])
-        parts = np.cumsum([len(_PARTS.findall(w)) for w in small])
-        if parts[-1] == len(last):
-            cut = [0, *((last[parts - 1] + 1) * array(self.code).itemsize).tolist()]
-            raw = ids.astype(self.code).tobytes()
-            self.known.update(zip(words, [raw[a:b] for a, b in zip(cut, cut[1:])]))
-
-    def learn(self, words: set[bytes]) -> None:
-        if self.together:
-            plain = [w for w in words if _ASCII.fullmatch(w)]
-            self._learn_together(self.ascii, plain, b" ".join(plain).lower().decode().split(" ") if plain else [])
-            other = [w.decode("utf-8", "replace") for w in words.difference(plain)]
-            latin = [w for w in other if _LATIN.fullmatch(w)]
-            self._learn_together(self.latin, [w.encode() for w in latin], [w.lower() for w in latin])
-            words = words.difference(self.known)
-        self.known.update(zip(words, self._each(list(words))))
-
-    def _runs(self, runs: list[list[bytes]]) -> list[bytes]:
-        """The ids of each run of words."""
-        if len(self.known) > self.cached:
-            self.known.clear()
-        new = set().union(*runs).difference(self.known)
+    def _new_parts(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of parts, many at a time if each has one last token."""
+        out = []
+        for tokenizer, own in ((self.ascii, [p for p in parts if p.isascii()]), (self.latin, [p for p in parts if not p.isascii()])):
+            texts = [b" ".join(own[k:k + 500]).decode() for k in range(0, len(own), 500)]
+            ids = np.array(list(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))), np.int64)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(own):
+                cut = [0, *((last + 1) * array(self.code).itemsize).tolist()]
+                raw = ids.astype(self.code).tobytes()
+                out += zip(own, [raw[a:b] for a, b in zip(cut, cut[1:])])
+            else:
+                out += zip(own, self._each(own))
+        of = dict(out)
+        return [of[p] for p in parts]
+
+    def _new_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, those of Latin letters from their parts."""
+        if not self.together:
+            return list(self._each(words))
+        text = _strings(words)
+        latin = pc.match_substring_regex(text, _LATIN)
+        parted = pc.replace_substring_regex(pc.utf8_lower(text.filter(latin)), _PARTS, r"\0 ")
+        of_latin = iter(self._put_together(parted, self.parts, self.cached // 4, self._new_parts))
+        of_other = self._each([w for w, l in zip(words, latin.to_pylist()) if not l])
+        return [next(of_latin if l else of_other) for l in latin.to_pylist()]
+
+    def _put_together(self, texts: pa.Array, known: dict[bytes, bytes], most: int, learn: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The ids of each text from those of its words: a distinct word is looked up once, what is not known is learnt."""
+        if len(known) > most:
+            known.clear()
+        split = pc.ascii_split_whitespace(texts)
+        dealt = split.values.dictionary_encode()
+        _, offsets, content = dealt.dictionary.buffers()
+        content, at = content.to_pybytes() if content else b"", np.frombuffer(offsets, np.int32, len(dealt.dictionary) + 1).tolist()
+        words = [content[a:b] for a, b in zip(at, at[1:])]
+        ids = list(map(known.get, words))
+        new = [k for k, i in enumerate(ids) if i is None]
         if new:
-            self.learn(new)
-        out = [b"".join(map(self.known.__getitem__, run)) for run in runs]
-        for w in new:
-            if len(w) > self.longest:
-                del self.known[w]
-        return out
+            for k, i in zip(new, learn([words[k] for k in new])):
+                ids[k] = i
+                if len(words[k]) <= self.longest:
+                    known[words[k]] = i
+        size = array(self.code).itemsize
+        sizes, word = np.fromiter(map(len, ids), np.int64, len(ids)) // size, dealt.indices.to_numpy()
+        n = sizes[word]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], n)
+        at += np.arange(len(at))
+        raw = np.frombuffer(b"".join(ids), self.code)[at].tobytes()
+        cut = (ends[split.offsets.to_numpy()] * size).tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _texts(self, raws: list[bytes]) -> list[bytes]:
+        return self._put_together(_strings(raws), self.known, self.cached, self._new_words)
 
     def __call__(self, raws: list[bytes]) -> list[bytes]:
         """The ids of each text; all but the longest texts are taken together."""
         if not self.by_word:
             return list(self._each(raws))
-        short = iter(self._runs([raw.split() for raw in raws if len(raw) <= PIECE]))
-        return [next(short) if len(raw) <= PIECE else b"".join([self._runs([words])[0] for words in pieces(raw)]) for raw in raws]
+        short = iter(self._texts([raw for raw in raws if len(raw) <= PIECE]))
+        return [next(short) if len(raw) <= PIECE else b"".join([self._texts([piece])[0] for piece in pieces(raw)]) for raw in raws]
 
 
-def grouped(ids: list, raws: list[bytes], size: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
+def grouped(ids: list, raws: list[bytes], size: int = 1 << 21) -> Iterator[tuple[list, list[bytes]]]:
     """Runs of documents of about ``size`` bytes."""
     at = held = 0
     for k, raw in enumerate(raws):
