@@ -1,6 +1,7 @@
 """Scores, spans, rules, notices, tokens and leaks against plain versions and held-out labels."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -297,6 +298,24 @@ def test_leaks_of_slots_and_of_every_item(spark):
     assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [6]
 
 
+#: 32,768 words of five letters.
+POOL = ["".join(w) for w in itertools.product("abcdefgh", repeat=5)]
+
+
+def test_leaks_in_a_long_text_of_an_item_with_many_ids(spark):
+    # one row per place, each with the words of the text, would be more than 10 GB
+    text = " ".join([*POOL[:16_000], QUESTION, *POOL[:16_000]])
+    got = found(spark, [(k, QUESTION) for k in range(200)], [text, "nothing of the kind"])
+    assert set(got) == {(0, k) for k in range(200)}
+    assert {(r.n_windows, r.exact) for r in got.values()} == {(len(QUESTION.split()) - 9, True)}
+
+
+def test_leaks_of_a_long_item(spark):
+    # 14,000 windows of an item of as many words
+    got = found(spark, [(1, " ".join(POOL[:14_000]))], [" ".join(["see", *POOL[5_000:5_010], "there"]), " ".join(POOL[5_000:5_009]), " ".join(POOL[:14_000])])
+    assert {k: (r.n_windows, r.n_slots, r.exact) for k, r in got.items()} == {(0, 1): (1, 0, True), (2, 1): (13_991, 0, True)}
+
+
 def test_quality_drops_row_by_row(spark):
     labels, docs = table(spark, SF, "labels"), table(spark, SF, "documents").select("doc_id", "text")
     texts = {p: [r.text for r in quality_bt.score_quality(docs, labels).where(f"predicted = {p}").join(docs, "doc_id")

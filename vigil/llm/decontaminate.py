@@ -18,6 +18,10 @@ names) as they are.
 The distinct hashes of window starts (8 bytes each) are broadcast only while
 there are at most ``max_broadcast``; beyond, the same join is shuffled.
 
+No row holds a text's words once per place: what is needed of a place is cut
+out before the places become rows.  Texts are matched, and the ids that share
+one are joined at the end, so repeated items cost no more than their rows.
+
 Defined cases: a null or empty text matches nothing; items with fewer than
 ``min_words`` words are not searched, items shorter than a window are one
 window; every distinct (item_id, text) is an item, with ``item_hash`` to tell
@@ -96,29 +100,42 @@ def start_hashes(s: str) -> Column:
     return F.array_distinct(F.array(*[F.xxhash64(*[F.col(f"{s}.{f}{k}") for k in range(START)]) for f in FORMS]))
 
 
-def benchmark_windows(benchmark: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(start, len, whash, item_id, item_hash, ipos, ivals): the windows of every item in the forms that suit them.
+def window(text_words: Column, p: Column, n: Column) -> Column:
+    """The n words from place p on; within a function over arrays ``slice`` would copy all words each time."""
+    return F.transform(F.sequence(p, p + n - 1), lambda i: F.get(text_words, i))
 
-    A form suits if at least half of its words are no placeholders; without
-    placeholders it is taken where the case-folded one does not suit.
-    """
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_hash, text): the distinct items."""
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     # a text that also has an id is not another item without one
     known = rows.where("item_id is not null").select("text").distinct()
     rows = rows.where("item_id is not null").union(rows.where("item_id is null").join(known, "text", "left_anti").select("item_id", "text"))
+    return rows.withColumn("item_hash", F.xxhash64("text"))
+
+
+def benchmark_windows(items: DataFrame, width: int, min_words: int) -> DataFrame:
+    """(start, len, whash, item_hash, ipos, ivals, part): the windows of every item's text in the forms that suit them.
+
+    A form suits if at least half of its words are no placeholders; without
+    placeholders it is taken where the case-folded one does not suit.
+    """
     size = F.size("tpl")
-    item = with_words(rows.withColumn("item_hash", F.xxhash64("text")))
+    item = with_words(items.select("item_hash", "text").distinct())
     item = item.where(size >= F.lit(max(START, min_words))).withColumn("len", F.least(size, F.lit(width)))
-    at = item.select("*", F.explode(F.sequence(F.lit(0), size - F.col("len"))).alias("ipos"))
-    tpl, low, lit, raw = (F.slice(f, F.col("ipos") + 1, F.col("len")) for f in (*FORMS, "raw"))
 
     def suits(part: Column) -> Column:
         return 2 * F.size(F.filter(part, lambda w: ~w.rlike(SLOT))) >= F.col("len")
 
-    parts = F.array_distinct(F.array_compact(F.array(F.when(suits(tpl), tpl), F.when(suits(low), low).otherwise(lit))))
-    return (at.select("len", "item_id", "item_hash", "ipos", raw.alias("ivals"), F.explode(parts).alias("part"))
+    def at(ipos: Column) -> Column:
+        tpl, low, lit, raw = (window(F.col(f), ipos, F.col("len")) for f in (*FORMS, "raw"))
+        parts = F.array_distinct(F.array_compact(F.array(F.when(suits(tpl), tpl), F.when(suits(low), low).otherwise(lit))))
+        return F.struct(ipos.alias("ipos"), raw.alias("ivals"), parts.alias("parts"))
+
+    return (item.select("len", "item_hash", F.explode(F.transform(F.sequence(F.lit(0), size - F.col("len")), at)).alias("w"))
+            .select("len", "item_hash", "w.ipos", "w.ivals", F.explode("w.parts").alias("part"))
             .select(F.xxhash64(*[F.col("part")[k] for k in range(START)]).alias("start"), "len", F.xxhash64("part").alias("whash"),
-                    "item_id", "item_hash", "ipos", "ivals"))
+                    "item_hash", "ipos", "ivals", "part"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: int = START,
@@ -129,7 +146,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
     values in one of them; ``exact``: all slots of one hold the item's own values.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    windows = scratch.write(benchmark_windows(benchmark, width, min_words), "windows")
+    items = scratch.write(benchmark_items(benchmark), "items")
+    windows = scratch.write(benchmark_windows(items, width, min_words), "windows")
     heads = windows.select("start").distinct()
     small = heads.limit(max_broadcast + 1).count() <= max_broadcast  # 8 bytes each
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -138,19 +156,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
           .select("doc_id", "text_hash", F.posexplode(starts()).alias("p", "s"))
           .select("doc_id", "text_hash", "p", F.explode(start_hashes("s")).alias("start")))
     place = scratch.write(at.join(F.broadcast(heads) if small else heads, "start"), "places")
-    cands = (place.join(windows, "start").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-             .agg(F.collect_list(F.struct("p", "len", "whash", "item_id", "item_hash", "ipos", "ivals")).alias("cands")))
-    both = doc.join(cands, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")))
-    forms = [F.slice(f, F.col("h.p") + 1, F.col("h.len")) for f in FORMS]
-    t = F.coalesce(*[F.when(F.xxhash64(part) == F.col("h.whash"), part) for part in forms])
-    found = (with_words(both).select("doc_id", "text_hash", "raw", *FORMS, F.explode("cands").alias("h"))
-             .select("doc_id", "text_hash", "h.*", t.alias("t"), F.slice("raw", F.col("h.p") + 1, F.col("h.len")).alias("dvals"))
-             .where("t is not null"))
-    slots = F.filter(F.arrays_zip("t", "ivals", "dvals"), lambda z: z["t"].rlike(SLOT))
-    found = scratch.write(found.select("doc_id", "text_hash", "item_id", "item_hash", "ipos", (F.col("p") - F.col("ipos")).alias("at"),
-                                       F.transform(slots, lambda z: F.struct(
-                                           trim_word(z["ivals"]).alias("i"), trim_word(z["dvals"]).alias("d"))).alias("slots")), "found")
-    pair = ["doc_id", "text_hash", "item_id", "item_hash"]
+    spots = (place.join(windows.select("start", "len").distinct(), "start")
+             .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
+             .agg(F.collect_set(F.struct("p", "len")).alias("spots")))
+    both = doc.join(spots, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")))
+
+    def hits(spot: Column) -> Column:
+        """A struct for each hash that the forms of the window at a place have."""
+        cut = [window(F.col(f), spot["p"], spot["len"]) for f in (*FORMS, "raw")]
+        return F.transform(F.array_distinct(F.array(*[F.xxhash64(part) for part in cut[:-1]])), lambda w: F.struct(
+            spot["p"].alias("p"), spot["len"].alias("len"), w.alias("whash"), cut[-1].alias("dvals")))
+
+    # inside the generator: rows that hold the words would be kept once per place, for all places of a text at a time
+    hit = (with_words(both).select("doc_id", "text_hash", F.explode(F.flatten(F.transform("spots", hits))).alias("h"))
+           .select("doc_id", "text_hash", "h.*"))
+    slots = F.filter(F.arrays_zip("part", "ivals", "dvals"), lambda z: z["part"].rlike(SLOT))
+    found = scratch.write(hit.join(windows.drop("start"), ["len", "whash"])
+                          .select("doc_id", "text_hash", "item_hash", "ipos", (F.col("p") - F.col("ipos")).alias("at"),
+                                  F.transform(slots, lambda z: F.struct(
+                                      trim_word(z["ivals"]).alias("i"), trim_word(z["dvals"]).alias("d"))).alias("slots")), "found")
+    pair = ["doc_id", "text_hash", "item_hash"]
     own = F.forall("slots", lambda z: z["i"] == z["d"])
     # a window without slots stays, as one row without a value
     values = (found.select(*pair, "at", "ipos", own.alias("own"), F.explode_outer("slots").alias("s"))
@@ -160,9 +185,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, min_words: i
         F.count("i").alias("n_slots"), F.coalesce(F.max(F.col("lo") != F.col("hi")), F.lit(False)).alias("clash"),
         F.coalesce(F.min((F.col("lo") == F.col("i")) & (F.col("hi") == F.col("i"))), F.lit(True)).alias("same"),
         F.max("own").alias("own"), F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
-    return (occurrence.where(F.col("own") | ~F.col("clash")).groupBy(*pair)
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("w")))).cast("long").alias("n_windows"),
-                 F.max("n_slots").alias("n_slots"), F.max("same").alias("exact")))
+    texts = (occurrence.where(F.col("own") | ~F.col("clash")).groupBy(*pair)
+             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("w")))).cast("long").alias("n_windows"),
+                  F.max("n_slots").alias("n_slots"), F.max("same").alias("exact")))
+    return (texts.join(items.select("item_id", "item_hash"), "item_hash")
+            .select("doc_id", "text_hash", "item_id", "item_hash", "n_windows", "n_slots", "exact"))
 
 
 def trim_word(w: Column) -> Column:
